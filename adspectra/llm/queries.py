@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, warc
+from . import packing, quality, sharding, warc
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.measure(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,5 +40,5 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hash_tree_sharding, op7_best_fit_packing, op9_warc_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op7_best_fit_packing, op9_warc_round_trip)}
 ORACLES: dict[str, str] = {}
