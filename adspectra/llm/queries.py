@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, simhash, warc, winnowing
+from . import packing, quality, sharding, simhash, substrings, warc, winnowing
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -40,6 +40,10 @@ def op4_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -49,5 +53,5 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op7_best_fit_packing, op9_warc_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op6_suffix_array_dedup, op7_best_fit_packing, op9_warc_round_trip)}
 ORACLES: dict[str, str] = {}
