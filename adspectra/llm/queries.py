@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, packing, quality, sharding, simhash, substrings, warc, winnowing
+from . import extraction, lm, packing, quality, sharding, simhash, substrings, warc, winnowing
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -57,5 +57,9 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip)}
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference)}
 ORACLES: dict[str, str] = {}
