@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lm, packing, quality, sharding, simhash, substrings, warc, winnowing
+from . import extraction, lm, packing, pieces, quality, sharding, simhash, substrings, warc, winnowing
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -40,6 +40,14 @@ def op4_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare(table(spark, sf_dir, "documents"))
 
 
+def op5_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes the ids again."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    back = pieces.decode(pieces.encode(docs, path), path)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.char_length("text").alias("n_decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -61,5 +69,5 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference)}
 ORACLES: dict[str, str] = {}
