@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_CHUNK_WORDS, TOKENS_PER_WORD, MOST_TOKENS = 20, 0.75, 256
 ENTITY_LEAST_CHARS = 3
@@ -110,14 +111,15 @@ def split_large(chunks: list[str], most: int = MOST_TOKENS) -> list[str]:
 
 def chunks(docs: DataFrame, key: str, text: str, least: int = LEAST_CHUNK_WORDS, most: int = MOST_TOKENS) -> DataFrame:
     """(key, chunk_index, content): sentences, short ones merged, large ones cut."""
-    kind = dict(docs.dtypes)[key]
+    own = T.StructType([docs.schema[key], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            made = [split_large(merge_short(list(s), least), most) for s in part["s"]]
-            yield pd.DataFrame({key: part[key].repeat([len(x) for x in made]).to_numpy(), "chunk_index": [i for x in made for i in range(len(x))], "content": [c for x in made for c in x]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [split_large(merge_short(s, least), most) for s in batch.column(1).to_pylist()]
+            rows = pa.array([k for k, x in enumerate(made) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for x in made for i in range(len(x))], pa.int32()), pa.array([c for x in made for c in x], pa.string())], own.names)
 
-    return docs.select(key, F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("s")).mapInPandas(run, f"{key} {kind}, chunk_index int, content string")
+    return docs.select(key, F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("s")).mapInArrow(run, own)
 
 
 def token_chunks(words: Column, size: int, overlap: int) -> Column:
@@ -152,8 +154,10 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
         p.close()
         return " ".join(" ".join(p.out).split())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({key: part[key], "text": [text(x) for x in part[html]]})
+    own = T.StructType([pages.schema[key], T.StructField("text", T.StringType())])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text(x) for x in batch.column(1).to_pylist()], pa.string())], own.names)
+
+    return pages.select(key, html).mapInArrow(run, own)

@@ -22,9 +22,13 @@ SINK_SECONDS, WINDOW_SECONDS, LATENESS, CHECKPOINT_SECONDS = 5, 10, "1 minute",
 NONCE_HOURS = 24
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need timestamps with a zone; the session's is UTC."""
+    return events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", late) if events.isStreaming else events
+
+
 def _windowed(events: DataFrame, key: str) -> DataFrame:
-    if events.isStreaming:
-        events = events.withWatermark("event_time", LATENESS)
+    events = _watermarked(events, LATENESS)
     return events.groupBy(F.window("event_time", f"{WINDOW_SECONDS} seconds").alias("w"), key)
 
 
@@ -51,9 +55,7 @@ def counters(events: DataFrame) -> DataFrame:
 
 def deduplicated(events: DataFrame) -> DataFrame:
     """One event per type and nonce within a day; a repeated one is dropped silently."""
-    if events.isStreaming:
-        events = events.withWatermark("event_time", f"{NONCE_HOURS} hours")
-    return parse.dedupe(events)
+    return parse.dedupe(_watermarked(events, f"{NONCE_HOURS} hours"))
 
 
 def by_day(path: str, batches: str = "batch_id") -> Callable[[DataFrame, int], None]:
