@@ -70,4 +70,12 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference)}
-ORACLES: dict[str, str] = {}
+#: Base 32 of a SHA-1 from its hexadecimal digits: 32 groups of five bits, each out of two digits.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((strpos('0123456789abcdef', substr(s, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(s, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g
+"""
+ORACLES: dict[str, str] = {"op9_warc_round_trip": OP9_SQL}
