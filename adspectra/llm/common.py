@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from adspectra.sources.session import ship
+
 #: Prefix of every column an operator adds to a caller's table for its own use.
 OWN = "__asx_"
 
@@ -38,6 +43,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table, which takes less room; it goes when the driver's process ends.
+
+    The shuffle files of what was stored aren't needed any more.  Spark removes them once the driver's
+    garbage is collected, which is asked for here, so that a long job doesn't hold those of all its steps.
+    """
+    spark = spark_of(df)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone, and its folder with it
+        return
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -76,4 +104,5 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

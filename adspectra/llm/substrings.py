@@ -8,14 +8,16 @@ grams, the rightmost on ties.  Equal windows name equal anchors at the same plac
 may be judged anchor by anchor.  Windows of one anchor are consecutive: they form one segment of at
 most ``2 * LENGTH - ANCHOR`` bytes.  A document of n bytes has about ``2 n / 65`` segments.
 
-1. All anchors are counted (combined map-side).  Those seen once can't hold a repeat and go.  A
-   bit map of fixed size of the others is all that is broadcast; it only saves shuffling.
+1. All anchors are counted by 32 bits of their hash, shuffled as packed numbers.  Those seen once
+   can't hold a repeat and go.  A bit map of fixed size of the others is all that is broadcast; it only saves
+   shuffling and loses nothing when it fills up.
 2. Segments of repeated anchors are grouped by (anchor, content), combined map-side, so a passage
    in a third of all documents costs one row per task.  All but the first segment of a group are
    repeats as a whole.
 3. The first segments of an anchor with several contents are the shards' texts.  Suffix arrays are
    built by induced sorting (``suffixes``), permuted common prefixes give runs of suffixes that
-   share ``LENGTH`` bytes, and in each run all but the earliest window are repeats.
+   share ``LENGTH`` bytes, and in each run all but the earliest window are repeats.  Only these
+   segments are ever shuffled with their bytes.
    An anchor with more than ``SHARD_SEGMENTS`` different contents isn't one shard: its windows are
    grouped by their own content instead, again combined map-side, all but the first being repeats.
 4. Spans are gathered by document and cut out.
@@ -35,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix64, partitions, raw
+from .common import mix64, partitions, raw, stored
 from .suffixes import permuted_common_prefixes, suffix_arrays
 from .wordbpe import powers
 
@@ -49,6 +51,8 @@ SHARD_SEGMENTS = 256
 FILTER_BITS = 27
 #: Bytes hashed at once, and symbols of suffix arrays built at once.
 BLOCK, SYMBOLS = 1 << 21, 1 << 20
+#: Bytes of segments that a task takes and holds: suffix arrays are the cheaper, the more shards of one size are built together.
+TASK_BYTES = 1 << 25
 POSITION = np.uint64((1 << 21) - 1)
 FIRST_ID = -(1 << 63)
 
@@ -71,7 +75,7 @@ class Segments:
         starts = np.arange(len(owner)) + np.repeat(self.first - np.cumsum(np.maximum(sizes - length + 1, 0)) + np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
         if not len(starts):
             self.owner = self.start = self.windows = np.zeros(0, np.int64)
-            self.h = np.zeros(0, np.uint64)
+            self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
         grams = self.hash(np.arange(n - anchor + 1), anchor)
         least = grams & ~POSITION | POSITION - np.arange(len(grams), dtype=np.uint64)
@@ -87,6 +91,7 @@ class Segments:
         run = np.flatnonzero(new)
         self.owner, self.start, self.windows = owner[run], starts[run], np.diff(np.append(run, len(at)))
         self.h = grams[at[run]]
+        self.at = at[run] - self.start
 
     def hash(self, starts: np.ndarray, size) -> np.ndarray:
         return mix64((self.total[starts + size] - self.total[starts]) * self.down[starts] + np.uint64(1) * np.asarray(size, np.uint64))
@@ -95,7 +100,7 @@ class Segments:
         return self.hash(self.start, self.windows + self.length - 1)
 
     def keep(self, mask: np.ndarray) -> None:
-        self.owner, self.start, self.windows, self.h = (x[mask] for x in (self.owner, self.start, self.windows, self.h))
+        self.owner, self.start, self.windows, self.h, self.at = (x[mask] for x in (self.owner, self.start, self.windows, self.h, self.at))
 
 
 def blocks(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -118,36 +123,104 @@ def blocks(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[byte
         yield pieces, of, begin
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """k and th, which identify a document, and its text."""
+def key_of(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(k and th, which identify a document, and its text; th as an expression of the input).
+
+    th tells rows of one id apart; it is 0 where no id repeats.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
+    again = not docs.groupBy(key_of(docs).alias("k")).count().where("count > 1").isEmpty()
+    th = F.xxhash64(text) if again else F.lit(0).cast("long")
+    return docs.select(key_of(docs).alias("k"), th.alias("th"), text.alias("text")), th
+
 
+def repeated_anchors(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The map of anchors that may occur more than once, by 32 bits of their hash.
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """One row (h) per segment."""
+    A task sends its anchors as packed 32-bit numbers, one row for each range of them; a range's
+    numbers are counted together and give a slice of the map.
+    """
+    ranges = 1 << max(6, (4 * partitions(docs.sparkSession) - 1).bit_length())
+    per = (1 << 32) // ranges
+
+    def send(parts: list[np.ndarray]) -> pa.RecordBatch:
+        f = np.sort(np.concatenate(parts))
+        edges = np.searchsorted(f, np.arange(1, ranges, dtype=np.uint64) * np.uint64(per))
+        own = [(k, x.tobytes()) for k, x in enumerate(np.split(f, edges)) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["r", "f"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for pieces, _, _ in blocks(raw(batch.column(0))):
-                yield pa.RecordBatch.from_arrays([pa.array(Segments(pieces).h.view(np.int64))], ["h"])
+                parts.append((Segments(pieces).h >> np.uint64(32)).astype(np.uint32))
+                held += len(parts[-1])
+                if held > 1 << 22:
+                    yield send(parts)
+                    parts, held = [], 0
+        if held:
+            yield send(parts)
+
+    def count(rows: pa.Table) -> pa.Table:
+        f = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("f").to_pylist()]))
+        again = f[1:][f[1:] == f[:-1]]
+        return pa.table({"r": pa.array([rows.column("r")[0].as_py()], pa.int32()), "w": pa.array([slice_of(again, bits).tobytes()], pa.binary()), "at": pa.array([int(again[0] >> np.uint32(32 - bits)) >> 6 if len(again) else 0], pa.int64())})
+
+    got = docs.select("text").mapInArrow(found, "r int, f binary").groupBy("r").applyInArrow(count, "r int, w binary, at long").toArrow()
+    return assembled(zip(got.column("at").to_pylist(), got.column("w").to_pylist(), strict=True), bits)
+
+
+def slice_of(f: np.ndarray, bits: int) -> np.ndarray:
+    """Words of the map from the one that holds the first of sorted 32-bit hashes."""
+    slot = f.astype(np.uint64) >> np.uint64(32 - bits)
+    if not len(slot):
+        return np.zeros(0, np.uint64)
+    word = (slot >> np.uint64(6)).astype(np.int64)
+    out = np.zeros(int(word[-1] - word[0]) + 1, np.uint64)
+    np.bitwise_or.at(out, word - word[0], np.uint64(1) << (slot & np.uint64(63)))
+    return out
+
 
-    return docs.select("text").mapInArrow(found, "h long")
+def assembled(slices, bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits - 6, np.uint64)
+    for at, data in slices:
+        words = np.frombuffer(data, np.uint64)
+        out[at : at + len(words)] |= words
+    return out
 
 
-def bit_map(repeated: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The fixed-size map of repeated anchors, made of at most ``2**bits / 64`` words."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = repeated.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+def bit_map(anchors: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The map of the anchors in column h, made of at most ``2**bits / 64`` words."""
+    slot = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
+    words = anchors.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return out
 
 
+def position_hash(h: np.ndarray, k: np.ndarray, s0: np.ndarray) -> np.ndarray:
+    return mix64(h ^ mix64(k.view(np.uint64) * np.uint64(3) + s0.astype(np.uint64)))
+
+
+def position_map(chosen: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The map of segments by anchor and position; chosen: h, k, s0."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, k, s0 = (c.to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(position_hash(h.view(np.uint64), k, s0).view(np.int64))], ["h"])
+
+    return bit_map(chosen.select("h", "k", "s0").mapInArrow(hashed, "h long"), bits)
+
+
 def segments(docs: DataFrame, bitmap, with_bytes: bool, bits: int = FILTER_BITS) -> DataFrame:
-    """The segments whose anchors the bit map holds; bitmap: a broadcast variable."""
-    names = [x.split()[0] for x in SEGMENT.split(", ")] + ["bytes"] * with_bytes
+    """The segments whose anchors the bit map holds, or with bytes: those whose positions it holds; bitmap: a broadcast variable."""
+    names = [x.split()[0] for x in SEGMENT.split(", ")] + ["place", "bytes"] * with_bytes
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
@@ -155,29 +228,35 @@ def segments(docs: DataFrame, bitmap, with_bytes: bool, bits: int = FILTER_BITS)
             k, th = (batch.column(i).to_numpy() for i in (0, 1))
             for pieces, of, begin in blocks(raw(batch.column(2))):
                 s = Segments(pieces)
-                slot = s.h & np.uint64((1 << bits) - 1)
-                s.keep((held[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1)
-                row = np.asarray(of)[s.owner]
+                row = np.asarray(of, np.int64)[s.owner]
                 place = s.start - s.first[s.owner] + np.asarray(begin, np.int64)[s.owner]
+                slot = (position_hash(s.h, k[row], place) if with_bytes else s.h) >> np.uint64(64 - bits)
+                wanted = (held[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1
+                s.keep(wanted)
+                row, place = row[wanted], place[wanted]
                 columns = [s.h.view(np.int64), s.content().view(np.int64), k[row], th[row], place, s.windows.astype(np.int32)]
                 arrays = [pa.array(x) for x in columns]
                 if with_bytes:
                     whole = s.text.tobytes()
+                    arrays.append(pa.array(s.at.astype(np.int32)))
                     arrays.append(pa.array([whole[a : a + n] for a, n in zip(s.start.tolist(), (s.windows + LENGTH - 1).tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(found, SEGMENT + ", bytes binary" * with_bytes)
+    return docs.mapInArrow(found, SEGMENT + ", place int, bytes binary" * with_bytes)
 
 
-def repeats_in_shards(groups: list[list[tuple[int, int, int, bytes]]], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """Spans (k, th, start, stop) of repeated windows among segments (k, th, s0, bytes) of each group.
+def repeats_in_shards(groups: list[list[tuple[int, int, int, int, bytes]]], length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (k, th, start, stop) of repeated windows among segments (k, th, s0, place, bytes) of each anchor's group.
 
-    Groups are filled into shards of like size; the suffix arrays of many shards are built together.
+    The anchor (at ``place``) is the same in all segments of a group and in all their windows, so one
+    symbol stands for it.  Groups are filled into shards of like size; the suffix arrays of many
+    shards are built together.
     """
     by_size: dict[int, list[list]] = {}
-    for group in sorted(groups, key=lambda g: -sum(len(x[3]) + 1 for x in g)):
-        need = sum(len(x[3]) + 1 for x in group) + 1
-        room = max(4096, 1 << (need - 1).bit_length())
+    numbered = [[(k, th, s0, g, data[:at].translate(SHIFTED) + MARK + data[at + anchor :].translate(SHIFTED), len(data) - length + 1) for k, th, s0, at, data in group] for g, group in enumerate(groups)]
+    for group in sorted(numbered, key=lambda g: -sum(len(x[4]) + 1 for x in g)):
+        need = sum(len(x[4]) + 1 for x in group) + 1
+        room = max(1024, 1 << (need - 1).bit_length())
         shards = by_size.setdefault(room, [])
         if not shards or shards[-1][0] + need > room:
             shards.append([0, []])
@@ -186,41 +265,45 @@ def repeats_in_shards(groups: list[list[tuple[int, int, int, bytes]]], length: i
     for shards in by_size.values():
         size = max(s[0] for s in shards) + 1
         for k in range(0, len(shards), max(1, SYMBOLS // size)):
-            yield from judge([s[1] for s in shards[k : k + max(1, SYMBOLS // size)]], size, length)
+            yield from judge([s[1] for s in shards[k : k + max(1, SYMBOLS // size)]], size, length, length - anchor + 1)
+
+
+#: Symbols: 0 ends a shard, 1 stands between segments and fills, bytes of UTF-8 follow (none is over 244), then the anchor.
+SHIFTED = bytes((i + 2) % 256 for i in range(256))
+MARK = bytes([255])
 
 
-def judge(shards: list[list[tuple[int, int, int, bytes]]], size: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    # Symbols: 0 ends a shard, 1 stands between segments and fills, bytes of UTF-8 follow.
+def judge(shards: list[list[tuple]], size: int, length: int, symbols: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of the repeated windows, which have ``symbols`` symbols here."""
     text = np.ones((len(shards), size), np.uint8)
     owner = np.full((len(shards), size), -1, np.int32)
     rows, base = [], []
     for c, shard in enumerate(shards):
         at = 0
         for row in shard:
-            n = len(row[3])
-            text[c, at : at + n] = np.frombuffer(row[3], np.uint8) + 2
-            owner[c, at : at + n - length + 1] = len(rows)
+            n = len(row[4])
+            text[c, at : at + n] = np.frombuffer(row[4], np.uint8)
+            owner[c, at : at + row[5]] = len(rows)
             rows.append(row)
             base.append(row[2] - at)
             at += n + 1
     text[:, -1] = 0
     t = np.ascontiguousarray(text.T)
     sa = suffix_arrays(t, 256)
-    common = permuted_common_prefixes(t, sa, length)
-    k, th = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    common = permuted_common_prefixes(t, sa, symbols, owner.T >= 0)
+    k, th, group = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
     base = np.array(base, np.int64)
-    # Windows in suffix order, shard by shard; a window that shares ``length`` bytes with the one before belongs to its run.
+    # Windows in suffix order, shard by shard; a window like the one before belongs to its run, where anchors still differ.
     own = np.take_along_axis(owner.T, sa, axis=0).T
-    joined = np.take_along_axis(common, sa, axis=0).T >= length
+    joined = np.take_along_axis(common, sa, axis=0).T >= symbols
     c, rank = np.nonzero(own >= 0)
     seg = own[c, rank]
     place = base[seg] + sa.T[c, rank]
     run = np.cumsum(~joined[c, rank])
-    order = np.lexsort((place, th[seg], k[seg], run))
-    c, seg, place, run = c[order], seg[order], place[order], run[order]
+    order = np.lexsort((place, th[seg], k[seg], group[seg], run))
+    seg, place, run = seg[order], place[order], run[order]
     later = np.zeros(len(run), bool)
-    same = run[1:] == run[:-1]
-    later[1:] = same
+    later[1:] = (run[1:] == run[:-1]) & (group[seg[1:]] == group[seg[:-1]])
     # A window equal to the first in document and place is the first itself, met in another row.
     first = np.maximum.accumulate(np.where(later, 0, np.arange(len(run))))
     later &= ~((k[seg] == k[seg[first]]) & (th[seg] == th[seg[first]]) & (place == place[first]))
@@ -239,8 +322,8 @@ def judge(shards: list[list[tuple[int, int, int, bytes]]], size: int, length: in
 SPAN = "k long, th long, start long, stop long"
 
 
-def shard_spans(several: DataFrame) -> DataFrame:
-    """Spans found in the suffix arrays of the anchors' segments; several: h, k, th, s0, bytes."""
+def shard_spans(several: DataFrame, n_segments: int) -> DataFrame:
+    """Spans found in the suffix arrays of the anchors' segments; several: h, k, th, s0, place, bytes."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(groups):
@@ -249,18 +332,19 @@ def shard_spans(several: DataFrame) -> DataFrame:
 
         groups, last, held = [], None, 0
         for batch in batches:
-            for h, k, th, s0, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, k, th, s0, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != last:
-                    if held > 2 * SYMBOLS:
+                    if held > TASK_BYTES:
                         yield done(groups)
                         groups, held = [], 0
                     groups.append([])
                     last = h
-                groups[-1].append((k, th, s0, data))
+                groups[-1].append((k, th, s0, at, data))
                 held += len(data)
         yield done(groups)
 
-    dealt = several.select("h", "k", "th", "s0", "bytes").repartition(partitions(several.sparkSession), "h").sortWithinPartitions("h")
+    tasks = max(several.sparkSession.sparkContext.defaultParallelism, -(-n_segments * (2 * LENGTH - ANCHOR) // TASK_BYTES))
+    dealt = several.select("h", "k", "th", "s0", "place", "bytes").repartition(tasks, "h").sortWithinPartitions("h")
     return dealt.mapInArrow(search, SPAN)
 
 
@@ -285,20 +369,29 @@ def window_spans(many: DataFrame) -> DataFrame:
     return each.join(first, ["h", "w"]).where("struct(k, th, start) <> f").selectExpr("k", "th", "start", f"start + {LENGTH} as stop")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def fetched(named: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen segments (h, k, th, s0) with their bytes and the anchor's place in them."""
+    bitmap = named.sparkSession.sparkContext.broadcast(position_map(chosen))
+    return segments(named, bitmap, with_bytes=True).select("h", "k", "th", "s0", "place", "bytes").join(chosen, ["h", "k", "th", "s0"])
+
+
+def repeats(named: DataFrame) -> DataFrame:
     """(k, th, spans): the spans to remove of each document that has any, overlapping and in any order."""
-    spark = docs.sparkSession
-    named = identified(docs)
-    repeated = cut(anchors(named).groupBy("h").count().where("count > 1").select("h"))
-    bitmap = spark.sparkContext.broadcast(bit_map(repeated))
-    same = ["h", "seg", "windows"]
-    found = segments(named, bitmap, with_bytes=True)
-    contents = cut(found.groupBy(*same).agg(F.min(F.struct("k", "th", "s0")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")))
-    per_anchor = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    several = contents.join(per_anchor, "h").select("h", "f.k", "f.th", "f.s0", "bytes", "m")
-    copies = segments(named, bitmap, with_bytes=False).join(contents.where("n > 1").select(*same, "f"), same).where("struct(k, th, s0) <> f")
+    spark = named.sparkSession
+    bitmap = spark.sparkContext.broadcast(repeated_anchors(named))
+    same = ["h", "seg"]
+    found = segments(named, bitmap, with_bytes=False)
+    contents = found.groupBy(*same).agg(F.min(F.struct("k", "th", "s0")).alias("f"), F.count(F.lit(1)).alias("n")).select(*same, "f.k", "f.th", "f.s0", (F.col("n") > 1).alias("again"))
+    contents = stored(contents)
+    firsts = contents.where("again").select(*same, F.col("k").alias("k1"), F.col("th").alias("th1"), F.col("s0").alias("s1"))
+    copies = found.join(firsts, same).where("k <> k1 or th <> th1 or s0 <> s1")
     whole = copies.selectExpr("k", "th", "s0 as start", f"s0 + windows + {LENGTH - 1} as stop")
-    spans = whole.union(shard_spans(several.where(F.col("m") <= SHARD_SEGMENTS))).union(window_spans(several.where(F.col("m") > SHARD_SEGMENTS)))
+    several = stored(contents.join(contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h").select("h", "k", "th", "s0", "m"))
+    few, many = several.where(F.col("m") <= SHARD_SEGMENTS).drop("m"), several.where(F.col("m") > SHARD_SEGMENTS).drop("m")
+    # Only now are bytes needed, and only of these segments.
+    spans = whole.union(shard_spans(fetched(named, few), few.count()))
+    if not many.isEmpty():
+        spans = spans.union(window_spans(fetched(named, many)))
     return spans.groupBy("k", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -334,9 +427,9 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows with all their columns and the spans to remove as ``__asx_spans`` (null: none)."""
-    found = repeats(docs).withColumnsRenamed({"k": "__asx_k", "th": "__asx_th", "spans": "__asx_spans"})
-    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_ID)) == F.col("__asx_k")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__asx_th"))
-    return docs.join(found, own, "left").drop("__asx_k", "__asx_th")
+    named, th = identified(docs)
+    found = stored(repeats(named)).withColumnsRenamed({"k": "__asx_k", "th": "__asx_th", "spans": "__asx_spans"})
+    return docs.join(found, (key_of(docs) == F.col("__asx_k")) & (th == F.col("__asx_th")), "left").drop("__asx_k", "__asx_th")
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -21,38 +21,50 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, ends: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Sorts all suffixes from leftmost-smaller ones (``seeds``, in order, -1 where a text has no more)."""
+    """Sorts all suffixes from leftmost-smaller ones (``seeds``, in order, -1 where a text has no more).
+
+    Positions, ranks and buckets are kept as indices of the flattened arrays: a step to the next
+    rank or position is one of ``width``, and a bucket holds the place that it fills next.
+    """
     n, width = t.shape
-    flat_t, flat_s = t.ravel(), smaller.ravel()
-    sa = np.full(n * width, -1, np.int32)
-    cols = np.arange(width, dtype=np.int64)
-
-    def put(bucket: np.ndarray, at: np.ndarray, values: np.ndarray, step: int) -> None:
-        c = flat_t[values.astype(np.int64) * width + at].astype(np.int64) * width + at
-        if step < 0:
-            slot = bucket[c] - 1
-            bucket[c] = slot
-        else:
-            slot = bucket[c]
-            bucket[c] = slot + 1
-        sa[slot.astype(np.int64) * width + at] = values
-
-    tails = ends.ravel().copy()
+    cols = np.arange(width)
+    bucket_of = (t.astype(np.int64) * width + cols).ravel()
+    kinds = smaller.ravel()
+    sa = np.full(n * width, -1, np.int64)
+    last = (ends.astype(np.int64) - 1) * width + cols
+
+    tails = last.ravel().copy()
     for row in seeds[::-1]:
         at = np.flatnonzero(row >= 0)
-        put(tails, at, row[at], -1)
-    heads, tails = (ends - counts).ravel(), ends.ravel().copy()
-    for bucket, order, of, step in ((heads, range(n), False, 1), (tails, range(n - 1, -1, -1), True, -1)):
-        for i in order:
-            before = sa[i * width : (i + 1) * width] - 1
-            at = np.flatnonzero(before >= 0)
-            values = before[at]
-            hit = flat_s[values.astype(np.int64) * width + cols[at]] == of
-            if hit.all():
-                put(bucket, at, values, step)
-            elif hit.any():
-                put(bucket, at[hit], values[hit], step)
-    return sa.reshape(n, width)
+        values = row[at].astype(np.int64) * width + at
+        b = bucket_of[values]
+        place = tails[b]
+        sa[place] = values
+        tails[b] = place - width
+
+    heads = (last - (counts.astype(np.int64) - 1) * width).ravel()
+    larger = np.where(kinds, -1, bucket_of)
+    for i in range(0, n * width, width):
+        values = sa[i : i + width]
+        values = values[values >= width] - width
+        b = larger[values]
+        hit = b >= 0
+        values, b = values[hit], b[hit]
+        place = heads[b]
+        sa[place] = values
+        heads[b] = place + width
+    del larger
+    tails, lesser = last.ravel().copy(), np.where(kinds, bucket_of, -1)
+    for i in range((n - 1) * width, -1, -width):
+        values = sa[i : i + width]
+        values = values[values >= width] - width
+        b = lesser[values]
+        hit = b >= 0
+        values, b = values[hit], b[hit]
+        place = tails[b]
+        sa[place] = values
+        tails[b] = place - width
+    return (sa // width).astype(np.int32).reshape(n, width)
 
 
 def _left_aligned(values: np.ndarray, column: np.ndarray, width: int, rows: int) -> np.ndarray:
@@ -124,21 +136,32 @@ def suffix_arrays(t: np.ndarray, symbols: int | None = None) -> np.ndarray:
     return _induce(t, smaller, ends, counts, order)
 
 
-def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position of each text, the common prefix (at most ``most``) with the suffix sorted before it."""
+def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """For each position of each text, the common prefix (at most ``most``) with the suffix sorted before it.
+
+    Eight symbols (of 8 bits) are compared at a time. wanted: the positions to fill; others stay 0.
+    """
     n, width = t.shape
-    before = np.full(t.shape, -1, np.int64)
-    cols = np.broadcast_to(np.arange(width), (n - 1, width))
-    before[sa[1:], cols] = sa[:-1]
+    before = np.full(t.shape, -1, np.int32)
+    before[sa[1:], np.arange(width)] = sa[:-1]
     out = np.zeros(t.shape, np.int32)
-    at, col = np.nonzero(before >= 0)
-    other = before[at, col]
-    for k in range(most):
-        inside = np.maximum(at, other) + k < n
-        alike = inside.copy()
-        alike[inside] = t[at[inside] + k, col[inside]] == t[other[inside] + k, col[inside]]
-        at, col, other = at[alike], col[alike], other[alike]
-        if not len(at):
+    padded = np.zeros((n + most + 8, width), np.uint64)
+    padded[:n] = t
+    eight = padded[: n + most].copy()
+    for k in range(1, 8):
+        eight |= padded[k : n + most + k] << np.uint64(8 * k)
+    eight = eight.ravel()
+    place = np.flatnonzero((before >= 0) if wanted is None else (before >= 0) & wanted)
+    at, other = place, before.ravel()[place].astype(np.int64) * width + place % width
+    flat = out.ravel()
+    for k in range(0, most, 8):
+        x = eight[at + k * width] ^ eight[other + k * width]
+        unlike = x != 0
+        low = x[unlike]
+        flat[place[unlike]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        alike = ~unlike
+        place, at, other = place[alike], at[alike], other[alike]
+        if not len(place):
             break
-        out[at, col] = k + 1
-    return out
+    flat[place] = most
+    return np.minimum(out, most)
