@@ -170,7 +170,7 @@ def ads_in_campaigns(t: Tables) -> DataFrame:
 @query(
     with_tables(
         f"""SELECT w.winner_ad_id AS ad_id, coalesce(a.headline, 'Ad #' || w.winner_ad_id) AS headline, coalesce(a.destination_url, '') AS destination_url, w.winner_campaign_id AS campaign_id, coalesce(c.name, 'Campaign #' || w.winner_campaign_id) AS campaign_name,
-        count(*) AS auction_wins, round(avg(w.winning_bid_cents), 6) AS avg_winning_bid_cents, round(avg(w.winning_final_score), 6) AS avg_final_score
+        count(*) AS auction_wins, round(avg(w.winning_bid_cents), 10) AS avg_winning_bid_cents, round(avg(w.winning_final_score), 10) AS avg_final_score
         FROM auctions w LEFT JOIN ads a ON a.id = w.winner_ad_id LEFT JOIN campaigns c ON c.id = w.winner_campaign_id WHERE w.winner_ad_id IS NOT NULL AND {RANGE} GROUP BY w.winner_ad_id, a.headline, a.destination_url, w.winner_campaign_id, c.name ORDER BY auction_wins DESC, ad_id, campaign_id LIMIT 20""",
         "auctions",
         "ads",
@@ -178,7 +178,7 @@ def ads_in_campaigns(t: Tables) -> DataFrame:
     )
 )
 def top_winning_ads(t: Tables) -> DataFrame:
-    return rounded(d.top_winning_ads(t.auctions, t.ads, t.campaigns, START, END, 20))
+    return rounded(d.top_winning_ads(t.auctions, t.ads, t.campaigns, START, END, 20), decimals=10)  # six decimals meet ties
 
 
 @query(
