@@ -331,3 +331,30 @@ def test_lm_prefers_the_target(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.score for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()}
     assert max(got[i] for i in range(41, 80, 2)) < min(got[i] for i in range(40, 80, 2))
+
+
+def test_lm_counts_each_word_bigram(spark):
+    """The losses are those of plain bigram counts over real words, more of them than the hashed model has cells."""
+    import math
+    from collections import Counter
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(2000)] + rnd.choices(["Alpha", "beta", "alpha", "Straße"], k=300))) for i in range(140)]
+    rows += [(140, None), (141, " \n"), (None, "alpha beta"), (3, "beta beta alpha")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 1, 1), (None, 1, 0), (999, 1, 0)], "doc_id bigint, quality int, toxic int")
+    words = [(x or "").lower().split() for _, x in rows]
+    own = [k is not None and k < 60 and k % 2 == 1 and k != 1 for k, _ in rows]
+    losses, distinct = [], len({w for x in words for w in x})
+    assert distinct > lm.CELLS
+    for among in (own, [True] * len(rows)):
+        single, before, pair = Counter(), Counter(), Counter()
+        for x, use in zip(words, among, strict=True):
+            if use:
+                single.update(x), before.update([None, *x][: len(x)]), pair.update(zip([None, *x], x))
+        total = single.total()
+        p = lambda b: (single[b] + lm.ALPHA) / (total + lm.ALPHA * distinct)  # noqa: E731, B023
+        losses.append([sum(-math.log(lm.MIX * pair[a, b] / before[a] + (1 - lm.MIX) * p(b) if before[a] else p(b)) for a, b in zip([None, *x], x)) / len(x) if x else None for x in words])
+    want = sorted(((k, len(x), t, g) for (k, _), x, t, g in zip(rows, words, *losses, strict=True)), key=repr)
+    got = sorted((tuple(r)[:4] for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [v for x in got for v in x[2:]] == [v if v is None else pytest.approx(v) for x in want for v in x[2:]]
