@@ -10,8 +10,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "select", "math", "audio", "video"}
-#: Of these the content isn't even markup.
+#: Of these the content isn't even markup, so the next tag is looked for after their end.
 RAW = {"script", "style", "iframe", "title", "textarea"}
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "address", "fieldset", "details", "summary", "center", "menu", "dialog", "button", "label", "caption"}
 #: An opening tag ends these open elements, up to the nearest of the second set.
@@ -49,28 +50,24 @@ def parse(page: str) -> list[Node]:
                 node.linked += len(own.strip())
             order += 1
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         closing = bool(m[1])
-        if silent:
+        if tag in RAW and not closing and not m[3].endswith("/"):
+            end = RAW_ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+        elif silent:
             if tag == silent[-1] and closing:
                 silent.pop()
             elif tag in SILENT and not closing and not m[3].endswith("/"):
                 silent.append(tag)
-            continue
-        if tag in SILENT:
+        elif tag in SILENT:
             if not closing and not m[3].endswith("/"):
-                if tag in RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    silent.append(tag)
+                silent.append(tag)
         elif tag == "br" or tag == "hr":
             text(" ")
         elif tag == "a":

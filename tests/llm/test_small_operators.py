@@ -304,6 +304,16 @@ def test_extraction(spark, page_model):
     assert got[1].text == want and got[1].n_chars == len(want) and got[2].text == got[3].text == "" and got[2].url is None and len(got) == 5
 
 
+@pytest.mark.parametrize("holder", ["{}", "<template>{}</template>", "<noscript>{}</noscript>"])
+def test_raw_elements_hide_no_tags(holder):
+    """What looks like a tag in a script, with an odd quote after it, takes no real tags with it."""
+    script = holder.format("<script>for(i=0;i<len;i++) // don't\n</script>")
+    body = "<nav>Home</nav><article><p>It's the first.</p><p>The second.</p></article><footer>Us</footer>"
+    tree, plain = htmltree.parse(f"{script}{body}"), htmltree.parse(body)
+    assert [(x.tag, x.parent, [t for _, t in x.pieces]) for x in tree] == [(x.tag, x.parent, [t for _, t in x.pieces]) for x in plain]
+    assert [x.tag for x in tree] == ["html", "nav", "article", "p", "p", "footer"]
+
+
 # -- language models
 
 
