@@ -28,7 +28,7 @@ def keywords(docs: DataFrame, key: str, text: str, n: int, least: float = 0.0) -
     Weight is frequency times length in words, scaled to the best of the text.
     """
     words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    rows = docs.select(key, words.alias("w"))
+    rows = docs.select(key, text).repartition(key).select(key, words.alias("w"))  # texts take less room in a shuffle than their words
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     grams = rows.select(key, F.explode(F.concat("w", pairs)).alias("keyword")).groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("c"))
     weighed = grams.withColumn("weight", F.col("c") * (F.size(F.split("keyword", " ")) + 1))

@@ -266,7 +266,7 @@ def html_to_text(t: Tables) -> DataFrame:
 
 @query()
 def keyword_extraction(t: Tables) -> DataFrame:
-    return textprep.keywords(t.raw("documents").where("lang = 'en'"), "doc_id", "text", 20, 0.1)
+    return textprep.keywords(t.raw("documents"), "doc_id", "text", 20, 0.1)
 
 
 @query()

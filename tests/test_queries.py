@@ -22,3 +22,15 @@ def test_rows(spark, sf, name):
 def test_entry(spark, sf):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keywords_of_every_document(spark, sf):
+    """Texts of all languages have keywords: each that has a word of three letters that is no stop word."""
+    import re
+
+    from adspectra.operators.textprep import STOP_WORDS
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    want = {r.doc_id for r in docs if any(len(w) > 2 and w not in STOP_WORDS for w in re.split(r"[\W_]+", (r.text or "").lower()))}
+    assert len({r.lang for r in docs if r.doc_id in want}) > 1
+    assert {r.doc_id for r in QUERIES["keyword_extraction"](spark, sf).select("doc_id").distinct().collect()} == want
