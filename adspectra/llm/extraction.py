@@ -63,7 +63,7 @@ class Forest:
         self.depth = np.array([x.depth for x in flat], np.int64)
         tags = [SAME_TAG.get(x.tag, x.tag) for x in flat]
         self.kind = np.array([KINDS.get(x, HOLDER_KIND) for x in tags], np.int64)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max(initial=-1)) + 1)]
+        self.levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1])
         self.x = self._features(flat, tags)
 
     def _features(self, flat: list[Node], tags: list[str]) -> np.ndarray:

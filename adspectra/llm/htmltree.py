@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements whose content is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "select", "math", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "select", "audio", "video"}
 #: Of these the content isn't even markup, so the next tag is looked for after their end.
 RAW = {"script", "style", "iframe", "title", "textarea"}
 RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
@@ -18,7 +19,6 @@ BLOCKS = {"html", "body", "article", "main", "section", "div", "nav", "header",
 #: An opening tag ends these open elements, up to the nearest of the second set.
 ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"})}
 SCOPE = {"html", "body", "td", "th", "table"}
-MOST_DEPTH = 256
 
 
 @dataclass
@@ -36,6 +36,7 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order; node 0 is the root, and a node's parent comes before it."""
     nodes = [Node("html", -1, 0)]
     stack = [0]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
     open_links = order = 0
     silent: list[str] = []
     at = 0
@@ -50,6 +51,15 @@ def parse(page: str) -> list[Node]:
                 node.linked += len(own.strip())
             order += 1
 
+    def top(tags: set[str]) -> int:
+        """The innermost open element of some tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            places[nodes[n].tag].pop()
+        del stack[k:]
+
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
@@ -78,26 +88,21 @@ def parse(page: str) -> list[Node]:
         elif tag not in BLOCKS:
             continue
         elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPE and tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot"):
-                    break
+            k = top({tag})
+            if k and (tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") or k > top(SCOPE)):
+                close(k)
             open_links = 0
         else:
             ends, scope = ENDS.get(tag, ({"p"}, SCOPE | {"button"}))
-            for k in range(len(stack) - 1, 0, -1):
+            least = top(scope)
+            while (k := top(ends)) > least:
                 own = nodes[stack[k]].tag
-                if own in scope:
+                close(k)
+                if own != "p":
                     break
-                if own in ends:
-                    del stack[k:]
-                    if own != "p":
-                        break
-            if len(stack) < MOST_DEPTH:
-                nodes.append(Node(tag, stack[-1], len(stack), names(m[3])))
-                stack.append(len(nodes) - 1)
+            nodes.append(Node(tag, stack[-1], len(stack), names(m[3])))
+            places[tag].append(len(stack))
+            stack.append(len(nodes) - 1)
             open_links = 0
     text(page[at:])
     return nodes

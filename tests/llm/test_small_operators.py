@@ -314,6 +314,21 @@ def test_raw_elements_hide_no_tags(holder):
     assert [x.tag for x in tree] == ["html", "nav", "article", "p", "p", "footer"]
 
 
+def test_deep_pages_keep_their_tree(page_model):
+    """Blocks at any depth have nodes and close their own; a page far deeper than any real one ends."""
+    deep = 400
+    tree = htmltree.parse("<div>" * deep + "<p>first</p><p>second</p>" + "</div>" * (deep - 1) + "<nav>menu</nav></div>")
+    (nav,) = (k for k, x in enumerate(tree) if x.tag == "nav")
+    assert [x.depth for x in tree if x.tag == "p"] == [deep + 1] * 2 and tree[nav].depth == 2 and tree[nav].parent == 1
+    assert htmltree.joined(tree, [True] * len(tree)) == "first second menu"
+    assert len(page_model.texts(["<div>" * 20_000 + "deep" + "<p>p</div>" * 20_000])) == 1
+
+
+def test_formulas_are_text():
+    tree = htmltree.parse("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>")
+    assert htmltree.joined(tree, [True] * len(tree)) == "so x=1 holds"
+
+
 # -- language models
 
 
