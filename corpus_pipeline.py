@@ -17,7 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the least id."""
+    """One document of each group of near-duplicates: the one of the least id.
+
+    Near-duplicates are texts whose fingerprints of 4-word shingles differ in at most 4 bits, and what such links
+    chain together. This is not a bound on similarity: the README gives the share of similar pairs it finds.
+    """
     return simhash.one_of_each(docs)
 
 
