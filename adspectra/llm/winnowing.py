@@ -1,9 +1,13 @@
 """Winnowing fingerprints, in DataFrame functions alone.
 
-A text is cut into tokens: runs of characters other than ASCII white space, of at most ``TOKEN``
-characters each.  Every run of ``GRAM`` tokens has a hash; of every ``WINDOW`` consecutive hashes
+A text is cut into tokens: runs of characters other than ASCII white space of at most ``TOKEN``
+characters, and each single character of longer runs, so that texts without spaces match wherever a
+passage begins in them.  Every run of ``GRAM`` tokens has a hash; of every ``WINDOW`` consecutive hashes
 the least is chosen, the rightmost on ties, and kept with its position.  So any ``GRAM + WINDOW -
 1`` tokens that two texts share give both a common hash, and matches shorter than ``GRAM`` tokens never do.
+Of a passage without white space of over ``TOKEN`` characters every character is a token in both texts.
+A gram's hash is the XXH64 of its tokens' XXH64, made afresh for each gram and not rolled on: rolling would
+give other hashes but the same guarantee.
 A text of fewer than ``GRAM`` tokens has one hash of all of them; of fewer hashes than a window,
 one window.
 
@@ -34,8 +38,9 @@ FIRST_ID = -(1 << 63)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of characters other than ASCII white space, cut after ``TOKEN`` characters."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{TOKEN}}}"), F.lit(0))
+    """Runs of at most ``TOKEN`` characters other than ASCII white space, and the characters of longer runs."""
+    own = "[^\\x20\\x09-\\x0D]"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?<!{own}){own}{{1,{TOKEN}}}+(?!{own})|{own}"), F.lit(0))
 
 
 def selection(words: Column, gram: int = GRAM, window: int = WINDOW) -> list:

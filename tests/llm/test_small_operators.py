@@ -144,6 +144,18 @@ def test_shared_runs_share_a_hash(spark):
     assert x & y
 
 
+def test_texts_without_spaces_match_at_any_offset(spark):
+    rnd = random.Random(6)
+    made = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage = made(17)
+    rows = [(k, made(100 + k) + passage + made(60)) for k in range(17)]
+    first, *others = ({h for h, _ in r.selected} for r in winnowing.fingerprint(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert all(first & x for x in others)
+    assert winnowing.compare(spark.createDataFrame(rows[:2], "doc_id int, text string")).where("near_next > 0").count() == 2
+    (got,) = spark.createDataFrame([("ab " + "x" * 16 + "\n" + "y" * 17 + " c",)], "text string").select(winnowing.tokens(F.col("text")).alias("t")).collect()
+    assert got.t == ["ab", "x" * 16, *"y" * 17, "c"]
+
+
 def test_compare(spark, docs):
     rows = winnowing.compare(docs).collect()
     order = sorted(texts_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
