@@ -138,17 +138,17 @@ def identified(docs: DataFrame) -> tuple[DataFrame, Column]:
     return docs.select(key_of(docs).alias("k"), th.alias("th"), text.alias("text")), th
 
 
-def repeated_anchors(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The map of anchors that may occur more than once, by 32 bits of their hash.
+def anchor_numbers(docs: DataFrame, ranges: int) -> DataFrame:
+    """(r, f): the upper 32 bits of the anchors' hashes, packed, one row for each range of them that some texts have.
 
-    A task sends its anchors as packed 32-bit numbers, one row for each range of them; a range's
-    numbers are counted together and give a slice of the map.
+    Of one number at most two copies are sent for each ``2**22`` anchors or so, as they are only asked whether there
+    are two; so a range's rows don't grow with an anchor that a long run or a hot passage repeats.
     """
-    ranges = 1 << max(6, (4 * partitions(docs.sparkSession) - 1).bit_length())
     per = (1 << 32) // ranges
 
     def send(parts: list[np.ndarray]) -> pa.RecordBatch:
         f = np.sort(np.concatenate(parts))
+        f = np.concatenate([f[:2], f[2:][f[2:] != f[:-2]]])
         edges = np.searchsorted(f, np.arange(1, ranges, dtype=np.uint64) * np.uint64(per))
         own = [(k, x.tobytes()) for k, x in enumerate(np.split(f, edges)) if len(x)]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["r", "f"])
@@ -165,12 +165,23 @@ def repeated_anchors(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         if held:
             yield send(parts)
 
+    return docs.select("text").mapInArrow(found, "r int, f binary")
+
+
+def repeated_anchors(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The map of anchors that may occur more than once, by 32 bits of their hash.
+
+    A task sends its anchors as packed 32-bit numbers, one row for each range of them; a range's
+    numbers are counted together and give a slice of the map.
+    """
+    ranges = 1 << max(6, (4 * partitions(docs.sparkSession) - 1).bit_length())
+
     def count(rows: pa.Table) -> pa.Table:
         f = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("f").to_pylist()]))
         again = f[1:][f[1:] == f[:-1]]
         return pa.table({"r": pa.array([rows.column("r")[0].as_py()], pa.int32()), "w": pa.array([slice_of(again, bits).tobytes()], pa.binary()), "at": pa.array([int(again[0] >> np.uint32(32 - bits)) >> 6 if len(again) else 0], pa.int64())})
 
-    got = docs.select("text").mapInArrow(found, "r int, f binary").groupBy("r").applyInArrow(count, "r int, w binary, at long").toArrow()
+    got = anchor_numbers(docs, ranges).groupBy("r").applyInArrow(count, "r int, w binary, at long").toArrow()
     return assembled(zip(got.column("at").to_pylist(), got.column("w").to_pylist(), strict=True), bits)
 
 

@@ -176,6 +176,21 @@ def test_blocks_of_long_texts(monkeypatch):
     assert seen == Counter((i, k) for i, x in enumerate(texts) for k in range(len(x) - 99))
 
 
+def test_a_long_run_sends_few_anchors(spark):
+    """An anchor is sent twice at most from each batch, and the map holds those that occur again all the same."""
+    rnd = random.Random(3)
+    texts = ["a" * 300_000, "".join(rnd.choices("abcdefgh ", k=5_000)), "".join(rnd.choices("ijklmnop ", k=5_000))]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, texts[1]])], "doc_id int, text string").coalesce(1)
+    every = Counter(int(h) >> 32 for x in (*texts, texts[1]) for pieces, _, _ in substrings.blocks([x.encode()]) for h in substrings.Segments(pieces).h)
+    assert max(every.values()) > 100_000
+    sent = Counter(int(v) for r in substrings.anchor_numbers(docs, 64).collect() for v in np.frombuffer(r.f, np.uint32))
+    assert sent == {v: min(n, 2) for v, n in every.items()}
+    want = np.zeros(1 << 26, np.uint64)
+    for v in [v for v, n in every.items() if n > 1]:
+        want[v >> 6] |= np.uint64(1) << np.uint64(v & 63)
+    assert (substrings.repeated_anchors(docs, 32) == want).all()
+
+
 def test_equal_windows_have_equal_anchors():
     rnd = random.Random(1)
     w = bytes(rnd.choices(b"ab", k=160))
