@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from adspectra.sources.session import ship
 
 #: Prefix of every column an operator adds to a caller's table for its own use.
 OWN = "__asx_"
+#: Settings under which Spark removes a finished query's shuffle files.
+SHUFFLE_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -43,19 +46,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has Spark remove the shuffle files of each query that runs inside, once that query is over."""
+    before = {k: spark.conf.get(k, None) for k in SHUFFLE_CLEANUP}
+    try:
+        for k in SHUFFLE_CLEANUP:
+            spark.conf.set(k, "true")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a Parquet table, which takes less room; it goes when the driver's process ends.
+    """As ``cut``, but as a Parquet table, which takes less room; the shuffle files that led to it go at once.
 
-    The shuffle files of what was stored aren't needed any more.  Spark removes them once the driver's
-    garbage is collected, which is asked for here, so that a long job doesn't hold those of all its steps.
+    The table goes by ``dropped``, or when the driver's process ends.
     """
     spark = spark_of(df)
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        _remove(spark_of(df), df.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -11,18 +11,20 @@ most ``2 * LENGTH - ANCHOR`` bytes.  A document of n bytes has about ``2 n / 65`
 1. All anchors are counted by 32 bits of their hash, shuffled as packed numbers.  Those seen once
    can't hold a repeat and go.  A bit map of fixed size of the others is all that is broadcast; it only saves
    shuffling and loses nothing when it fills up.
-2. Segments of repeated anchors are grouped by (anchor, content), combined map-side, so a passage
-   in a third of all documents costs one row per task.  All but the first segment of a group are
-   repeats as a whole.
+2. Segments of repeated anchors are grouped by (anchor, content).  All but the first segment of a
+   group are repeats as a whole.  Those that a block of texts holds before are known at once and never shuffled,
+   so a passage in a third of all documents costs a row a block.
 3. The first segments of an anchor with several contents are the shards' texts.  Suffix arrays are
    built by induced sorting (``suffixes``), permuted common prefixes give runs of suffixes that
    share ``LENGTH`` bytes, and in each run all but the earliest window are repeats.  Only these
    segments are ever shuffled with their bytes.
-   An anchor with more than ``SHARD_SEGMENTS`` different contents isn't one shard: its windows are
-   grouped by their own content instead, again combined map-side, all but the first being repeats.
+   An anchor with more than ``SHARD_SEGMENTS`` different contents is split by its context: its windows are
+   dealt out by the least 4, then 16, then all of their grams' hashes with the places around the anchor.  Equal
+   windows have equal contexts, and windows side by side with one context stay one segment.  The smaller
+   groups go to suffix arrays in their turn, and groups by all grams have one content each.
 4. Spans are gathered by document and cut out.
 
-Contents are compared as 128-bit hashes in steps 2 and 3's last part, as bytes in the suffix arrays.
+Contents are compared as 128-bit hashes in step 2, as bytes in the suffix arrays.
 
 A document is known by its id and the hash of its text.  Defined cases: null text is empty; a null
 id sorts first; rows that repeat both id and text are one document and get equal results; rows of
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +44,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, partitions, raw, stored
+from .common import dropped, freed_shuffles, mix64, partitions, raw, stored
 from .suffixes import permuted_common_prefixes, suffix_arrays
 from .wordbpe import powers
 
 LENGTH, ANCHOR = 100, 36
 SHARD_SEGMENTS = 256
+#: Numbers of least grams that deal out the windows of larger groups, in turn; the last is all grams of a window.
+CONTEXTS = (4, 16, LENGTH - ANCHOR + 1)
 #: log2 of the bits of the broadcast map of repeated anchors.
 FILTER_BITS = 27
 #: Bytes hashed at once, and symbols of suffix arrays built at once.
-BLOCK, SYMBOLS = 1 << 21, 1 << 20
+BLOCK, SYMBOLS = 1 << 19, 1 << 20
+#: Rows whose texts are taken out of an Arrow batch at once.
+ROWS = 256
 #: Bytes of segments that a task takes and holds: suffix arrays are the cheaper, the more shards of one size are built together.
-TASK_BYTES = 1 << 25
+TASK_BYTES = 1 << 24
 POSITION = np.uint64((1 << 21) - 1)
 FIRST_ID = -(1 << 63)
 
 SEGMENT = "h long, seg long, k long, th long, s0 long, windows int"
+WITH_BYTES = SEGMENT + ", place int, bytes binary"
 
 
 class Segments:
@@ -123,6 +131,12 @@ def blocks(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[byte
         yield pieces, of, begin
 
 
+def texts_of(column) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of an Arrow column, ``ROWS`` at a time, with the row of the first."""
+    for row in range(0, len(column), ROWS):
+        yield row, raw(column.slice(row, ROWS))
+
+
 def key_of(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
 
@@ -156,9 +170,10 @@ def anchor_numbers(docs: DataFrame, ranges: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for pieces, _, _ in blocks(raw(batch.column(0))):
-                parts.append((Segments(pieces).h >> np.uint64(32)).astype(np.uint32))
-                held += len(parts[-1])
+            for _, texts in texts_of(batch.column(0)):
+                for pieces, _, _ in blocks(texts):
+                    parts.append((Segments(pieces).h >> np.uint64(32)).astype(np.uint32))
+                    held += len(parts[-1])
                 if held > 1 << 22:
                     yield send(parts)
                     parts, held = [], 0
@@ -181,7 +196,8 @@ def repeated_anchors(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         again = f[1:][f[1:] == f[:-1]]
         return pa.table({"r": pa.array([rows.column("r")[0].as_py()], pa.int32()), "w": pa.array([slice_of(again, bits).tobytes()], pa.binary()), "at": pa.array([int(again[0] >> np.uint32(32 - bits)) >> 6 if len(again) else 0], pa.int64())})
 
-    got = anchor_numbers(docs, ranges).groupBy("r").applyInArrow(count, "r int, w binary, at long").toArrow()
+    with freed_shuffles(docs.sparkSession):
+        got = anchor_numbers(docs, ranges).groupBy("r").applyInArrow(count, "r int, w binary, at long").toArrow()
     return assembled(zip(got.column("at").to_pylist(), got.column("w").to_pylist(), strict=True), bits)
 
 
@@ -208,7 +224,8 @@ def bit_map(anchors: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """The map of the anchors in column h, made of at most ``2**bits / 64`` words."""
     slot = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
     words = anchors.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    with freed_shuffles(anchors.sparkSession):
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return out
@@ -229,31 +246,49 @@ def position_map(chosen: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return bit_map(chosen.select("h", "k", "s0").mapInArrow(hashed, "h long"), bits)
 
 
+def again_here(h: np.ndarray, seg: np.ndarray, k: np.ndarray, th: np.ndarray, s0: np.ndarray) -> np.ndarray:
+    """Which segments have a content that another segment here has at an earlier place."""
+    order = np.lexsort((s0, th, k, seg, h))
+    h, seg, k, th, s0 = (x[order] for x in (h, seg, k, th, s0))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    out = np.zeros(len(h), bool)
+    out[order] = (k != k[first]) | (th != th[first]) | (s0 != s0[first])
+    return out
+
+
 def segments(docs: DataFrame, bitmap, with_bytes: bool, bits: int = FILTER_BITS) -> DataFrame:
-    """The segments whose anchors the bit map holds, or with bytes: those whose positions it holds; bitmap: a broadcast variable."""
-    names = [x.split()[0] for x in SEGMENT.split(", ")] + ["place", "bytes"] * with_bytes
+    """The segments whose anchors the bit map holds, or with bytes: those whose positions it holds; bitmap: a broadcast variable.
+
+    Without bytes, ``again`` tells those that are known to be repeats as a whole, by others of the same block.
+    """
+    names = [x.split()[0] for x in SEGMENT.split(", ")] + (["place", "bytes"] if with_bytes else ["again"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
         for batch in batches:
             k, th = (batch.column(i).to_numpy() for i in (0, 1))
-            for pieces, of, begin in blocks(raw(batch.column(2))):
-                s = Segments(pieces)
-                row = np.asarray(of, np.int64)[s.owner]
-                place = s.start - s.first[s.owner] + np.asarray(begin, np.int64)[s.owner]
-                slot = (position_hash(s.h, k[row], place) if with_bytes else s.h) >> np.uint64(64 - bits)
-                wanted = (held[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1
-                s.keep(wanted)
-                row, place = row[wanted], place[wanted]
-                columns = [s.h.view(np.int64), s.content().view(np.int64), k[row], th[row], place, s.windows.astype(np.int32)]
-                arrays = [pa.array(x) for x in columns]
-                if with_bytes:
-                    whole = s.text.tobytes()
-                    arrays.append(pa.array(s.at.astype(np.int32)))
-                    arrays.append(pa.array([whole[a : a + n] for a, n in zip(s.start.tolist(), (s.windows + LENGTH - 1).tolist(), strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return docs.mapInArrow(found, SEGMENT + ", place int, bytes binary" * with_bytes)
+            for base, texts in texts_of(batch.column(2)):
+                for pieces, of, begin in blocks(texts):
+                    s = Segments(pieces)
+                    row = base + np.asarray(of, np.int64)[s.owner]
+                    place = s.start - s.first[s.owner] + np.asarray(begin, np.int64)[s.owner]
+                    slot = (position_hash(s.h, k[row], place) if with_bytes else s.h) >> np.uint64(64 - bits)
+                    wanted = (held[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1
+                    s.keep(wanted)
+                    row, place = row[wanted], place[wanted]
+                    columns = [s.h.view(np.int64), s.content().view(np.int64), k[row], th[row], place, s.windows.astype(np.int32)]
+                    arrays = [pa.array(x) for x in columns]
+                    if with_bytes:
+                        whole = s.text.tobytes()
+                        arrays.append(pa.array(s.at.astype(np.int32)))
+                        arrays.append(pa.array([whole[a : a + n] for a, n in zip(s.start.tolist(), (s.windows + LENGTH - 1).tolist(), strict=True)], pa.binary()))
+                    else:
+                        arrays.append(pa.array(again_here(*columns[:5])))
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return docs.mapInArrow(found, WITH_BYTES if with_bytes else SEGMENT + ", again boolean")
 
 
 def repeats_in_shards(groups: list[list[tuple[int, int, int, int, bytes]]], length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
@@ -359,51 +394,107 @@ def shard_spans(several: DataFrame, n_segments: int) -> DataFrame:
     return dealt.mapInArrow(search, SPAN)
 
 
-def window_spans(many: DataFrame) -> DataFrame:
-    """Spans of repeated windows of anchors that have too many segments for one shard."""
+def contexts(texts: list[bytes], place: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' windows dealt out by the ``least`` least of their grams: text, first window, number of windows, key and content of each run.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place: where the anchor starts in each text.  A gram counts by its hash and its place from the anchor, so that no two of
+    a window are alike, and equal windows around one anchor have equal grams.
+    """
+    s = Segments(texts)
+    sizes = np.array([len(x) - LENGTH + 1 for x in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams = (s.first[of] + step)[:, None] + np.arange(LENGTH - ANCHOR + 1)
+    around = (grams - (s.first + place)[of][:, None] + LENGTH).astype(np.uint64)
+    every = s.hash(np.arange(len(s.text) - ANCHOR + 1), ANCHOR)
+    value = every[grams] & ~np.uint64(255) | around
+    if least < value.shape[1]:
+        value = np.partition(value, least - 1, axis=1)[:, :least]
+    value.sort(axis=1)
+    key = h.view(np.uint64)[of]
+    for column in value.T:
+        key = mix64(key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+    head = np.flatnonzero(new)
+    windows = np.diff(np.append(head, len(of)))
+    return of[head], step[head], windows, key[head], s.hash(s.first[of[head]] + step[head], windows + LENGTH - 1)
+
+
+def dealt(rows: DataFrame, least: int) -> DataFrame:
+    """The runs of windows of segments with bytes, dealt out by context, as segments with bytes."""
+    names = [x.split()[0] for x in WITH_BYTES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 4096):
-                part = batch.slice(row, 4096)
-                k, th, s0 = (part.column(i).to_numpy() for i in (1, 2, 3))
-                texts = raw(part.column(4))
-                s = Segments(texts)
-                sizes = np.array([len(x) - LENGTH + 1 for x in texts], np.int64)
-                of = np.repeat(np.arange(len(texts)), sizes)
-                step = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                h = np.repeat(part.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, s.hash(s.first[of] + step, LENGTH).view(np.int64), k[of], th[of], s0[of] + step)], ["h", "w", "k", "th", "start"])
-
-    each = many.select("h", "k", "th", "s0", "bytes").mapInArrow(windows, "h long, w long, k long, th long, start long")
-    first = each.groupBy("h", "w").agg(F.min(F.struct("k", "th", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.join(first, ["h", "w"]).where("struct(k, th, start) <> f").selectExpr("k", "th", "start", f"start + {LENGTH} as stop")
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                h, k, th, s0, place = (part.column(i).to_numpy() for i in range(5))
+                texts = raw(part.column(5))
+                of, first, windows, key, content = contexts(texts, place, h, least)
+                bytes_of = pa.array([texts[i][a : a + n + LENGTH - 1] for i, a, n in zip(of.tolist(), first.tolist(), windows.tolist(), strict=True)], pa.binary())
+                columns = [key.view(np.int64), content.view(np.int64), k[of], th[of], s0[of] + first, windows.astype(np.int32), (place[of] - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), bytes_of], names)
+
+    return rows.select("h", "k", "th", "s0", "place", "bytes").mapInArrow(run, WITH_BYTES)
 
 
 def fetched(named: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen segments (h, k, th, s0) with their bytes and the anchor's place in them."""
+    """The chosen segments (h, k, th, s0, m) with their bytes and the anchor's place in them."""
     bitmap = named.sparkSession.sparkContext.broadcast(position_map(chosen))
     return segments(named, bitmap, with_bytes=True).select("h", "k", "th", "s0", "place", "bytes").join(chosen, ["h", "k", "th", "s0"])
 
 
+def by_content(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first segment of each content of an anchor, the spans of all others); found: as ``SEGMENT``."""
+    same = ["h", "seg"]
+    contents = found.groupBy(*same).agg(F.min(F.struct("k", "th", "s0")).alias("f"), F.count(F.lit(1)).alias("n"))
+    contents = stored(contents.select(*same, "f.k", "f.th", "f.s0", (F.col("n") > 1).alias("again")))
+    firsts = contents.where("again").select(*same, F.col("k").alias("k1"), F.col("th").alias("th1"), F.col("s0").alias("s1"))
+    copies = found.join(firsts, same).where("k <> k1 or th <> th1 or s0 <> s1")
+    return contents, whole_spans(copies)
+
+
+def whole_spans(found: DataFrame) -> DataFrame:
+    return found.selectExpr("k", "th", "s0 as start", f"s0 + windows + {LENGTH - 1} as stop")
+
+
+def of_several(contents: DataFrame) -> DataFrame:
+    """The contents' first segments (h, k, th, s0) of anchors that have more than one, with their number m."""
+    return contents.join(contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h").select("h", "k", "th", "s0", "m")
+
+
 def repeats(named: DataFrame) -> DataFrame:
     """(k, th, spans): the spans to remove of each document that has any, overlapping and in any order."""
     spark = named.sparkSession
     bitmap = spark.sparkContext.broadcast(repeated_anchors(named))
-    same = ["h", "seg"]
     found = segments(named, bitmap, with_bytes=False)
-    contents = found.groupBy(*same).agg(F.min(F.struct("k", "th", "s0")).alias("f"), F.count(F.lit(1)).alias("n")).select(*same, "f.k", "f.th", "f.s0", (F.col("n") > 1).alias("again"))
-    contents = stored(contents)
-    firsts = contents.where("again").select(*same, F.col("k").alias("k1"), F.col("th").alias("th1"), F.col("s0").alias("s1"))
-    copies = found.join(firsts, same).where("k <> k1 or th <> th1 or s0 <> s1")
-    whole = copies.selectExpr("k", "th", "s0 as start", f"s0 + windows + {LENGTH - 1} as stop")
-    several = stored(contents.join(contents.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "h").select("h", "k", "th", "s0", "m"))
-    few, many = several.where(F.col("m") <= SHARD_SEGMENTS).drop("m"), several.where(F.col("m") > SHARD_SEGMENTS).drop("m")
+    contents, copies = by_content(found.where("not again").drop("again"))
+    spans = [stored(whole_spans(found.where("again")).union(copies))]
+    several = stored(of_several(contents))
+    dropped(contents)
     # Only now are bytes needed, and only of these segments.
-    spans = whole.union(shard_spans(fetched(named, few), few.count()))
-    if not many.isEmpty():
-        spans = spans.union(window_spans(fetched(named, many)))
-    return spans.groupBy("k", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = stored(fetched(named, several))
+    dropped(several)
+    shards, used = [rows.where(F.col("m") <= SHARD_SEGMENTS)], [rows]
+    for least in CONTEXTS:
+        large = rows.where(F.col("m") > SHARD_SEGMENTS)
+        if large.isEmpty():
+            break
+        runs = stored(dealt(large, least))
+        contents, copies = by_content(runs.drop("place", "bytes"))
+        spans.append(stored(copies))
+        rows = stored(runs.select("h", "k", "th", "s0", "place", "bytes").join(of_several(contents), ["h", "k", "th", "s0"]))
+        dropped(runs, contents)
+        used.append(rows)
+        # A group by all grams holds one content, unless keys clash.
+        shards.append(rows if least == CONTEXTS[-1] else rows.where(F.col("m") <= SHARD_SEGMENTS))
+    several = reduce(DataFrame.unionByName, shards)
+    spans.append(stored(shard_spans(several, several.count())))
+    dropped(*used)
+    out = stored(reduce(DataFrame.unionByName, spans).groupBy("k", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    dropped(*spans)
+    return out
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -439,7 +530,7 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows with all their columns and the spans to remove as ``__asx_spans`` (null: none)."""
     named, th = identified(docs)
-    found = stored(repeats(named)).withColumnsRenamed({"k": "__asx_k", "th": "__asx_th", "spans": "__asx_spans"})
+    found = repeats(named).withColumnsRenamed({"k": "__asx_k", "th": "__asx_th", "spans": "__asx_spans"})
     return docs.join(found, (key_of(docs) == F.col("__asx_k")) & (th == F.col("__asx_th")), "left").drop("__asx_k", "__asx_th")
 
 
