@@ -176,30 +176,36 @@ def test_compare(spark, docs):
 # -- pieces
 
 
-def brute_viterbi(m, text):
-    text = ("▁" + text.replace(" ", "▁")) if text else ""
-    index = {m.pieces[i]: s for i, s in zip(m.ids.tolist(), m.scores.tolist(), strict=True)}
-    best = [0.0] + [-np.inf] * len(text)
-    for j in range(1, len(text) + 1):
-        for i in range(max(0, j - m.longest), j):
-            s = index.get(text[i:j], m.unknown if i == j - 1 else None)
-            if s is not None:
-                best[j] = max(best[j], best[i] + s)
-    return best[-1]
-
-
-def test_pieces(spark, docs):
-    m = pieces.PieceModel(vocabulary("piece_bpe_32k.model"))
-    score = {int(i): float(s) for i, s in zip(m.ids, m.scores, strict=True)}
+def test_pieces(spark, docs, sf):
+    """The library's ids, of texts of every kind, and all texts again."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    m, lib = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
     rnd = random.Random(2)
-    cases = ["", "a", "  Hello   world\n\nfoo\tbar é ñ 😀 ", "日本語テスト", " x", "\x00\x01"] + ["".join(rnd.choice("abcdefghijk  .,éß日\n") for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    cases = ["", "a", "  Hello   world\n\nfoo\tbar é ñ 😀 ", "日本語テスト", " x", "\x00\x01", "aaa", "aaaaaaa", "  ", "▁"]
+    cases += ["".join(rnd.choice("abcdefghijk  .,éß日\n") for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    cases += ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    cases += ["a" * 5000, "=" * 3000, "日本" * 2000, " " * 2000 + "x", "é" * 513, "".join(rnd.choices("ABCDEFabcdef0123456789+/", k=50_000))]
+    cases += ["".join(rnd.choices("theinraos", k=n)) for n in (511, 512, 513, 640, 896, 1400, 5000)]
+    cases += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     for x, ids in zip(cases, m.encode(cases), strict=True):
-        assert m.decode(ids) == x
-        plain = [i for i in ids.tolist() if m.byte_of[i] < 0]
-        unknown = sum(ch not in (" ",) and m._key(ch) not in set(m.keys.tolist()) for ch in x)
-        assert sum(score[i] for i in plain) + unknown * m.unknown == pytest.approx(brute_viterbi(m, x))
-    back = pieces.decode(pieces.encode(docs, vocabulary("piece_bpe_32k.model")), vocabulary("piece_bpe_32k.model")).collect()
+        assert ids.tolist() == lib.encode(x or "")
+        assert m.decode(ids) == (x or "").replace("▁", " ")
+    back = pieces.decode(pieces.encode(docs, path), path).collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter(texts_of(docs))
+    want = Counter((i, zlib.crc32(np.array(lib.encode(x), "<i4").tobytes())) for i, x in texts_of(docs))
+    assert Counter((r.doc_id, r.ids_crc32) for r in back) == want
+    assert pieces.decode(pieces.encode(docs.limit(0), path), path).count() == 0
+
+
+def test_long_parts_in_time():
+    """A megabyte without spaces, at random and as a run."""
+    import time
+
+    m, began = pieces.PieceModel(vocabulary("piece_bpe_32k.model")), time.time()
+    m.encode(["".join(random.Random(3).choices("abcdefghij/+0123", k=1_000_000)), "z" * 1_000_000])
+    assert time.time() - began < 120
 
 
 # -- packing
