@@ -106,13 +106,35 @@ def test_sharding(spark, docs):
 
 
 def test_tree_moves_rows_only_into_what_grew(spark):
+    """A further shard takes rows only into itself; a heavier one draws them down its own path; the levels draw by themselves."""
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    old = sharding.with_shard(ids, "doc_id", 40)
-    both = sharding.with_shard(sharding.with_shard(old, "doc_id", 41, prefix="g_"), "doc_id", 40, [1.0] * 11 + [3.0] + [1.0] * 28, prefix="w_").collect()
-    assert all(r.g_shard in (r.shard, 40) and r.w_shard in (r.shard, 11) for r in both)
+    with_old = sharding.with_shard(ids, "doc_id", 40)
+    with_two = sharding.with_shard(sharding.with_shard(with_old, "doc_id", 41, prefix="g_"), "doc_id", 42, prefix="h_")
+    both = sharding.with_shard(with_two, "doc_id", 40, [1.0] * 11 + [3.0] + [1.0] * 28, prefix="w_").collect()
+    assert all(r.g_shard in (r.shard, 40) and r.h_shard in (r.g_shard, 41) for r in both)
+    assert 380 < sum(r.g_shard == 40 for r in both) < 600
     counts = Counter(r.shard for r in both)
     assert len(counts) == 40 and max(counts.values()) < 1.25 * 500 and 1100 < Counter(r.w_shard for r in both)[11] < 1750
-    assert all(r.rack == r.shard // 4 and r.region == r.rack // 2 for r in both)
+    assert all(r.rack == r.shard // 4 and r.region == r.rack // 2 and r.w_rack == r.w_shard // 4 and r.w_region == r.w_rack // 2 for r in both)
+    moved = [r for r in both if r.w_shard != r.shard]
+    assert all(r.w_region == 1 for r in moved)  # into the region of shard 11
+    assert all(r.w_rack == 2 for r in moved if r.region == 1)  # within it, into its rack
+    assert all(r.w_shard == 11 for r in moved if r.rack == 2)  # within that, into itself
+    assert any(r.w_shard != 11 for r in moved)
+
+
+def test_tree_is_no_flat_draw(spark):
+    """A descent differs from one draw over all shards, and follows each level's own draws."""
+    weights = [1.0 + i % 3 for i in range(40)]
+    rows = sharding.with_shard(spark.range(3000).withColumnRenamed("id", "doc_id"), "doc_id", 40, weights)
+    flat = F.array_min(F.array(*[F.struct(sharding.draw(F.col("doc_id"), 2, F.lit(i), F.lit(w)).alias("d"), F.lit(i).alias("i")) for i, w in enumerate(weights)]))["i"]
+    got = rows.withColumn("flat", flat).collect()
+    assert sum(r.flat != r.shard for r in got) > 1500
+    pick = lambda level, children: F.array_min(F.array(*[F.struct(sharding.draw(F.col("doc_id"), level, F.lit(i), F.lit(w)).alias("d"), F.lit(i).alias("i")) for i, w in children]))["i"]
+    region = pick(0, [(k, sum(weights[8 * k : 8 * k + 8])) for k in range(5)])
+    assert rows.where(F.col("region") != region).count() == 0
+    racks = [pick(1, [(j, sum(weights[4 * j : 4 * j + 4])) for j in (2 * k, 2 * k + 1)]) for k in range(5)]
+    assert rows.where(F.col("rack") != F.get(F.array(*racks), F.col("region"))).count() == 0
 
 
 # -- winnowing
