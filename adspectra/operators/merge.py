@@ -55,9 +55,9 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def activated(ads: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Pending ads that have been analysed become active."""
+    """Ads that wait for their analysis and have it become active."""
     done = analysed.select(F.col("ad_id").alias("id"), F.lit(True).alias("__done")).distinct()
-    on = (F.col("status") == "PENDING") & F.col("__done").isNotNull()
+    on = (F.col("status") == "PENDING_ANALYSIS") & F.col("__done").isNotNull()
     return ads.join(done, "id", "left").withColumn("status", F.when(on, "ACTIVE").otherwise(F.col("status"))).select(*ads.columns)
 
 

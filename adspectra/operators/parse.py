@@ -13,12 +13,17 @@ from adspectra.functions.ratios import to_cents
 from adspectra.functions.timeutil import event_time
 
 AD_EVENTS = ("impression", "click")
+#: Whole numbers without which a message can't be used.
+AD_NUMBERS = ("ad_id", "campaign_id", "price_cents")
+AUCTION_NUMBERS = ("num_of_candidates", "num_filtered_budget", "num_filtered_targeting", "num_eligible")
+PACING_KEYS = ("campaign_id", "remaining_days")
+NONCE_HOURS = 24
 PACING_MONEY = ("total_budget", "daily_budget", "remaining_budget", "spent_today", "effective_target")
 PACING_NUMBERS = ("campaign_time_factor", "daily_time_factor", "kp", "ki", "min_multiplier", "max_multiplier", "error_normalized", "p_term", "i_term", "urgency", "adjustment", "cumulative_error", "previous_multiplier", "new_multiplier")
 
 
 def _field(name: str) -> Column:
-    return F.get_json_object("value", f"$.{name}")
+    return F.try_variant_get("__message", f"$.{name}", "string")
 
 
 def _text(name: str) -> Column:
@@ -36,27 +41,41 @@ def _number(name: str) -> Column:
     return F.when(v.isNull(), F.lit(0.0)).otherwise(v.try_cast("double"))
 
 
-def _json() -> Column:
-    return F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+def _read(messages: DataFrame) -> DataFrame:
+    """The messages with ``__message``: the object each holds, read once; null where it holds none."""
+    parsed = messages.withColumn("__message", F.try_parse_json("value"))
+    return parsed.withColumn("__message", F.when(F.schema_of_variant("__message").startswith("OBJECT"), F.col("__message")))
+
+
+def _unreadable(numbers: tuple[str, ...]) -> Column:
+    """Whether the message is no object or one of its whole numbers can't be read."""
+    bad = F.col("__message").isNull()
+    for n in numbers:
+        bad = bad | _whole(n).isNull()
+    return bad
+
+
+def _objects(messages: DataFrame, numbers: tuple[str, ...]) -> DataFrame:
+    return _read(messages).where(~_unreadable(numbers))
 
 
 def ad_events(messages: DataFrame, ingested: str = "ingest_ts") -> DataFrame:
     """Impressions and clicks; other event types are no ad events. messages: value, and the ingest time."""
-    rows = messages.where(_json()).select(
+    rows = _objects(messages, AD_NUMBERS).select(
         F.lower(_field("event_type")).alias("event_type"),
         event_time(_field("timestamp"), F.col(ingested)).alias("event_time"),
-        *(_whole(x).alias(x) for x in ("ad_id", "campaign_id", "price_cents")),
+        *(_whole(x).alias(x) for x in AD_NUMBERS),
         *(_text(x).alias(x) for x in ("auction_id", "publisher_id", "page_url", "click_url", "device_type", "user_agent", "ip_address")),
         *(c for c in messages.columns if c not in ("value", ingested)),
     )
-    return rows.where(F.col("event_type").isin(*AD_EVENTS) & F.col("ad_id").isNotNull() & F.col("campaign_id").isNotNull() & F.col("price_cents").isNotNull())
+    return rows.where(F.col("event_type").isin(*AD_EVENTS))
 
 
 def auction_events(messages: DataFrame, ingested: str = "ingest_ts") -> DataFrame:
     """Auctions with the winner's fields, null without a winner. The winning bid is its eCPM in cents, cut."""
     has = _field("winner").isNotNull()
     bid = F.when(has, F.coalesce(_field("winner.effective_bid").try_cast("double"), F.lit(0.0)))
-    return messages.where(_json()).select(
+    return _objects(messages, AUCTION_NUMBERS).select(
         event_time(_field("timestamp"), F.col(ingested)).alias("event_time"),
         *(_text(x).alias(x) for x in ("auction_id", "publisher_id", "page_url", "device_type", "user_agent", "ip_address")),
         _whole("num_of_candidates").alias("num_candidates"),
@@ -70,7 +89,7 @@ def auction_events(messages: DataFrame, ingested: str = "ingest_ts") -> DataFram
 
 
 def pacing_events(messages: DataFrame, ingested: str = "ingest_ts") -> DataFrame:
-    rows = messages.where(_json()).select(
+    return _objects(messages, PACING_KEYS).select(
         event_time(_field("timestamp"), F.col(ingested)).alias("event_time"),
         _whole("campaign_id").alias("campaign_id"),
         *(to_cents(_number(x)).alias(f"{x}_cents") for x in PACING_MONEY),
@@ -79,12 +98,11 @@ def pacing_events(messages: DataFrame, ingested: str = "ingest_ts") -> DataFrame
         _text("status").alias("status"),
         *(c for c in messages.columns if c not in ("value", ingested)),
     )
-    return rows.where(F.col("campaign_id").isNotNull())
 
 
-def dead_letters(messages: DataFrame) -> DataFrame:
-    """Messages that are no JSON objects."""
-    return messages.where(~F.coalesce(_json(), F.lit(False)))
+def dead_letters(messages: DataFrame, numbers: tuple[str, ...] = AD_NUMBERS) -> DataFrame:
+    """Messages that are no JSON objects, or of which a whole number can't be read: no parser gives a row for them."""
+    return _read(messages).where(_unreadable(numbers)).drop("__message")
 
 
 def split_ad_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +111,18 @@ def split_ad_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("event_type = 'impression'").drop("event_type", "click_url"), rows.where("event_type = 'click'").drop("event_type")
 
 
-def dedupe(events: DataFrame, keys: tuple[str, ...] = ("event_type", "nonce")) -> DataFrame:
-    """One row per nonce and event type; in a stream with a watermark, within it."""
-    return events.dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
+def dedupe(events: DataFrame, keys: tuple[str, ...] = ("event_type", "nonce"), time: str = "event_time", hours: int = NONCE_HOURS) -> DataFrame:
+    """The events whose nonce isn't held: an accepted event holds its nonce for some hours, and later ones are dropped.
+
+    Events count in order of time, then of their other columns. A nonce's events are gathered to be read in turn; nonces
+    are made for one event each, so a group is as large as the replays of one nonce. In a stream the watermark's time holds the nonce.
+    """
+    if events.isStreaming:
+        return events.dropDuplicatesWithinWatermark(list(keys))
+    rest = [c for c in events.columns if c not in (*keys, time)]
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(time).alias("__at"), *rest)))
+    none = F.array().cast(f"array<struct<__at:{events.schema[time].dataType.simpleString()},{','.join(f'`{c}`:{events.schema[c].dataType.simpleString()}' for c in rest)}>>")
+    free = lambda held, e: (F.size(held) == 0) | (e["__at"] >= F.try_element_at(held, F.lit(-1))["__at"] + F.expr(f"interval {int(hours)} hours"))
+    accepted = F.aggregate(ordered, none, lambda held, e: F.when(free(held, e), F.concat(held, F.array(e))).otherwise(held))
+    rows = events.groupBy(*keys).agg(accepted.alias("__accepted")).select(*keys, F.explode("__accepted").alias("e"))
+    return rows.select(*(c if c in keys else F.col("e.__at").alias(c) if c == time else F.col(f"e.{c}").alias(c) for c in events.columns))

@@ -14,9 +14,10 @@ def active_at(as_of: Column, status: str = "status", start: str = "start_date",
     return (F.upper(status) == "ACTIVE") & before & (F.col(end).isNull() | ((F.col(end) >= as_of) if closed else (F.col(end) > as_of)))
 
 
-def active_ads(ads: DataFrame, ad_sets: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Ads of ad sets of active campaigns, with what an auction needs."""
-    c = campaigns.where("upper(status) = 'ACTIVE'").select(F.col("id").alias("campaign_id"))
+def active_ads(ads: DataFrame, ad_sets: DataFrame, campaigns: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Ads of ad sets of active campaigns, with what an auction needs; as_of: the campaign must also run at that moment."""
+    running = F.upper("status") == "ACTIVE" if as_of is None else active_at(as_of)
+    c = campaigns.where(running).select(F.col("id").alias("campaign_id"))
     s = ad_sets.select(F.col("id").alias("ad_set_id"), "campaign_id", "pricing_model", "bid_amount_cents")
     return ads.select(F.col("id").alias("ad_id"), "ad_set_id", "headline").join(s, "ad_set_id").join(c, "campaign_id")
 
@@ -58,18 +59,20 @@ def context_or_default(requests: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.withColumn("keywords", F.when(F.col("cached"), F.col("keywords")).otherwise(own))
 
 
-def build_index(keywords: DataFrame, topics: DataFrame, entities: DataFrame, countries: DataFrame, devices: DataFrame) -> DataFrame:
-    """The inverted index as a long table (dim, key, ad_id)."""
+def build_index(keywords: DataFrame, topics: DataFrame, entities: DataFrame, countries: DataFrame, devices: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """The inverted index as a long table (dim, key, ad_id); active: the only ads (ad_id) that it holds."""
     one = lambda df, dim, key: df.select(F.lit(dim).alias("dim"), F.col(key).alias("key"), "ad_id")
     parts = [one(keywords, "keyword", "keyword"), one(topics, "topic", "topic_id"), one(entities, "entity", "text"), one(countries, "country", "country"), one(devices, "device", "device")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if active is not None:
+        out = out.join(active.select("ad_id"), "ad_id", "left_semi").select("dim", "key", "ad_id")
     return out.distinct()
 
 
 def refresh_index(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The index with the rows of the changed ads replaced by fresh ones."""
+    """The index with the rows of the changed ads (ad_id) replaced by fresh ones; a changed ad without fresh rows, as one that is no longer active, goes."""
     return index.join(changed.select("ad_id"), "ad_id", "left_anti").select("dim", "key", "ad_id").unionByName(fresh.select("dim", "key", "ad_id"))
 
 
@@ -77,16 +80,29 @@ def index_sizes(index: DataFrame) -> DataFrame:
     return index.groupBy("dim", "key").agg(F.countDistinct("ad_id").alias("ads"))
 
 
-def find_candidates(requests: DataFrame, page_keys: DataFrame, index: DataFrame) -> DataFrame:
+def page_matches(page_keys: DataFrame, index: DataFrame) -> DataFrame:
+    """(page_id, ad_id) of ads that share a keyword, topic or entity with a page; keys compare exactly."""
+    return page_keys.join(index, ["dim", "key"]).select("page_id", "ad_id").distinct()
+
+
+def find_candidates(requests: DataFrame, page_keys: DataFrame, index: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """(request_id, ad_id) of ads that match a request's country, device and page.
 
     requests: request_id, page_id, country, device; page_keys: page_id, dim (keyword, topic or
-    entity), key.  A page match on any key is enough; keys compare exactly.  A country or device
+    entity), key; active: the ads (ad_id) that may be given at all.  A page match on any key is enough.  A country or device
     filters only if some ad targets it: then ads without it are out.
+
+    Pages meet the index once, whatever the requests, and requests of one page, country and device are answered together.
     """
-    by_page = requests.join(page_keys, "page_id").join(index, ["dim", "key"]).select("request_id", "country", "device", "ad_id").distinct()
+    if active is not None:
+        index = index.join(active.select("ad_id"), "ad_id", "left_semi")
+    contexts = requests.select("page_id", "country", "device").distinct()
+    matches = page_matches(page_keys.join(contexts.select("page_id").distinct(), "page_id", "left_semi"), index)
     for dim in ("country", "device"):
-        own = index.where(F.col("dim") == dim).select(F.col("key").alias(dim), "ad_id", F.lit(True).alias("hit"))
-        known = own.select(dim).distinct().withColumn("known", F.lit(True))
-        by_page = by_page.join(known, dim, "left").join(own, [dim, "ad_id"], "left").where("known is null or hit").drop("known", "hit")
-    return by_page.select("request_id", "ad_id")
+        own = index.where(F.col("dim") == dim)
+        contexts = contexts.join(own.select(F.col("key").alias(dim), F.lit(True).alias(f"{dim}_known")).distinct(), dim, "left")
+        matches = matches.join(own.groupBy("ad_id").agg(F.collect_set("key").alias(f"{dim}s")), "ad_id", "left")
+    fits = lambda dim: F.col(f"{dim}_known").isNull() | F.coalesce(F.array_contains(f"{dim}s", F.col(dim)), F.lit(False))
+    found = contexts.join(matches, "page_id").where(fits("country") & fits("device")).select("page_id", "country", "device", "ad_id")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("page_id", "country", "device")]
+    return requests.alias("r").join(found.alias("f"), same).select("r.request_id", "f.ad_id")

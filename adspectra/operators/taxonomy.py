@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FLAT = "id string, parent_id string, name string, tier int"
-MOST_TIERS = 8
-
-
-def flatten(nodes: list[dict], parent: str | None = None) -> list[tuple]:
-    """(id, parent_id, name, tier) of a nested tree, parents first."""
-    out = []
-    for node in nodes:
-        out.append((node["id"], parent, node["name"], node["tier"]))
-        out += flatten(node.get("children") or [], node["id"])
-    return out
 
 
-def flat_taxonomy(spark, nodes: list[dict]) -> DataFrame:
-    return in_order(spark.createDataFrame(flatten(nodes), FLAT))
+def flat_taxonomy(spark: SparkSession, nodes: list[dict]) -> DataFrame:
+    """(id, parent_id, name, tier) of nested nodes, to any depth: each round takes the children out of the tier above."""
+    root = spark.createDataFrame([(json.dumps(nodes),)], "tree string")
+    field = lambda name, kind: F.try_variant_get("node", f"$.{name}", kind).alias(name)
+    level = root.select(F.lit(None).cast("string").alias("parent_id"), F.explode(F.try_variant_get(F.parse_json("tree"), "$", "array<variant>")).alias("node"))
+    out = None
+    while not level.isEmpty():
+        rows = level.select(field("id", "string"), "parent_id", field("name", "string"), field("tier", "int"))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.select(field("id", "string"), F.explode(field("children", "array<variant>")).alias("node")).withColumnRenamed("id", "parent_id")
+    return in_order(spark.createDataFrame([], FLAT) if out is None else out)
 
 
 def in_order(flat: DataFrame) -> DataFrame:
@@ -35,11 +36,17 @@ def nested(flat: list[tuple]) -> list[dict]:
     return roots
 
 
+def children(flat: DataFrame, parent: str | None = None, tier: int | None = None) -> DataFrame:
+    """The nodes of a parent, of a tier, or both."""
+    rows = flat if parent is None else flat.where((F.col("parent_id") == parent) & (F.col("id") != parent))
+    return rows if tier is None else rows.where(F.col("tier") == tier)
+
+
 def with_paths(flat: DataFrame) -> DataFrame:
-    """Adds ``path`` (names from the root) by one join per tier, at most ``MOST_TIERS``."""
+    """Adds ``path`` (names from the root) by one join per tier, until a tier has no node."""
     level = flat.where("parent_id is null or parent_id = id").withColumn("path", F.array("name"))
     out = level
-    for _ in range(MOST_TIERS - 1):
+    while not level.isEmpty():
         up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("up"))
         level = flat.where("parent_id <> id").join(up, "parent_id").select("id", "parent_id", "name", "tier", F.concat("up", F.array("name")).alias("path"))
         out = out.unionByName(level)
@@ -52,8 +59,8 @@ def merged_mapping(product_to_content: DataFrame, content_to_product: DataFrame)
 
 
 def numeric_ids(mapping: DataFrame) -> DataFrame:
-    """Pairs whose ids are numbers."""
-    return mapping.where(F.col("product_id").try_cast("int").isNotNull() & F.col("content_id").try_cast("int").isNotNull())
+    """Pairs whose ids are numbers over 0."""
+    return mapping.where((F.col("product_id").try_cast("int") > 0) & (F.col("content_id").try_cast("int") > 0))
 
 
 def walk(scored: DataFrame, key: str, threshold: float, top_k: int = 2, paths: int = 5, tiers: int = 4) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adspectra.functions.vectors import cosine
+
 LEAST_CHUNK_WORDS, TOKENS_PER_WORD, MOST_TOKENS = 20, 0.75, 256
 ENTITY_LEAST_CHARS = 3
 #: English function words that are no keywords.
@@ -50,6 +52,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def adjacent_similarity(units: DataFrame, key: str) -> DataFrame:
+    """Adds ``similarity``: the cosine of each unit's embedding and the next one's; null for the last."""
+    following = F.lead("embedding").over(Window.partitionBy(key).orderBy("pos"))
+    rows = units.withColumn("__next", following)
+    return rows.withColumn("similarity", F.when(F.col("__next").isNotNull(), cosine(F.col("embedding"), F.col("__next")))).drop("__next")
+
+
 def semantic_breaks(units: DataFrame, key: str, knob: float = 0.5) -> DataFrame:
     """Adds ``chunk`` to rows (key, pos, similarity to the next row): a chunk ends where the similarity
     is under the mean less ``knob`` population deviations. With fewer than two similarities each row is a chunk."""
@@ -61,65 +70,56 @@ def semantic_breaks(units: DataFrame, key: str, knob: float = 0.5) -> DataFrame:
     return flagged.withColumn("chunk", F.coalesce(F.sum("__break").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__break")
 
 
-def _words(s: str) -> int:
-    return len(s.split())
-
-
-def merge_short(chunks: list[str], least: int = LEAST_CHUNK_WORDS) -> list[str]:
-    """A short chunk takes the next one in; a short last chunk goes to the one before."""
-    if len(chunks) < 2:
-        return list(chunks)
-    out, k = [], 0
-    while k < len(chunks):
-        step = 2 if _words(chunks[k]) < least and k + 1 < len(chunks) else 1
-        out.append(" ".join(chunks[k : k + step]))
-        k += step
-    if len(out) > 1 and _words(out[-1]) < least:
-        out[-2:] = [" ".join(out[-2:])]
-    return out
-
-
-def _tokens(s: str) -> int:
-    return int(_words(s) * TOKENS_PER_WORD)
-
-
-def split_large(chunks: list[str], most: int = MOST_TOKENS) -> list[str]:
-    """Chunks over a number of tokens are cut between sentences; a longer sentence stays whole."""
-    import re
-
-    out: list[str] = []
-    for chunk in chunks:
-        if _tokens(chunk) <= most:
-            out.append(chunk)
-            continue
-        held: list[str] = []
-        used = 0
-        for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+|\n+", chunk))):
-            size = _tokens(s)
-            if size > most:
-                out += [" ".join(held)] * bool(held) + [s]
-                held, used = [], 0
-            elif used + size <= most:
-                held.append(s)
-                used += size
-            else:
-                out.append(" ".join(held))
-                held, used = [s], size
-        out += [" ".join(held)] * bool(held)
-    return out
+def n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
 
 
-def chunks(docs: DataFrame, key: str, text: str, least: int = LEAST_CHUNK_WORDS, most: int = MOST_TOKENS) -> DataFrame:
-    """(key, chunk_index, content): sentences, short ones merged, large ones cut."""
-    own = T.StructType([docs.schema[key], T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+def joined_groups(units: DataFrame, key: str) -> DataFrame:
+    """(key, pos, content): the units (key, pos, content, g) of each group as one text; groups are numbered by their order."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "content")))
+    return units.groupBy(key, "g").agg(F.array_join(F.transform(ordered, lambda u: u["content"]), " ").alias("content")).withColumnRenamed("g", "pos")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [split_large(merge_short(s, least), most) for s in batch.column(1).to_pylist()]
-            rows = pa.array([k for k, x in enumerate(made) for _ in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for x in made for i in range(len(x))], pa.int32()), pa.array([c for x in made for c in x], pa.string())], own.names)
 
-    return docs.select(key, F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("s")).mapInArrow(run, own)
+def merge_short(units: DataFrame, key: str, least: int = LEAST_CHUNK_WORDS) -> DataFrame:
+    """(key, pos, content) with short units joined to the next one, and a short last one to the one before.
+
+    In a run of short units every second one is taken in by the one before it, and so is the unit after a run of odd length.
+    So a unit begins a new group unless an odd number of short units in a row stands right before it.
+    """
+    order = Window.partitionBy(key).orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    place = units.withColumn("i", F.row_number().over(order)).withColumn("short", n_words(F.col("content")) < least)
+    run = F.col("i") - 1 - F.coalesce(F.max(F.when(~F.col("short"), F.col("i"))).over(before), F.lit(0))
+    grouped = joined_groups(place.withColumn("new", (run % 2 == 0).cast("int")).withColumn("g", F.sum("new").over(order)), key)
+    last = F.lead("pos").over(order).isNull() & (F.col("pos") > 1) & (n_words(F.col("content")) < least)
+    return joined_groups(grouped.withColumn("g", F.when(last, F.col("pos") - 1).otherwise(F.col("pos"))), key)
+
+
+def split_large(text: Column, most: int = MOST_TOKENS) -> Column:
+    """The chunks of a text: itself, or where it has over ``most`` tokens, its sentences filled up to that many; a longer sentence is a chunk by itself."""
+    tokens = lambda s: F.floor(n_words(s) * TOKENS_PER_WORD).cast("int")
+    nothing = F.array().cast("array<string>")
+    begin = F.struct(nothing.alias("done"), nothing.alias("open"), F.lit(0).alias("used"))
+    closed = lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(F.array_join(a["open"], " ")))).otherwise(a["done"])
+
+    def take(a: Column, s: Column) -> Column:
+        fits = a["used"] + s["n"] <= most
+        return F.struct(F.when(fits, a["done"]).otherwise(closed(a)).alias("done"), F.when(fits, F.concat(a["open"], F.array(s["s"]))).otherwise(F.array(s["s"])).alias("open"), (F.when(fits, a["used"]).otherwise(F.lit(0)) + s["n"]).alias("used"))
+
+    sized = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), tokens(s).alias("n")))
+    return F.when(tokens(text) <= most, F.array(text)).otherwise(F.aggregate(sized, begin, take, closed))
+
+
+def chunks(docs: DataFrame, key: str, text: str, least: int = LEAST_CHUNK_WORDS, most: int = MOST_TOKENS) -> DataFrame:
+    """(key, chunk_index, content): sentences, short ones merged, large ones cut.
+
+    Rows that repeat a key are separate texts; their chunks have the same key. Null and empty texts have none.
+    """
+    rows = docs.select(F.struct(F.col(key), F.monotonically_increasing_id().alias("row")).alias("k"), text)
+    units = rows.select("k", F.posexplode(sentences(F.col(text))).alias("pos", "content"))
+    parts = merge_short(units, "k", least).select("k", "pos", F.posexplode(split_large(F.col("content"), most)).alias("part", "content"))
+    order = Window.partitionBy("k").orderBy("pos", "part")
+    return parts.select(F.col(f"k.{key}").alias(key), (F.row_number().over(order) - 1).alias("chunk_index"), "content")
 
 
 def token_chunks(words: Column, size: int, overlap: int) -> Column:

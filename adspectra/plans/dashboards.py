@@ -135,7 +135,7 @@ def _latest(pacing: DataFrame, tie: list[str], columns: list[str]) -> DataFrame:
 def pacing_multiplier_timeseries(pacing: DataFrame, campaigns: DataFrame, campaign_ids: list[int], start, end, tie: list[str], limit: int = TIMESERIES_ROWS) -> DataFrame:
     rows = pacing.where(F.col("campaign_id").isin(campaign_ids) & half_open("event_time", start, end)).orderBy("event_time", *tie).limit(limit)
     named = rows.join(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("c_name")), "campaign_id", "left")
-    return named.withColumn("campaign_name", _campaign_label(F.col("c_name"), F.col("campaign_id"))).drop("c_name", *tie)
+    return named.withColumn("campaign_name", _campaign_label(F.col("c_name"), F.col("campaign_id"))).orderBy("event_time", *tie).drop("c_name", *tie)
 
 
 def campaign_spend_burndown(pacing: DataFrame, campaigns: DataFrame, campaign_ids: list[int], start, end, tie: list[str], limit: int = BURNDOWN_ROWS) -> DataFrame:

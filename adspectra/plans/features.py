@@ -18,15 +18,16 @@ SECRET = "a-test-secret"
 
 
 def messages(t: Tables) -> DataFrame:
-    """Ad event messages; every 17th is damaged and every 13th has numbers as text."""
+    """Ad event messages; every 17th is damaged, every 19th has an id that is no number, and every 13th has numbers as text."""
     e = F.col("event_id")
     kind = F.when(F.col("event_type") == "view", "IMPRESSION").when(F.col("event_type") == "click", "click").otherwise(F.col("event_type"))
     number = lambda c: F.when(e % 13 == 0, F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
-    good = F.concat(F.lit('{"event_type":"'), kind, F.lit('","ad_id":'), number(F.col("user_id")), F.lit(',"campaign_id":'), number(F.col("user_id") % 20), F.lit(',"price_cents":'), F.floor(F.col("value") * 100).cast("string"), F.lit(',"timestamp":'), F.unix_timestamp("ts").cast("string"), F.lit(',"nonce":"'), (e % 500).cast("string"), F.lit('"}'))
+    campaign = F.when(e % 3 == 0, 0).otherwise(F.col("user_id") % 20)
+    good = F.concat(F.lit('{"event_type":"'), kind, F.lit('","ad_id":'), number(F.col("user_id")), F.lit(',"campaign_id":'), F.when(e % 19 == 0, F.lit('"none"')).otherwise(number(campaign)), F.lit(',"price_cents":'), F.floor(F.col("value") * 100).cast("string"), F.lit(',"timestamp":'), F.unix_timestamp("ts").cast("string"), F.lit(',"nonce":"'), (e % 500).cast("string"), F.lit('"}'))
     return t.raw("events").select(e.alias("event_id"), F.when(e % 17 == 0, F.lit('{"event_type": "click", ')).otherwise(good).alias("value"), F.lit("2024-06-01").cast("timestamp_ntz").alias("ingest_ts"))
 
 
-PARSED = "SELECT event_id, CASE event_type WHEN 'view' THEN 'impression' ELSE 'click' END AS event_type, date_trunc('second', ts) AS event_time, user_id AS ad_id, user_id % 20 AS campaign_id, CAST(floor(value * 100) AS BIGINT) AS price_cents FROM events WHERE event_type IN ('view', 'click') AND event_id % 17 <> 0"
+PARSED = "SELECT event_id, CASE event_type WHEN 'view' THEN 'impression' ELSE 'click' END AS event_type, date_trunc('second', ts) AS event_time, user_id AS ad_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 20 END AS campaign_id, CAST(floor(value * 100) AS BIGINT) AS price_cents FROM events WHERE event_type IN ('view', 'click') AND event_id % 17 <> 0 AND event_id % 19 <> 0"
 
 
 @query(PARSED)
@@ -34,18 +35,25 @@ def parse_ad_events(t: Tables) -> DataFrame:
     return parse.ad_events(messages(t)).select("event_id", "event_type", "event_time", "ad_id", "campaign_id", "price_cents")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 17 = 0")
+@query("SELECT event_id FROM events WHERE event_id % 17 = 0 OR event_id % 19 = 0")
 def dead_letters(t: Tables) -> DataFrame:
     return parse.dead_letters(messages(t)).select("event_id")
 
 
-@query("SELECT DISTINCT event_type, nonce FROM (SELECT CASE event_type WHEN 'view' THEN 'impression' ELSE 'click' END AS event_type, CAST(event_id % 500 AS VARCHAR) AS nonce FROM events WHERE event_type IN ('view', 'click') AND event_id % 17 <> 0)")
+NONCES = f"SELECT event_type, CAST(event_id % 500 AS VARCHAR) AS nonce, event_time, min(event_id) AS event_id FROM ({PARSED}) GROUP BY 1, 2, 3"
+
+
+@query(
+    f"""WITH RECURSIVE x AS ({NONCES}), n AS (SELECT *, min(event_time) OVER (PARTITION BY event_type, nonce ORDER BY event_time RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM x),
+    held AS (SELECT event_type, nonce, min(event_time) AS event_time FROM x GROUP BY 1, 2 UNION ALL SELECT h.event_type, h.nonce, n.following FROM held h JOIN n ON n.event_type = h.event_type AND n.nonce = h.nonce AND n.event_time = h.event_time WHERE n.following IS NOT NULL)
+    SELECT event_type, nonce, event_time, event_id FROM held JOIN x USING (event_type, nonce, event_time)"""
+)
 def event_dedupe(t: Tables) -> DataFrame:
     rows = messages(t).withColumn("nonce", F.get_json_object("value", "$.nonce"))
-    return jobs.deduplicated(parse.ad_events(rows)).select("event_type", "nonce")
+    return jobs.deduplicated(parse.ad_events(rows).select("event_type", "nonce", "event_time", "event_id"))
 
 
-@query(f"SELECT time_bucket(INTERVAL '10 seconds', event_time) AS window_start, ad_id, count(*) FILTER (WHERE event_type = 'impression') AS impressions, count(*) FILTER (WHERE event_type = 'click') AS clicks, CAST(sum(price_cents) AS BIGINT) AS spend_cents, max(campaign_id) AS campaign_id FROM ({PARSED}) GROUP BY 1, 2")
+@query(f"SELECT time_bucket(INTERVAL '10 seconds', event_time) AS window_start, ad_id, count(*) FILTER (WHERE event_type = 'impression') AS impressions, count(*) FILTER (WHERE event_type = 'click') AS clicks, CAST(sum(price_cents) AS BIGINT) AS spend_cents, coalesce(arg_min(campaign_id, event_time) FILTER (WHERE campaign_id <> 0), 0) AS campaign_id FROM ({PARSED}) GROUP BY 1, 2")
 def window_ad_metrics(t: Tables) -> DataFrame:
     return jobs.ad_metrics(parse.ad_events(messages(t))).drop("window_end")
 
@@ -82,13 +90,15 @@ def url_hash(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", web.canonical_url(repeated).alias("canonical"), web.url_hash(F.col("url")).alias("url_hash"))
 
 
-@query("SELECT event_id, event_id % 3 <> 1 AS verified FROM events WHERE event_id < 2000")
+@query("SELECT event_id, event_id % 3 <> 1 AND event_id % 7 <> 0 AS verified FROM events")
 def signature_check(t: Tables) -> DataFrame:
     e = F.col("event_id")
     params = F.create_map(F.lit("ts"), (e * 1000).cast("string"), F.lit("ad_id"), F.col("user_id").cast("string"), F.lit("dest"), F.concat(F.lit("https://x.example/?a="), e.cast("string")))
     signed = F.map_concat(params, F.create_map(F.lit("sig"), web.hmac_sha256(web.query_payload(params), SECRET)))
     sent = F.when(e % 3 == 1, F.map_concat(F.map_filter(signed, lambda k, v: k != "ad_id"), F.create_map(F.lit("ad_id"), F.lit("999999")))).otherwise(signed)
-    return t.raw("events").where("event_id < 2000").select("event_id", web.verified(sent, SECRET, e * 1000 + 5000).alias("verified"))
+    # Every seventh comes two hours late, every eleventh from a clock an hour ahead, which passes.
+    now = e * 1000 + F.when(e % 7 == 0, 7_200_000).when(e % 11 == 0, -3_600_000).otherwise(5000)
+    return t.raw("events").select("event_id", web.verified(sent, SECRET, now).alias("verified"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '10.0.0.' || event_id % 200 WHEN event_id % 4 = 1 THEN '192.168.1.1' ELSE '172.16.0.9' END AS ip, CASE WHEN event_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device, CASE WHEN event_id % 2 = 0 THEN 'Android' ELSE 'Windows' END AS os, CASE WHEN event_id % 5 = 0 THEN 'en' ELSE 'de' END AS language FROM events")
@@ -114,11 +124,11 @@ def tree(t: Tables) -> DataFrame:
     """Regions, nations of a region, and customers of a nation as a taxonomy of three tiers."""
     one = t.raw("region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"), F.lit(1).alias("tier"))
     two = t.raw("nation").select(F.concat(F.lit("n"), F.col("n_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey")), F.col("n_name"), F.lit(2))
-    three = t.raw("customer").where("c_custkey < 100").select(F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("n"), F.col("c_nationkey")), F.col("c_name"), F.lit(3))
+    three = t.raw("customer").select(F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("n"), F.col("c_nationkey")), F.col("c_name"), F.lit(3))
     return one.union(two).union(three)
 
 
-TREE = "SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name, 1 AS tier FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 3 FROM customer WHERE c_custkey < 100"
+TREE = "SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name, 1 AS tier FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 3 FROM customer"
 
 
 @query(f"WITH RECURSIVE tree AS ({TREE}), p AS (SELECT id, parent_id, name, tier, name AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.parent_id, t.name, t.tier, p.path || '/' || t.name FROM tree t JOIN p ON p.id = t.parent_id) SELECT * FROM p")
@@ -171,17 +181,15 @@ def quality_gap(t: Tables) -> DataFrame:
 
 @query(with_tables("SELECT round(avg(s) FILTER (WHERE rel), 6) AS intra, round(avg(s) FILTER (WHERE NOT rel), 6) AS inter, round(avg(s) FILTER (WHERE rel) - avg(s) FILTER (WHERE NOT rel), 6) AS separation FROM r", "page_vectors", "ad_vectors", r=RANKING))
 def embedding_clustering(t: Tables) -> DataFrame:
-    near = similarity.similarities(t.page_vectors, t.ad_vectors, "page_id", "ad_id", None)
-    pairs = near.join(t.page_vectors.select("page_id", F.col("label").alias("label_a")), "page_id").join(t.ad_vectors.select("ad_id", F.col("label").alias("label_b")), "ad_id")
-    return rounded(evaluation.cluster_cohesion(pairs))
+    return rounded(evaluation.cluster_cohesion(t.page_vectors, t.ad_vectors))
 
 
-KEYS = "SELECT p_partkey, string_split(p_name, ' ') AS k, p_brand FROM part WHERE p_partkey < 300"
+KEYS = "SELECT p_partkey, string_split(p_name, ' ') AS k, p_brand FROM part"
 
 
 @query(f"WITH x AS ({KEYS}) SELECT p.p_partkey AS page_id, a.p_partkey AS ad_id FROM x p JOIN x a ON a.p_brand = p.p_brand AND p.p_partkey % 2 = 0 AND a.p_partkey % 2 = 1 WHERE len(list_intersect(p.k, a.k)) >= 1")
 def ground_truth(t: Tables) -> DataFrame:
-    x = t.raw("part").where("p_partkey < 300").select("p_partkey", F.split(F.upper("p_name"), " ").alias("keywords"), F.col("p_brand").alias("category"))
+    x = t.raw("part").select("p_partkey", F.split(F.upper("p_name"), " ").alias("keywords"), F.col("p_brand").alias("category"))
     return evaluation.ground_truth(x.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "page_id"), x.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "ad_id"), 1)
 
 
@@ -235,9 +243,9 @@ def merge_and_delete(t: Tables) -> DataFrame:
     return merge.delete(merge.merge_columns(o, changes, ["o_orderkey"]), o.where("o_orderkey % 5 = 0"), ["o_orderkey"])
 
 
-@query(with_tables("SELECT label, actual, expected, CASE WHEN actual = expected THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT 'ads' AS label, (SELECT count(*) FROM ads) AS actual, (SELECT count(*) FROM ad_sets) AS expected UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings), (SELECT count(*) FROM embeddings))", "ads", "ad_sets"))
+@query(with_tables("SELECT label, actual, expected, CASE WHEN actual = expected THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT 'ads' AS label, (SELECT count(*) FROM ads) AS actual, (SELECT count(*) FROM ad_sets) AS expected UNION ALL SELECT 'vectors', (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0), (SELECT count(*) FROM ads))", "ads", "ad_sets"))
 def reconciliation(t: Tables) -> DataFrame:
-    return merge.reconcile([("ads", t.ads, t.ad_sets), ("embeddings", t.raw("embeddings"), t.raw("embeddings"))])
+    return merge.reconcile([("ads", t.ads, t.ad_sets), ("vectors", t.ad_vectors, t.ads)])
 
 
 @query(with_tables("SELECT s.id FROM ad_sets s WHERE s.id NOT IN (SELECT id FROM ads)", "ads", "ad_sets"))
@@ -245,18 +253,24 @@ def pending_work(t: Tables) -> DataFrame:
     return merge.pending(t.ad_sets, t.ads, ["id"]).select("id")
 
 
-@query("WITH x AS (SELECT c_custkey, c_acctbal, c_mktsegment, c_custkey % 7 AS b FROM customer) SELECT c_custkey, unnest(list_filter([CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'status is unknown' END, CASE WHEN c_acctbal < 1 THEN 'total budget isn''t positive' END, CASE WHEN b = 0 THEN 'bid isn''t positive' END], lambda m: m IS NOT NULL)) AS problem FROM x")
+@query("WITH x AS (SELECT c_custkey, c_acctbal, c_mktsegment, c_custkey % 7 AS b FROM customer) SELECT c_custkey, unnest(list_filter([CASE WHEN c_mktsegment IN ('HOUSEHOLD') THEN 'status is unknown' END, CASE WHEN c_acctbal < 1 THEN 'total budget isn''t positive' END, CASE WHEN b = 0 THEN 'bid isn''t positive' END], lambda m: m IS NOT NULL)) AS problem FROM x")
 def campaign_validation(t: Tables) -> DataFrame:
     segment = F.col("c_mktsegment")
-    rows = t.raw("customer").select("c_custkey", F.col("c_name").alias("name"), F.when(segment == "BUILDING", "active").when(segment == "MACHINERY", "PAUSED").otherwise("?").alias("status"), F.col("c_acctbal").alias("total_budget"), F.lit(None).cast("double").alias("daily_budget_cents"), (F.col("c_custkey") % 7).alias("bid_amount_cents"), F.lit("cpc").alias("pricing_model"), F.lit(1).alias("start_date"), F.lit(None).cast("int").alias("end_date"))
+    rows = t.raw("customer").select("c_custkey", F.col("c_name").alias("name"), F.when(segment == "BUILDING", "active").when(segment == "MACHINERY", "archived").when(segment == "FURNITURE", "PENDING_ANALYSIS").when(segment == "AUTOMOBILE", "").otherwise("PENDING").alias("status"), F.col("c_acctbal").alias("total_budget"), F.lit(None).cast("double").alias("daily_budget_cents"), (F.col("c_custkey") % 7).alias("bid_amount_cents"), F.lit("cpc").alias("pricing_model"), F.lit(1).alias("start_date"), F.lit(None).cast("int").alias("end_date"))
     return rows.select("c_custkey", F.explode(schemas.campaign_problems()).alias("problem"))
 
 
-@query(with_tables("SELECT page_id, '{\"keywords\":{' || string_agg('\"' || keyword || '\":' || CAST(relevance_score AS VARCHAR), ',' ORDER BY keyword) || '}}' AS document FROM (SELECT DISTINCT page_id, keyword, relevance_score FROM page_keywords) GROUP BY 1", "page_keywords"))
+@query(
+    with_tables(
+        """SELECT k.page_id, '{"keywords":{' || k.j || '},"topics":{"' || t.topic_id || '":' || CAST(t.relevance_score AS VARCHAR) || '},"entities":[{"text":"' || e.text || '","type":"' || e.type || '"}]}' AS document
+        FROM (SELECT page_id, string_agg('"' || keyword || '":' || CAST(relevance_score AS VARCHAR), ',' ORDER BY keyword) AS j FROM (SELECT DISTINCT page_id, keyword, relevance_score FROM page_keywords) GROUP BY 1) k JOIN page_topics t ON t.page_id = k.page_id JOIN page_entities e ON e.page_id = k.page_id""",
+        "page_keywords",
+        "page_topics",
+        "page_entities",
+    )
+)
 def page_context_documents(t: Tables) -> DataFrame:
-    pages = t.page_keywords.select("page_id").distinct()
-    none = t.page_topics.where("false")
-    return merge.page_documents(pages, t.page_keywords, none, t.page_entities.where("false"))
+    return merge.page_documents(t.page_keywords.select("page_id").distinct(), t.page_keywords, t.page_topics, t.page_entities)
 
 
 @query()
@@ -264,29 +278,11 @@ def html_to_text(t: Tables) -> DataFrame:
     return textprep.html_text(t.raw("pages"))
 
 
-@query()
-def keyword_extraction(t: Tables) -> DataFrame:
-    return textprep.keywords(t.raw("documents"), "doc_id", "text", 20, 0.1)
-
-
-@query()
-def entity_extraction(t: Tables) -> DataFrame:
-    names = t.raw("part").select(F.col("p_brand").alias("text"), F.lit("BRAND").alias("type")).distinct()
-    texts = t.raw("part").select("p_partkey", F.concat("p_name", F.lit(" by "), "p_brand", F.lit("'s, new")).alias("text"))
-    return textprep.entities(texts, "p_partkey", "text", names)
-
-
 @query()
 def document_chunks(t: Tables) -> DataFrame:
     return textprep.chunks(t.raw("documents"), "doc_id", "text")
 
 
-@query()
-def semantic_chunks(t: Tables) -> DataFrame:
-    units = t.raw("embeddings").select((F.col("vec_id") % 20).alias("doc"), F.col("vec_id").alias("pos"), (F.col("vec_id") * 7919 % 100 / F.lit(100.0)).alias("similarity"))
-    return textprep.semantic_breaks(units, "doc")
-
-
 @query()
 def pi_sequence(t: Tables) -> DataFrame:
     steps = t.spark.range(20 * 48).select((F.col("id") % 20).alias("campaign_id"), (F.lit(1.7e9) + F.floor(F.col("id") / 20) * 1800).alias("now"), F.lit(1000.0).alias("total_budget"), F.lit(100.0).alias("daily_budget"), (F.floor(F.col("id") / 20) * (F.col("id") % 20) / 4.0).alias("spent"), (F.floor(F.col("id") / 20) * (F.col("id") % 20) / 8.0).alias("spent_today"), F.lit(1.7e9).alias("start"), F.lit(1.7e9 + 7 * 86400).alias("end"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspectra.functions import scores
+from adspectra.functions.timeutil import moment
 from adspectra.functions.vectors import cosine
 from adspectra.operators import auction, pacing, similarity, targeting
 from adspectra.registry import query, rounded
@@ -15,37 +16,58 @@ TARGETING = ("ad_keywords", "ad_topics", "ad_entities", "ad_countries", "ad_devi
 PAGES = ("page_keywords", "page_topics", "page_entities")
 
 
+#: The moment at which ads are served.
+AS_OF = "2024-01-15"
+ACTIVE_SQL = f"SELECT a.id AS ad_id, a.ad_set_id, a.headline, s.campaign_id, s.pricing_model, s.bid_amount_cents FROM ads a JOIN ad_sets s ON s.id = a.ad_set_id JOIN campaigns c ON c.id = s.campaign_id WHERE c.status = 'ACTIVE' AND c.start_date < TIMESTAMP '{AS_OF}' AND (c.end_date IS NULL OR c.end_date > TIMESTAMP '{AS_OF}')"
+
+
+def active(t: Tables) -> DataFrame:
+    return targeting.active_ads(t.ads, t.ad_sets, t.campaigns, moment(AS_OF))
+
+
 def index(t: Tables) -> DataFrame:
-    return targeting.build_index(*(getattr(t, x) for x in TARGETING))
+    return targeting.build_index(*(getattr(t, x) for x in TARGETING), active=active(t))
 
 
 def page_keys(t: Tables) -> DataFrame:
     """Keys compare exactly: page topics are content ids, so only shared ids match."""
     one = lambda df, dim, key: df.select("page_id", F.lit(dim).alias("dim"), key.alias("key"))
     brand = F.regexp_extract("text", "^the (.*) store$", 1)
-    return one(t.page_keywords.where("keyword in ('ring', 'bolt', 'small')"), "keyword", F.col("keyword")).unionByName(one(t.page_topics, "topic", F.col("topic_id"))).unionByName(one(t.page_entities, "entity", brand))
+    return one(t.page_keywords, "keyword", F.col("keyword")).unionByName(one(t.page_topics, "topic", F.col("topic_id"))).unionByName(one(t.page_entities, "entity", brand))
 
 
-INDEX_SQL = " UNION ".join(f"SELECT '{dim}' AS dim, {key} AS key, ad_id FROM {table}" for dim, key, table in (("keyword", "keyword", "ad_keywords"), ("topic", "topic_id", "ad_topics"), ("entity", "text", "ad_entities"), ("country", "country", "ad_countries"), ("device", "device", "ad_devices")))
+INDEX_SQL = "SELECT dim, key, ad_id FROM (" + " UNION ".join(f"SELECT '{dim}' AS dim, {key} AS key, ad_id FROM {table}" for dim, key, table in (("keyword", "keyword", "ad_keywords"), ("topic", "topic_id", "ad_topics"), ("entity", "text", "ad_entities"), ("country", "country", "ad_countries"), ("device", "device", "ad_devices"))) + ") WHERE ad_id IN (SELECT ad_id FROM active)"
 CANDIDATES_SQL = """SELECT DISTINCT r.request_id, i.ad_id FROM requests r JOIN page_keys p ON p.page_id = r.page_id JOIN idx i ON i.dim = p.dim AND i.key = p.key
 WHERE (r.country NOT IN (SELECT key FROM idx WHERE dim = 'country') OR EXISTS (SELECT 1 FROM idx g WHERE g.dim = 'country' AND g.key = r.country AND g.ad_id = i.ad_id))
 AND (r.device NOT IN (SELECT key FROM idx WHERE dim = 'device') OR EXISTS (SELECT 1 FROM idx g WHERE g.dim = 'device' AND g.key = r.device AND g.ad_id = i.ad_id))"""
-PAGE_KEYS_SQL = "SELECT page_id, 'keyword' AS dim, keyword AS key FROM page_keywords WHERE keyword IN ('ring', 'bolt', 'small') UNION ALL SELECT page_id, 'topic', topic_id FROM page_topics UNION ALL SELECT page_id, 'entity', regexp_extract(text, '^the (.*) store$', 1) FROM page_entities"
+PAGE_KEYS_SQL = "SELECT page_id, 'keyword' AS dim, keyword AS key FROM page_keywords UNION ALL SELECT page_id, 'topic', topic_id FROM page_topics UNION ALL SELECT page_id, 'entity', regexp_extract(text, '^the (.*) store$', 1) FROM page_entities"
+MATCHES_SQL = "SELECT DISTINCT p.page_id, i.ad_id FROM page_keys p JOIN idx i ON i.dim = p.dim AND i.key = p.key"
+ADS = ("ads", "ad_sets", "campaigns")
+INDEXED = {"active": ACTIVE_SQL, "idx": INDEX_SQL}
 
 
-@query(with_tables("SELECT dim, key, count(DISTINCT ad_id) AS ads FROM idx GROUP BY 1, 2", *TARGETING, idx=INDEX_SQL))
+@query(with_tables("SELECT dim, key, count(DISTINCT ad_id) AS ads FROM idx GROUP BY 1, 2", *TARGETING, *ADS, **INDEXED))
 def index_sizes(t: Tables) -> DataFrame:
     return targeting.index_sizes(index(t))
 
 
-@query(with_tables("SELECT * FROM cand", *TARGETING, *PAGES, "requests", idx=INDEX_SQL, page_keys=PAGE_KEYS_SQL, cand=CANDIDATES_SQL))
+@query(with_tables("SELECT * FROM cand", *TARGETING, *PAGES, *ADS, "requests", **INDEXED, page_keys=PAGE_KEYS_SQL, cand=CANDIDATES_SQL))
 def candidate_match(t: Tables) -> DataFrame:
-    return targeting.find_candidates(t.requests, page_keys(t), index(t))
+    return targeting.find_candidates(t.requests, page_keys(t), index(t), active(t))
+
+
+@query(with_tables("SELECT dim, key, ad_id FROM idx WHERE ad_id % 3 > 0 UNION ALL SELECT dim, 'new-' || key, ad_id FROM idx WHERE ad_id % 6 = 0", *TARGETING, *ADS, **INDEXED))
+def index_refresh(t: Tables) -> DataFrame:
+    """A third of the ads changed; of these half were indexed anew and half are no longer active."""
+    whole = index(t)
+    changed = active(t).where("ad_id % 3 = 0")
+    fresh = whole.where("ad_id % 6 = 0").select("dim", F.concat(F.lit("new-"), "key").alias("key"), "ad_id")
+    return targeting.refresh_index(whole, changed, fresh)
 
 
-@query(with_tables("SELECT a.id AS ad_id, a.ad_set_id, a.headline, s.campaign_id, s.pricing_model, s.bid_amount_cents FROM ads a JOIN ad_sets s ON s.id = a.ad_set_id JOIN campaigns c ON c.id = s.campaign_id WHERE c.status = 'ACTIVE'", "ads", "ad_sets", "campaigns"))
+@query(with_tables("SELECT * FROM active", *ADS, active=ACTIVE_SQL))
 def active_ads_for_index(t: Tables) -> DataFrame:
-    return targeting.active_ads(t.ads, t.ad_sets, t.campaigns)
+    return active(t)
 
 
 @query(with_tables("SELECT id, ad_set_id, headline, destination_url FROM a WHERE a.u > 3 OR ad_set_id IN (SELECT s.id FROM ad_sets s WHERE s.id % 13 > 11) OR ad_set_id IN (SELECT s.id FROM ad_sets s JOIN campaigns c ON c.id = s.campaign_id WHERE c.id % 6 > 4)", "ads", "ad_sets", "campaigns", a="SELECT *, id % 5 AS u FROM ads"))
@@ -68,52 +90,69 @@ def targeting_nested(t: Tables) -> DataFrame:
     return n.select("id", F.size("keywords").cast("bigint").alias("n_keywords"), F.col("keywords")[0]["keyword"].alias("first_keyword"), F.array_join("countries", ",").alias("countries"), F.array_join("devices", ",").alias("devices"), F.col("topics")[0]["topic_id"].alias("topic_id"), F.col("entities")[0]["text"].alias("entity"))
 
 
-def grid(t: Tables) -> DataFrame:
-    """Pages met by the ads that share a keyword with them, with both sides nested."""
-    ads = targeting.nested_ads(t.ads.withColumn("ad_id", F.col("id")), t.ad_keywords, mapped_topics(t), t.ad_entities, t.ad_countries, t.ad_devices)
+def shared_keyword(t: Tables) -> DataFrame:
+    """Pages met by the active ads that share a keyword with them."""
+    keys = t.ad_keywords.join(active(t).select("ad_id"), "ad_id", "left_semi").select("ad_id", "keyword")
+    return t.page_keywords.select("page_id", "keyword").join(keys, "keyword").select("page_id", "ad_id").distinct()
+
+
+def grid(t: Tables, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of pages and active ads with both sides nested."""
+    ads = targeting.nested_ads(active(t), t.ad_keywords, mapped_topics(t), t.ad_entities, t.ad_countries, t.ad_devices)
     a = ads.select("ad_id", "ad_set_id", *(F.col(x).alias(f"ad_{x}") for x in ("keywords", "topics", "entities")))
     p = targeting.page_context(*(getattr(t, x) for x in PAGES)).select("page_id", *(F.col(x).alias(f"page_{x}") for x in ("keywords", "topics", "entities")))
-    pairs = t.page_keywords.select("page_id", "keyword").join(t.ad_keywords.select("ad_id", "keyword"), "keyword").select("page_id", "ad_id").distinct()
-    return pairs.join(p, "page_id").join(a, "ad_id")
+    return (shared_keyword(t) if pairs is None else pairs).join(p, "page_id").join(a, "ad_id")
+
+
+def near(t: Tables) -> DataFrame:
+    """(page_id, ad_id, similarity) of the pages' nearest ads by vector."""
+    chunks = t.page_vectors.select("page_id", F.lit(None).cast("int").alias("chunk_index"), "embedding")
+    return similarity.rank_ads(chunks, t.ad_vectors).select("page_id", "ad_id", "similarity")
 
 
 def mapped_topics(t: Tables) -> DataFrame:
     return t.ad_topics.join(t.topic_mapping.select(F.col("product_id").alias("topic_id"), F.col("content_id").alias("mapped_id")), "topic_id", "left").select("ad_id", "topic_id", "tier", "relevance_score", "mapped_id")
 
 
-PAIRS_SQL = "SELECT DISTINCT p.page_id, k.ad_id FROM page_keywords p JOIN ad_keywords k ON k.keyword = p.keyword JOIN ads a ON a.id = k.ad_id"
+COSINE = "list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))"
+NEAREST_SQL = f"SELECT page_id, ad_id, similarity FROM (SELECT p.page_id, a.ad_id, {COSINE} AS similarity FROM page_vectors p, ad_vectors a QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY similarity DESC, a.ad_id) <= 50) WHERE similarity >= 0.2"
+PAIRS_SQL = "SELECT DISTINCT p.page_id, k.ad_id FROM page_keywords p JOIN ad_keywords k ON k.keyword = p.keyword JOIN active a ON a.ad_id = k.ad_id"
 PENALTY = "CASE WHEN {p} <= {a} OR {a} = 0 THEN {s} ELSE {s} / (1 + 0.5 * log10({p}::DOUBLE / {a})) END"
 KEYWORD_SQL = "SELECT g.page_id, g.ad_id, " + PENALTY.format(p="p.n", a="a.n", s="least(coalesce(m.s, 0) / a.w, 1)") + " AS keyword_score FROM pairs g JOIN (SELECT page_id, count(*) AS n FROM page_keywords GROUP BY 1) p ON p.page_id = g.page_id JOIN (SELECT ad_id, count(*) AS n, sum(relevance_score) AS w FROM ad_keywords GROUP BY 1) a ON a.ad_id = g.ad_id LEFT JOIN (SELECT p.page_id, k.ad_id, sum(k.relevance_score * p.relevance_score) AS s FROM page_keywords p JOIN ad_keywords k ON k.keyword = p.keyword GROUP BY 1, 2) m ON m.page_id = g.page_id AND m.ad_id = g.ad_id"
 TOPIC_SQL = "SELECT page_id, ad_id, m / (pw + aw - m) AS topic_score FROM (SELECT g.page_id, g.ad_id, p.relevance_score * (1 + p.tier * 0.5::DOUBLE) AS pw, a.relevance_score * (1 + a.tier * 0.5::DOUBLE) AS aw, CASE WHEN t.content_id = p.topic_id THEN a.relevance_score * (1 + a.tier * 0.5::DOUBLE) * p.relevance_score WHEN a.topic_id = p.topic_id THEN a.relevance_score * (1 + a.tier * 0.5::DOUBLE) * p.relevance_score * 0.5::DOUBLE ELSE 0 END AS m FROM pairs g JOIN page_topics p ON p.page_id = g.page_id JOIN ad_topics a ON a.ad_id = g.ad_id LEFT JOIN topic_mapping t ON t.product_id = a.topic_id)"
 ENTITY_SQL = "SELECT g.page_id, g.ad_id, CASE WHEN a.type = p.type AND list_contains(string_split(lower(p.text), ' '), lower(a.text)) THEN 1.0::DOUBLE ELSE 0 END AS entity_score FROM pairs g JOIN page_entities p ON p.page_id = g.page_id JOIN ad_entities a ON a.ad_id = g.ad_id"
-QUALITY_SQL = "SELECT k.page_id, k.ad_id, s.campaign_id, s.pricing_model, s.bid_amount_cents / 100.0::DOUBLE AS bid_dollars, k.keyword_score, t.topic_score, e.entity_score, k.ad_id % 10 / 10.0::DOUBLE AS similarity, k.keyword_score * CASE s.pricing_model WHEN 'CPM' THEN 0.15 ELSE 0.2 END + t.topic_score * CASE s.pricing_model WHEN 'CPM' THEN 0.35 ELSE 0.3 END + e.entity_score * CASE s.pricing_model WHEN 'CPM' THEN 0.1 ELSE 0.4 END + k.ad_id % 10 / 10.0::DOUBLE * CASE s.pricing_model WHEN 'CPM' THEN 0.4 ELSE 0.1 END AS quality FROM k JOIN t ON t.page_id = k.page_id AND t.ad_id = k.ad_id JOIN e ON e.page_id = k.page_id AND e.ad_id = k.ad_id JOIN ads a ON a.id = k.ad_id JOIN ad_sets s ON s.id = a.ad_set_id"
-SCORING = ("ads", "ad_sets", "topic_mapping", "ad_keywords", "ad_topics", "ad_entities", *PAGES)
-SCORES = {"pairs": PAIRS_SQL, "k": KEYWORD_SQL, "t": TOPIC_SQL, "e": ENTITY_SQL}
+QUALITY_SQL = """SELECT *, keyword_score * CASE pricing_model WHEN 'CPM' THEN 0.15 ELSE 0.2 END + topic_score * CASE pricing_model WHEN 'CPM' THEN 0.35 ELSE 0.3 END + entity_score * CASE pricing_model WHEN 'CPM' THEN 0.1 ELSE 0.4 END + similarity * CASE pricing_model WHEN 'CPM' THEN 0.4 ELSE 0.1 END AS quality
+FROM (SELECT k.page_id, k.ad_id, a.campaign_id, a.pricing_model, a.bid_amount_cents / 100.0::DOUBLE AS bid_dollars, k.keyword_score, t.topic_score, e.entity_score, coalesce(n.similarity, 0) AS similarity
+FROM k JOIN t ON t.page_id = k.page_id AND t.ad_id = k.ad_id JOIN e ON e.page_id = k.page_id AND e.ad_id = k.ad_id JOIN active a ON a.ad_id = k.ad_id LEFT JOIN near n ON n.page_id = k.page_id AND n.ad_id = k.ad_id)"""
+SCORING = (*ADS, "topic_mapping", "ad_keywords", "ad_topics", "ad_entities", *PAGES, "page_vectors", "ad_vectors")
+SCORES = {"active": ACTIVE_SQL, "near": NEAREST_SQL, "pairs": PAIRS_SQL, "k": KEYWORD_SQL, "t": TOPIC_SQL, "e": ENTITY_SQL}
 
 
-@query(with_tables("SELECT page_id, ad_id, round(keyword_score, 6) AS keyword_score FROM k", "ads", "ad_keywords", "page_keywords", pairs=PAIRS_SQL, k=KEYWORD_SQL))
+@query(with_tables("SELECT page_id, ad_id, round(keyword_score, 6) AS keyword_score FROM k", *ADS, "ad_keywords", "page_keywords", active=ACTIVE_SQL, pairs=PAIRS_SQL, k=KEYWORD_SQL))
 def keyword_score(t: Tables) -> DataFrame:
     return rounded(grid(t).select("page_id", "ad_id", scores.keyword_score(F.col("ad_keywords"), F.col("page_keywords")).alias("keyword_score")))
 
 
-@query(with_tables("SELECT page_id, ad_id, round(topic_score, 6) AS topic_score FROM t", "ads", "topic_mapping", "ad_keywords", "page_keywords", "ad_topics", "page_topics", pairs=PAIRS_SQL, t=TOPIC_SQL))
+@query(with_tables("SELECT page_id, ad_id, round(topic_score, 6) AS topic_score FROM t", *ADS, "topic_mapping", "ad_keywords", "page_keywords", "ad_topics", "page_topics", active=ACTIVE_SQL, pairs=PAIRS_SQL, t=TOPIC_SQL))
 def topic_score(t: Tables) -> DataFrame:
     return rounded(grid(t).select("page_id", "ad_id", scores.topic_score(F.col("ad_topics"), F.col("page_topics")).alias("topic_score")))
 
 
-@query(with_tables("SELECT page_id, ad_id, round(entity_score, 6) AS entity_score FROM e", "ads", "ad_keywords", "page_keywords", "ad_entities", "page_entities", pairs=PAIRS_SQL, e=ENTITY_SQL))
+@query(with_tables("SELECT page_id, ad_id, round(entity_score, 6) AS entity_score FROM e", *ADS, "ad_keywords", "page_keywords", "ad_entities", "page_entities", active=ACTIVE_SQL, pairs=PAIRS_SQL, e=ENTITY_SQL))
 def entity_score(t: Tables) -> DataFrame:
     return rounded(grid(t).select("page_id", "ad_id", scores.entity_score(F.col("ad_entities"), F.col("page_entities")).alias("entity_score")))
 
 
-def quality(t: Tables) -> DataFrame:
+def quality(t: Tables, pairs: DataFrame | None = None) -> DataFrame:
+    """All four signals and the quality of pairs; an ad that isn't among a page's nearest has similarity 0."""
     c = F.col
-    g = grid(t).select("page_id", "ad_id", "ad_set_id", scores.keyword_score(c("ad_keywords"), c("page_keywords")).alias("keyword_score"), scores.topic_score(c("ad_topics"), c("page_topics")).alias("topic_score"), scores.entity_score(c("ad_entities"), c("page_entities")).alias("entity_score"), (F.size("page_entities") > 0).alias("named"), (c("ad_id") % 10 / F.lit(10.0)).alias("similarity"))
+    g = grid(t, pairs).select("page_id", "ad_id", "ad_set_id", scores.keyword_score(c("ad_keywords"), c("page_keywords")).alias("keyword_score"), scores.topic_score(c("ad_topics"), c("page_topics")).alias("topic_score"), scores.entity_score(c("ad_entities"), c("page_entities")).alias("entity_score"), (F.size("page_entities") > 0).alias("named"))
+    g = g.join(near(t), ["page_id", "ad_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     g = g.join(t.ad_sets.select(c("id").alias("ad_set_id"), "campaign_id", "pricing_model", (c("bid_amount_cents") / F.lit(100.0)).alias("bid_dollars")), "ad_set_id")
     return g.withColumn("quality", scores.quality_score(c("keyword_score"), c("topic_score"), c("entity_score"), c("similarity"), c("named"), c("pricing_model"))).drop("ad_set_id", "named")
 
 
-@query(with_tables("SELECT page_id, ad_id, campaign_id, pricing_model, round(bid_dollars, 6) AS bid_dollars, round(keyword_score, 6) AS keyword_score, round(topic_score, 6) AS topic_score, round(entity_score, 6) AS entity_score, similarity, round(quality, 6) AS quality FROM q", *SCORING, **SCORES, q=QUALITY_SQL))
+@query(with_tables("SELECT page_id, ad_id, campaign_id, pricing_model, round(bid_dollars, 6) AS bid_dollars, round(keyword_score, 6) AS keyword_score, round(topic_score, 6) AS topic_score, round(entity_score, 6) AS entity_score, round(similarity, 6) AS similarity, round(quality, 6) AS quality FROM q", *SCORING, **SCORES, q=QUALITY_SQL))
 def quality_score(t: Tables) -> DataFrame:
     return rounded(quality(t))
 
@@ -144,9 +183,9 @@ def second_price_auction(t: Tables) -> DataFrame:
     return rounded(won.select("page_id", "ad_id", "campaign_id", "pricing_model", "bid_dollars", "quality", "pacing", "ecpm", "score", "clearing_price", "price_cents", "winning_bid_cents"))
 
 
-@query(with_tables("SELECT page_id, count(*) AS num_candidates, count(*) FILTER (WHERE pacing <= 0) AS num_filtered_budget, count(*) FILTER (WHERE pacing > 0) AS num_eligible, (SELECT count(*) FROM ads) - count(*) AS num_filtered_targeting FROM scored GROUP BY 1", *SCORING, **AUCTION))
+@query(with_tables("SELECT page_id, count(*) AS num_candidates, count(*) FILTER (WHERE pacing <= 0) AS num_filtered_budget, count(*) FILTER (WHERE pacing > 0) AS num_eligible, (SELECT count(*) FROM active) - count(*) AS num_filtered_targeting FROM scored GROUP BY 1", *SCORING, **AUCTION))
 def auction_stats(t: Tables) -> DataFrame:
-    return auction.auction_stats(scored(t), "page_id", t.ads.count())
+    return auction.auction_stats(scored(t), "page_id", active(t).count())
 
 
 @query(with_tables("SELECT page_id, ad_id, rnk AS rank, round(score, 6) AS score FROM ranked WHERE rnk <= 5", *SCORING, **AUCTION, ranked=RANKED_SQL))
@@ -154,7 +193,37 @@ def auction_top_n(t: Tables) -> DataFrame:
     return rounded(auction.top_n(scored(t), "page_id", 5).select("page_id", "ad_id", "rank", "score"))
 
 
-COSINE = "list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))"
+SERVED = ("keyword_score", "topic_score", "entity_score", "similarity")
+#: Pairs to score: a page's nearest ads that match it by a key.
+CLOSE_SQL = "SELECT n.page_id, n.ad_id FROM near n JOIN m ON m.page_id = n.page_id AND m.ad_id = n.ad_id"
+REQUESTED_SQL = "SELECT c.request_id, s.* FROM cand c JOIN requests r ON r.request_id = c.request_id JOIN scored s ON s.page_id = r.page_id AND s.ad_id = c.ad_id"
+SERVE = {"active": ACTIVE_SQL, "idx": INDEX_SQL, "page_keys": PAGE_KEYS_SQL, "m": MATCHES_SQL, "cand": CANDIDATES_SQL, "near": NEAREST_SQL, "pairs": CLOSE_SQL, "k": KEYWORD_SQL, "t": TOPIC_SQL, "e": ENTITY_SQL, "q": QUALITY_SQL, "scored": SCORED_SQL, "asked": REQUESTED_SQL}
+SERVE["ranked"] = RANKED_SQL.replace("FROM scored", "FROM asked").replace("PARTITION BY page_id", "PARTITION BY request_id")
+SERVE_TABLES = (*ADS, *TARGETING, "topic_mapping", *PAGES, "requests", "page_vectors", "ad_vectors")
+
+
+def asked(t: Tables) -> DataFrame:
+    """Each request's candidates among its page's nearest ads, scored; pages are scored once, whatever their requests."""
+    close = near(t).select("page_id", "ad_id").join(targeting.page_matches(page_keys(t), index(t)), ["page_id", "ad_id"], "left_semi")
+    candidates = targeting.find_candidates(t.requests.join(t.page_vectors.select("page_id"), "page_id", "left_semi"), page_keys(t), index(t), active(t))
+    requested = candidates.join(t.requests.select("request_id", "page_id"), "request_id")
+    return requested.join(auction.score_candidates(quality(t, close), multipliers(t)), ["page_id", "ad_id"])
+
+
+@query(with_tables("SELECT request_id, page_id, ad_id, campaign_id, pricing_model, round(similarity, 6) AS similarity, round(quality, 6) AS quality, round(score, 6) AS score, round(price, 6) AS clearing_price, CAST(trunc(price * 100) AS BIGINT) AS price_cents FROM p", *SERVE_TABLES, **SERVE, p=PRICE_SQL))
+def ad_serving(t: Tables) -> DataFrame:
+    """Requests answered end to end: candidates, vector search, scores, auction."""
+    won = auction.second_price(asked(t), "request_id")
+    return rounded(won.select("request_id", "page_id", "ad_id", "campaign_id", "pricing_model", "similarity", "quality", "score", "clearing_price", "price_cents"))
+
+
+@query(with_tables("SELECT request_id, count(*) AS n, string_agg(CAST(ad_id AS VARCHAR), ',' ORDER BY rnk) AS ads FROM ranked GROUP BY 1", *SERVE_TABLES, **SERVE))
+def auction_candidates(t: Tables) -> DataFrame:
+    """Each request's ranked candidates as one array."""
+    rows = auction.candidates_of(asked(t), "request_id")
+    return rows.select("request_id", F.size("candidates").cast("bigint").alias("n"), F.array_join(F.transform("candidates", lambda c: c["ad_id"].cast("string")), ",").alias("ads"))
+
+
 NEAR_SQL = f"SELECT p.page_id, a.ad_id, {COSINE} AS similarity FROM page_vectors p, ad_vectors a"
 
 
@@ -172,13 +241,11 @@ CHUNKS_SQL = "SELECT page_id // 20 AS page_id, CASE WHEN page_id % 20 = 1 THEN N
 BEST_SQL = f"SELECT page_id, ad_id, max(similarity) AS similarity FROM (SELECT p.page_id, p.chunk_index, a.ad_id, {COSINE} AS similarity FROM (SELECT * FROM c WHERE chunk_index IS NULL OR chunk_index < 3) p, ad_vectors a QUALIFY row_number() OVER (PARTITION BY p.page_id, p.chunk_index ORDER BY similarity DESC, a.ad_id) <= 50) WHERE similarity >= 0.2 GROUP BY 1, 2"
 
 
-@query(with_tables("SELECT page_id, ad_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, ad_id) AS rank FROM b WHERE ad_id % 3 <> 0", "page_vectors", "ad_vectors", c=CHUNKS_SQL, b=BEST_SQL))
+@query(with_tables("SELECT page_id, ad_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, ad_id) AS rank FROM b WHERE (page_id, ad_id) IN (SELECT page_id, ad_id FROM m)", "page_vectors", "ad_vectors", *TARGETING, *PAGES, *ADS, **INDEXED, page_keys=PAGE_KEYS_SQL, m=MATCHES_SQL, c=CHUNKS_SQL, b=BEST_SQL))
 def knn_max_over_chunks(t: Tables) -> DataFrame:
     k = F.col("page_id") % 20
     chunks = t.page_vectors.select(F.floor(F.col("page_id") / 20).alias("page_id"), F.when(k != 1, F.floor(k / 2) - 1).alias("chunk_index"), "embedding")
-    pages = chunks.select("page_id").distinct()
-    candidates = t.ad_vectors.where("ad_id % 3 <> 0").select("ad_id").crossJoin(pages)  # what targeting would give
-    return rounded(similarity.rank_ads(chunks, t.ad_vectors, candidates))
+    return rounded(similarity.rank_ads(chunks, t.ad_vectors, targeting.page_matches(page_keys(t), index(t))))
 
 
 @query(with_tables("SELECT page_id, page_id - 1 AS ad_id, round(" + COSINE + ", 6) AS similarity FROM page_vectors p JOIN ad_vectors a ON a.ad_id = p.page_id - 1", "page_vectors", "ad_vectors"))
@@ -217,8 +284,11 @@ FROM (SELECT *, rest / greatest(1, greatest(0, end_s - now_s) / 3600) * 24 AS id
 FROM (SELECT *, total_budget - spent AS rest, coalesce(spent_today, 0) AS td, (now_s % 86400) / 86400 AS ds FROM st))))))"""
 
 
+def pi_rows(t: Tables) -> DataFrame:
+    k = F.col("id")
+    return t.ad_sets.select("id", (k + F.lit(50.0)).alias("total_budget"), (k % 40 * 2.5).alias("daily_budget"), (k % 90).cast("double").alias("spent"), F.when(k % 6 != 5, k % 17 * 3.0).alias("spent_today"), F.lit(1.7e9).alias("start"), (F.lit(1.7e9) + k % 11 * 86400).alias("end"), (F.lit(1.7e9) + k * 977).alias("now"), (k % 20 / F.lit(10.0)).alias("multiplier"), (k % 7 - 3.0).alias("integral"))
+
+
 @query(with_tables(PI_SQL, "ad_sets", st=STATE_SQL))
 def pi_step(t: Tables) -> DataFrame:
-    k = F.col("id")
-    rows = t.ad_sets.select("id", (k + F.lit(50.0)).alias("total_budget"), (k % 40 * 2.5).alias("daily_budget"), (k % 90).cast("double").alias("spent"), F.when(k % 6 != 5, k % 17 * 3.0).alias("spent_today"), F.lit(1.7e9).alias("start"), (F.lit(1.7e9) + k % 11 * 86400).alias("end"), (F.lit(1.7e9) + k * 977).alias("now"), (k % 20 / F.lit(10.0)).alias("multiplier"), (k % 7 - 3.0).alias("integral"))
-    return rounded(pacing.pi_step(rows).select("id", "status", "error", "new_multiplier", "new_integral"))
+    return rounded(pacing.pi_step(pi_rows(t)).select("id", "status", "error", "new_multiplier", "new_integral"))

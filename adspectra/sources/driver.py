@@ -59,8 +59,9 @@ class Tables:
     @property
     def campaigns(self) -> DataFrame:
         segment = F.col("c_mktsegment")
-        status = F.when(segment == "BUILDING", "ACTIVE").when(segment == "MACHINERY", "PAUSED").otherwise("PENDING")
-        return self.raw("customer").where("c_custkey < 15").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("advertiser_id"), F.col("c_name").alias("name"), F.floor(F.abs("c_acctbal") * 100).cast("bigint").alias("total_budget"), status.alias("status"))
+        status = F.when(segment.isin("BUILDING", "AUTOMOBILE"), "ACTIVE").when(segment == "MACHINERY", "PAUSED").otherwise("PENDING_ANALYSIS")
+        start = F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_interval(0, 0, 0, cast(c_custkey as int) * 2)")
+        return self.raw("customer").where("c_custkey < 15").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("advertiser_id"), F.col("c_name").alias("name"), F.floor(F.abs("c_acctbal") * 100).cast("bigint").alias("total_budget"), status.alias("status"), start.alias("start_date"), F.when(F.col("c_custkey") % 3 > 0, start + F.expr("interval 30 days")).alias("end_date"))
 
     @property
     def ad_sets(self) -> DataFrame:
@@ -120,15 +121,15 @@ class Tables:
     @property
     def page_keywords(self) -> DataFrame:
         words = F.explode(F.split(F.lower("p_name"), " "))
-        return self.raw("part").where("p_partkey < 40").select(F.col("p_partkey").alias("page_id"), words.alias("keyword"), ((F.col("p_partkey") % 10 + 1) / F.lit(10.0)).alias("relevance_score"))
+        return self.raw("part").select(F.col("p_partkey").alias("page_id"), words.alias("keyword"), ((F.col("p_partkey") % 10 + 1) / F.lit(10.0)).alias("relevance_score"))
 
     @property
     def page_topics(self) -> DataFrame:
-        return self.raw("part").where("p_partkey < 40").select(F.col("p_partkey").alias("page_id"), (F.col("p_size") % 30 + 100).cast("string").alias("topic_id"), (F.col("p_partkey") % 2 + 1).cast("int").alias("tier"), F.lit(0.9).alias("relevance_score"))
+        return self.raw("part").select(F.col("p_partkey").alias("page_id"), (F.col("p_size") % 30 + 100).cast("string").alias("topic_id"), (F.col("p_partkey") % 2 + 1).cast("int").alias("tier"), F.lit(0.9).alias("relevance_score"))
 
     @property
     def page_entities(self) -> DataFrame:
-        return self.raw("part").where("p_partkey < 40").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("the "), F.col("p_brand"), F.lit(" store")).alias("text"), F.lit("BRAND").alias("type"))
+        return self.raw("part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("the "), F.col("p_brand"), F.lit(" store")).alias("text"), F.lit("BRAND").alias("type"))
 
     @property
     def topic_mapping(self) -> DataFrame:
@@ -139,7 +140,7 @@ class Tables:
     def requests(self) -> DataFrame:
         """Ad requests: page, country and device."""
         k = F.col("o_orderkey")
-        return self.raw("orders").where("o_orderkey < 60").select(k.alias("request_id"), (k % 40).alias("page_id"), F.when(k % 4 == 0, "US").when(k % 4 == 1, "GB").when(k % 4 == 2, "DE").otherwise("FR").alias("country"), F.when(k % 3 == 0, "desktop").when(k % 3 == 1, "mobile").otherwise("tablet").alias("device"))
+        return self.raw("orders").select(k.alias("request_id"), F.col("o_custkey").alias("page_id"), F.when(k % 4 == 0, "US").when(k % 4 == 1, "GB").when(k % 4 == 2, "DE").otherwise("FR").alias("country"), F.when(k % 3 == 0, "desktop").when(k % 3 == 1, "mobile").otherwise("tablet").alias("device"))
 
     @property
     def ad_vectors(self) -> DataFrame:
@@ -156,7 +157,7 @@ SQL = {
     "clicks": "SELECT event_id AS id, ts AS event_time, user_id AS ad_id, user_id % 20 AS campaign_id, event_id % 10 AS publisher_id, CAST(floor(value * 100) AS BIGINT) AS price_cents FROM events WHERE event_type = 'click'",
     "auctions": "SELECT event_id AS auction_id, ts AS event_time, CASE WHEN won THEN user_id END AS winner_ad_id, CASE WHEN won THEN user_id % 20 END AS winner_campaign_id, CASE WHEN won THEN CAST(floor(value * 100) AS BIGINT) END AS winning_bid_cents, CASE WHEN won THEN (event_id % 1000) / 1000.0::DOUBLE END AS winning_final_score, event_id % 40 + 5 AS num_candidates, event_id % 7 AS num_filtered_budget, event_id % 11 AS num_filtered_targeting, event_id % 5 + 1 AS num_eligible, event_id % 10 AS publisher_id FROM (SELECT *, event_type IN ('purchase', 'view') AS won FROM events)",
     "advertisers": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation",
-    "campaigns": "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS advertiser_id, c_name AS name, CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS total_budget, CASE c_mktsegment WHEN 'BUILDING' THEN 'ACTIVE' WHEN 'MACHINERY' THEN 'PAUSED' ELSE 'PENDING' END AS status FROM customer WHERE c_custkey < 15",
+    "campaigns": "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS advertiser_id, c_name AS name, CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS total_budget, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'ACTIVE' WHEN c_mktsegment = 'MACHINERY' THEN 'PAUSED' ELSE 'PENDING_ANALYSIS' END AS status, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey * 2 AS INTEGER)) AS start_date, CASE WHEN c_custkey % 3 > 0 THEN TIMESTAMP '2024-01-31' + to_days(CAST(c_custkey * 2 AS INTEGER)) END AS end_date FROM customer WHERE c_custkey < 15",
     "ad_sets": "SELECT p_partkey AS id, p_partkey % 20 AS campaign_id, CAST(floor(p_retailprice) AS BIGINT) AS bid_amount_cents, CAST(p_size * 1000 AS BIGINT) AS daily_budget_cents, CASE WHEN p_size % 2 = 1 THEN 'CPC' ELSE 'CPM' END AS pricing_model FROM part",
     "ads": "SELECT p_partkey AS id, p_partkey AS ad_set_id, p_name AS headline, 'https://shop.example/' || CAST(p_partkey AS VARCHAR) AS destination_url FROM part WHERE p_partkey % 7 <> 0",
     "pacing": "SELECT l_shipdate AS event_time, l_suppkey % 20 AS campaign_id, 1.0::DOUBLE + l_tax AS previous_multiplier, 1.0::DOUBLE + l_discount AS new_multiplier, l_discount - l_tax AS error_normalized, l_tax AS p_term, l_discount AS i_term, l_quantity / 50.0::DOUBLE AS urgency, CAST(floor(l_extendedprice) AS BIGINT) AS spent_today_cents, CAST(floor(l_quantity * 1000) AS BIGINT) AS daily_budget_cents, CAST(floor(l_extendedprice * 50) AS BIGINT) AS remaining_budget_cents, CAST(floor(l_extendedprice * 200) AS BIGINT) AS total_budget_cents, CASE WHEN l_returnflag = 'R' THEN 'budget_exhausted' ELSE 'ok' END AS status, l_orderkey, l_linenumber, l_partkey FROM lineitem",
@@ -165,11 +166,11 @@ SQL = {
     "ad_entities": "SELECT p_partkey AS ad_id, p_brand AS text, CASE WHEN p_partkey % 2 = 0 THEN 'BRAND' ELSE 'ORG' END AS type FROM part",
     "ad_countries": "SELECT p_partkey AS ad_id, CASE p_partkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE 'DE' END AS country FROM part WHERE p_partkey % 5 <> 0",
     "ad_devices": "SELECT p_partkey AS ad_id, CASE WHEN p_partkey % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS device FROM part WHERE p_partkey % 4 <> 0",
-    "page_keywords": "SELECT p_partkey AS page_id, unnest(string_split(lower(p_name), ' ')) AS keyword, (p_partkey % 10 + 1) / 10.0::DOUBLE AS relevance_score FROM part WHERE p_partkey < 40",
-    "page_topics": "SELECT p_partkey AS page_id, CAST(p_size % 30 + 100 AS VARCHAR) AS topic_id, CAST(p_partkey % 2 + 1 AS INTEGER) AS tier, 0.9::DOUBLE AS relevance_score FROM part WHERE p_partkey < 40",
-    "page_entities": "SELECT p_partkey AS page_id, 'the ' || p_brand || ' store' AS text, 'BRAND' AS type FROM part WHERE p_partkey < 40",
+    "page_keywords": "SELECT p_partkey AS page_id, unnest(string_split(lower(p_name), ' ')) AS keyword, (p_partkey % 10 + 1) / 10.0::DOUBLE AS relevance_score FROM part",
+    "page_topics": "SELECT p_partkey AS page_id, CAST(p_size % 30 + 100 AS VARCHAR) AS topic_id, CAST(p_partkey % 2 + 1 AS INTEGER) AS tier, 0.9::DOUBLE AS relevance_score FROM part",
+    "page_entities": "SELECT p_partkey AS page_id, 'the ' || p_brand || ' store' AS text, 'BRAND' AS type FROM part",
     "topic_mapping": "SELECT CAST(i AS VARCHAR) AS product_id, CAST(i + 100 AS VARCHAR) AS content_id FROM range(30) t(i) WHERE i % 4 <> 0",
-    "requests": "SELECT o_orderkey AS request_id, o_orderkey % 40 AS page_id, CASE o_orderkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'DE' ELSE 'FR' END AS country, CASE o_orderkey % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device FROM orders WHERE o_orderkey < 60",
+    "requests": "SELECT o_orderkey AS request_id, o_custkey AS page_id, CASE o_orderkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'DE' ELSE 'FR' END AS country, CASE o_orderkey % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device FROM orders",
     "ad_vectors": "SELECT vec_id AS ad_id, embedding, label FROM embeddings WHERE vec_id % 2 = 0",
     "page_vectors": "SELECT vec_id AS page_id, embedding, label FROM embeddings WHERE vec_id % 2 = 1",
 }

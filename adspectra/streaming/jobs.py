@@ -17,9 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from adspectra.operators import parse
 from adspectra.operators.pacing import Config, step
+from adspectra.operators.parse import NONCE_HOURS
 
 SINK_SECONDS, WINDOW_SECONDS, LATENESS, CHECKPOINT_SECONDS = 5, 10, "1 minute", 60
-NONCE_HOURS = 24
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
@@ -72,11 +72,15 @@ def ad_event_sink(impressions: str, clicks: str, dead: str | None = None) -> Cal
     """Parses a batch of messages and writes impressions, clicks and unreadable messages."""
 
     def write(messages: DataFrame, batch: int) -> None:
-        seen, clicked = parse.split_ad_events(parse.ad_events(messages))
-        by_day(impressions)(seen, batch)
-        by_day(clicks)(clicked, batch)
-        if dead:
-            parse.dead_letters(messages).withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(dead)
+        messages = messages.persist()
+        try:
+            seen, clicked = parse.split_ad_events(parse.ad_events(messages))
+            by_day(impressions)(seen, batch)
+            by_day(clicks)(clicked, batch)
+            if dead:
+                parse.dead_letters(messages).withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(dead)
+        finally:
+            messages.unpersist()
 
     return write
 

@@ -4,10 +4,14 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from adspectra import schemas
 from adspectra.functions import timeutil, web
 from adspectra.operators import merge, pacing, parse, similarity, targeting, taxonomy, textprep
 from adspectra.sources import files
@@ -27,7 +31,9 @@ def test_ad_events(spark):
     first = dt.datetime(2024, 1, 1)
     assert [r.event_time for r in rows] == [first, first, first, NOW, NOW, first]
     assert all(r.ad_id == 7 and r.event_type == "click" for r in rows) and [r.price_cents for r in rows][-1] == 0
-    assert parsed(spark, parse.dead_letters, *values, "{broken", "[1]", None).count() == 3
+    dead = parsed(spark, parse.dead_letters, *values, "{broken", "[1]", None).collect()
+    assert [r.value for r in dead] == [values[6], "{broken", "[1]", None]  # an id that is no number is lost to no one
+    assert parsed(spark, lambda m: parse.dead_letters(m, parse.PACING_KEYS), '{"campaign_id": 1}', '{"campaign_id": "x"}').count() == 1
     seen, clicked = parse.split_ad_events(parsed(spark, parse.ad_events, *values))
     assert seen.count() == 0 and clicked.count() == 6 and clicked.where("ip_address is null").count() == 6
 
@@ -53,10 +59,30 @@ def test_urls_and_signatures(spark):
 
 def test_buckets():
     a = dt.datetime(2024, 1, 1)
-    assert timeutil.bucket_seconds(a, a + dt.timedelta(hours=1)) == 15 and timeutil.bucket_seconds(a, a) == 1
+    seconds = lambda **x: timeutil.bucket_seconds(a, a + dt.timedelta(**x))
+    assert [seconds(hours=1), seconds(), seconds(seconds=599), seconds(seconds=600), seconds(seconds=900, milliseconds=999), seconds(days=30), seconds(days=400)] == [15, 1, 1, 2, 5, 14400, 86400]
     assert [timeutil.bucket_label(s) for s in (30, 60, 7200)] == ["30s", "1m", "2h"]
 
 
+def test_nonces_expire(spark):
+    day, at = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    times = [at, at + day / 2, at + day, at + day * 1.4, at + day * 2.5, at]
+    rows = [("click", "n", t, k) for k, t in enumerate(times)] + [("impression", "n", at, 9), ("click", "m", at, 8)]
+    events = spark.createDataFrame(rows, "event_type string, nonce string, event_time timestamp_ntz, id int").repartition(3)
+    assert sorted(r.id for r in jobs.deduplicated(events).collect()) == [0, 2, 4, 8, 9]
+
+
+def test_statuses(spark):
+    rows = [("a", s, 100, None, 5, m, 1, None) for s in ("active", "ARCHIVED", "PENDING_ANALYSIS", "", None, "PENDING") for m in ("cpm", "", "CPA")]
+    names = "name string, status string, total_budget int, daily_budget_cents int, bid_amount_cents int, pricing_model string, start_date int, end_date int"
+    got = [tuple(r.p) for r in spark.createDataFrame(rows, names).select(schemas.campaign_problems().alias("p")).collect()]
+    want = [(("status is unknown",) if s == "PENDING" else ()) + (("pricing model is unknown",) if m == "CPA" else ()) for s in ("a", "A", "P", "", None, "PENDING") for m in ("cpm", "", "CPA")]
+    assert got == want
+    ads = spark.createDataFrame([(1, "PENDING_ANALYSIS"), (2, "PENDING_ANALYSIS"), (3, "PAUSED")], "id int, status string")
+    done = spark.createDataFrame([(1,), (1,), (3,)], "ad_id int")
+    assert sorted(map(tuple, merge.activated(ads, done).collect())) == [(1, "ACTIVE"), (2, "PENDING_ANALYSIS"), (3, "PAUSED")]
+
+
 PI = "total_budget double, daily_budget double, spent double, spent_today double, start double, end double, now double, multiplier double, integral double"
 NOON = 1700000000 // 86400 * 86400 + 43200.0
 
@@ -82,6 +108,21 @@ def test_candidates(spark):
     keys = spark.createDataFrame([(1, "keyword", "a"), (1, "topic", "9"), (2, "keyword", "A")], "page_id int, dim string, key string")
     req = spark.createDataFrame([(1, 1, "US", "desktop"), (2, 1, "FR", "mobile"), (3, 2, "FR", "tv")], "request_id int, page_id int, country string, device string")
     assert sorted(map(tuple, targeting.find_candidates(req, keys, index).collect())) == [(1, 1), (2, 2)]
+    only = spark.createDataFrame([(2,), (3,)], "ad_id int")
+    # Without ad 1 no ad targets a country, so none filters by it.
+    assert sorted(map(tuple, targeting.find_candidates(req, keys, index, only).collect())) == [(1, 2), (1, 3), (2, 2)]
+    nulls = spark.createDataFrame([(9, 1, None, None)], req.schema)
+    assert sorted(map(tuple, targeting.find_candidates(nulls, keys, index).collect())) == [(9, 1), (9, 2), (9, 3)]
+    fresh = targeting.refresh_index(index, spark.createDataFrame([(1,), (3,)], "ad_id int"), spark.createDataFrame([("keyword", "b", 1)], targeting.INDEX))
+    assert sorted(map(tuple, fresh.collect())) == [("device", "mobile", 2), ("keyword", "a", 2), ("keyword", "b", 1)]
+
+
+def test_active(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, "active", day(1), None), (2, "ACTIVE", day(1), day(9)), (3, "ACTIVE", day(1), day(5)), (4, "ACTIVE", day(6), None), (5, "PAUSED", day(1), None), (6, "ACTIVE", day(5), day(9))]
+    df = spark.createDataFrame(rows, "id int, status string, start_date timestamp_ntz, end_date timestamp_ntz")
+    ids = lambda **k: [r.id for r in df.where(targeting.active_at(timeutil.moment(day(5)), **k)).orderBy("id").collect()]
+    assert ids() == [1, 2] and ids(closed=True) == [1, 2, 3, 6]
 
 
 def test_similarity_edges(spark):
@@ -93,18 +134,51 @@ def test_similarity_edges(spark):
 
 def test_taxonomy(spark):
     tree = [{"id": "1", "name": "a", "tier": 1, "children": [{"id": "3", "name": "c", "tier": 2}]}, {"id": "2", "name": "b", "tier": 1}]
-    flat = taxonomy.flatten(tree)
-    assert [r.id for r in taxonomy.flat_taxonomy(spark, tree).collect()] == ["1", "2", "3"]
-    assert taxonomy.nested(flat) == [{"id": "1", "name": "a", "tier": 1, "children": [{"id": "3", "name": "c", "tier": 2, "children": []}]}, {"id": "2", "name": "b", "tier": 1, "children": []}]
+    flat = taxonomy.flat_taxonomy(spark, tree)
+    rows = [tuple(r) for r in flat.collect()]
+    assert rows == [("1", None, "a", 1), ("2", None, "b", 1), ("3", "1", "c", 2)]
+    assert taxonomy.nested(rows) == [{"id": "1", "name": "a", "tier": 1, "children": [{"id": "3", "name": "c", "tier": 2, "children": []}]}, {"id": "2", "name": "b", "tier": 1, "children": []}]
+    assert taxonomy.flat_taxonomy(spark, []).count() == 0
+
+
+def test_twelve_tiers(spark):
+    node = None
+    for k in range(12, 0, -1):
+        node = {"id": str(k), "name": f"n{k}", "tier": k, "children": [node] if node else []}
+    flat = taxonomy.flat_taxonomy(spark, [node])
+    got = taxonomy.with_paths(flat).orderBy("tier").collect()
+    assert [r.id for r in got] == [str(k) for k in range(1, 13)] and got[-1].path == [f"n{k}" for k in range(1, 13)]
+
+
+def brute_chunks(units, least, most):
+    """Short units take the next one in; then sentences are filled up to ``most`` tokens."""
+    words = lambda s: len(s.split())
+    groups, k = [], 0
+    while k < len(units):
+        groups.append(units[k : k + 1 + (words(units[k]) < least)])
+        k += len(groups[-1])
+    if len(groups) > 1 and words(" ".join(groups[-1])) < least:
+        groups[-2:] = [groups[-2] + groups[-1]]
+    out = []
+    for text in map(" ".join, groups):
+        parts = [[]] if words(text) * 3 // 4 > most else [[text]]
+        for s in re.split(r"(?<=[.!?])\s+", text) if not parts[0] else ():
+            if parts[-1] and sum(words(x) * 3 // 4 for x in parts[-1]) + words(s) * 3 // 4 > most:
+                parts.append([])
+            parts[-1].append(s)
+        out += [" ".join(p) for p in parts]
+    return out
 
 
 def test_chunks(spark):
-    assert textprep.merge_short(["a", "b c", "d " * 30, "e"], 20) == ["a b c", "d " * 30 + " e"]
-    assert textprep.merge_short(["a"], 20) == ["a"]
-    long = " ".join(["word"] * 300) + ". " + "tail one."
-    assert textprep.split_large([long], 100) == [" ".join(["word"] * 300) + ".", "tail one."]
-    df = spark.createDataFrame([(1, "One two. Three!\nFour"), (2, None), (3, "")], "id int, text string")
-    assert [(r.id, r.content) for r in textprep.chunks(df, "id", "text", least=1).collect()] == [(1, "One two."), (1, "Three!"), (1, "Four")]
+    rnd = random.Random(4)
+    texts = [[" ".join(["w"] * rnd.choice((1, 2, 3, 4, 9, 30))) + "." for _ in range(rnd.randint(0, 9))] for _ in range(80)]
+    df = spark.createDataFrame([(k % 40, " ".join(x)) for k, x in enumerate(texts)] + [(90, None), (91, "")], "id int, text string")
+    for least, most in ((1, 256), (4, 256), (4, 12), (20, 5)):
+        got = Counter((r.id, r.chunk_index, r.content) for r in textprep.chunks(df, "id", "text", least, most).collect())
+        assert got == Counter((k % 40, i, c) for k, x in enumerate(texts) for i, c in enumerate(brute_chunks(x, least, most)))
+    lines = spark.createDataFrame([(1, "One two. Three!\nFour")], "id int, text string")
+    assert [r.content for r in textprep.chunks(lines, "id", "text", least=1).collect()] == ["One two.", "Three!", "Four"]
     words = F.array(*[F.lit(x) for x in "abcdefg"])
     assert spark.range(1).select(textprep.token_chunks(words, 4, 1)).first()[0] == [list("abcd"), list("defg")]
 
@@ -147,6 +221,41 @@ def test_streams(spark, tmp_path):
     assert sum(r.impressions for r in got) == 2 and sum(r.spend_cents for r in got) == 6 and got[-1].campaign_id == 1
 
 
+def test_auction_and_pacing_streams(spark, tmp_path):
+    """Both sinks; a batch that runs again replaces itself."""
+    files_at = tmp_path / "in"
+    files_at.mkdir()
+    won = {"auction_id": "a", "winner": {"ad_id": 1, "effective_bid": 2.5}, "timestamp": 1704067200}
+    (files_at / "a.json").write_text("\n".join([json.dumps(won), json.dumps({"campaign_id": 4, "status": "ok", "timestamp": 1704153600}), "{bad"]))
+    for job, n in ((jobs.auction_job, 2), (jobs.pacing_job, 2)):
+        out = str(tmp_path / job.__name__)
+        for _ in range(2):
+            job(files.file_stream(spark, str(files_at)), out, str(tmp_path / f"cp-{job.__name__}"), once=True).awaitTermination()
+        rows = spark.read.parquet(out)
+        assert rows.count() == n and {str(r.event_date) for r in rows.collect()} == {"2024-01-01", "2024-01-02"}
+        jobs.by_day(out)(rows.drop("event_date", "batch_id").where("event_time < '2024-01-02'"), 0)
+        assert spark.read.parquet(out).count() == n
+
+
+def test_late_rows_and_nonces_in_a_stream(spark, tmp_path):
+    """A row behind the watermark is left out of the windows; a repeated nonce is dropped."""
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda second, nonce: json.dumps({"event_type": "click", "ad_id": 1, "campaign_id": 1, "price_cents": 1, "nonce": nonce, "timestamp": 1704067200 + second})
+    (source / "a.json").write_text("\n".join([line(0, "a"), line(1, "a"), line(600, "b")]))
+    messages = lambda: files.file_stream(spark, str(source), 1)
+    counted = jobs.ad_metrics(parse.ad_events(messages())).writeStream.format("memory").queryName("late").outputMode("append").start()
+    once = jobs.deduplicated(parse.ad_events(messages().withColumn("nonce", F.get_json_object("value", "$.nonce")))).writeStream.format("memory").queryName("nonces").start()
+    for q in (counted, once):
+        q.processAllAvailable()
+    (source / "b.json").write_text("\n".join([line(2, "c"), line(700, "b"), line(800, "d")]))
+    for q in (counted, once):
+        q.processAllAvailable()
+        q.stop()
+    assert [r.clicks for r in spark.table("late").orderBy("window_start").collect()] == [2, 1, 1]
+    assert spark.table("nonces").count() == 4
+
+
 def test_sequence_matches_single_steps(spark):
     rows = [(1, NOON + k * 600, 1000.0, 100.0, 10.0 * k, 5.0 * k, NOON, NOON + 86400.0) for k in range(6)]
     names = "campaign_id bigint, now double, total_budget double, daily_budget double, spent double, spent_today double, start double, end double"
