@@ -1,4 +1,9 @@
-"""HTML to a tree of block elements with their own text; tolerant of unclosed and stray tags."""
+"""HTML to a tree of block elements with their own text; tolerant of unclosed and stray tags.
+
+An element without text of the page (``SILENT``) that is never closed ends with the block around it, at a block that can't
+stand in it, or, if no end tag of its kind follows at all, at once, so it never takes the rest of the page with it.  A quote
+opens an attribute's value only after an equals sign.  Blocks may be nested to any depth.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,12 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "select", "audio", "video"}
+#: Where one of these begins, an open one of the set below has ended: they can't stand in it.
+BREAKS = {"svg": {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl"}, "select": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section"}}
 #: Of these the content isn't even markup, so the next tag is looked for after their end.
 RAW = {"script", "style", "iframe", "title", "textarea"}
 RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
@@ -39,6 +46,8 @@ def parse(page: str) -> list[Node]:
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
     open_links = order = 0
     silent: list[str] = []
+    inner: list[str] = []  # blocks opened in the silent elements
+    lower, last = page.lower(), {}  # where each silent element's end tag is met last
     at = 0
 
     def text(raw: str) -> None:
@@ -55,6 +64,12 @@ def parse(page: str) -> list[Node]:
         """The innermost open element of some tags, 0 if there is none."""
         return max((places[t][-1] for t in tags if places[t]), default=0)
 
+    def begins(tag: str, attributes: str) -> bool:
+        """Whether a silent element has content: it isn't closed in its own tag, and an end tag follows somewhere."""
+        if tag not in last:
+            last[tag] = lower.rfind(f"</{tag}")
+        return not attributes.endswith("/") and last[tag] >= at
+
     def close(k: int) -> None:
         for n in stack[k:]:
             places[nodes[n].tag].pop()
@@ -70,13 +85,29 @@ def parse(page: str) -> list[Node]:
         if tag in RAW and not closing and not m[3].endswith("/"):
             end = RAW_ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
-        elif silent:
-            if tag == silent[-1] and closing:
-                silent.pop()
-            elif tag in SILENT and not closing and not m[3].endswith("/"):
-                silent.append(tag)
-        elif tag in SILENT:
-            if not closing and not m[3].endswith("/"):
+            continue
+        if silent:
+            ends_here = tag in BLOCKS and closing and tag not in inner and bool(places[tag])
+            if ends_here or not closing and tag in BREAKS.get(silent[-1], ()) and not inner:
+                # The end of a block around it, or a block that can't stand in it: the silent element was never closed.
+                silent.clear()
+                inner.clear()
+            elif closing and tag in silent:
+                while silent.pop() != tag:
+                    pass
+                inner.clear()
+                continue
+            else:
+                if tag in SILENT and not closing and begins(tag, m[3]):
+                    silent.append(tag)
+                elif tag in BLOCKS and not closing:
+                    inner.append(tag)
+                elif tag in BLOCKS and tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                continue
+        if tag in SILENT:
+            if not closing and begins(tag, m[3]):
                 silent.append(tag)
         elif tag == "br" or tag == "hr":
             text(" ")

@@ -20,9 +20,6 @@ hashes that holds it; a range adds up the counts of all parts and answers every
 a part meets its answers and scores.  So the counts are spread over all tasks, a task holds one part or one range, a
 word that every document has is sent once by each part, and nothing is collected or broadcast.
 
-``train``, ``counts`` and ``score`` hold a smaller model of a size fixed by parameters, which hashes
-words to ``CELLS`` cells and contexts to ``CLASSES`` classes; ``cross_entropy_difference`` doesn't use it.
-
 Defined cases: null or empty text has no tokens and null losses; an id counts as good only if
 its least quality is 1 and its greatest toxicity 0 (null: not toxic); without good labels the target is the
 uniform model; repeated rows count each; an empty table gives an empty result; other columns are ignored.
@@ -42,7 +39,6 @@ from pyspark.sql import types as T
 from .common import mix64, partitions, raw
 from .wordbpe import BASE, powers
 
-CELLS, CLASSES = 1 << 18, 512
 MIX, ALPHA = 0.6, 0.1
 #: Bytes hashed at once; bytes of text of a part.
 BLOCK, PART = 1 << 21, 1 << 24
@@ -71,21 +67,6 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word, np.diff(at)
 
 
-def token_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The vocabulary cell of each word of all texts, and how many words each text has."""
-    word, sizes = token_hashes(texts)
-    return (word % np.uint64(CELLS)).astype(np.int64), sizes
-
-
-def contexts(cell: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The class before each word; ``CLASSES`` before a text's first."""
-    before = np.empty(len(cell), np.int64)
-    before[1:] = cell[:-1] % CLASSES
-    starts = np.cumsum(sizes) - sizes
-    before[starts[sizes > 0]] = CLASSES
-    return before
-
-
 def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``BLOCK`` bytes."""
     a = size = 0
@@ -103,77 +84,6 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(((F.min(F.coalesce("quality", F.lit(0))) == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("__asx_good")).where("__asx_good")
 
 
-def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """cell, background, target: how often each vocabulary cell, and each pair of classes (numbered after the cells), occurs."""
-    good = good_ids(labels)
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("__asx_good", F.lit(False)).alias("good"))
-    width = CELLS + (CLASSES + 1) * CLASSES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        for batch in batches:
-            texts, good = raw(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in parts(texts):
-                cell, sizes = token_cells(texts[a:b])
-                pair = CELLS + contexts(cell, sizes) * CLASSES + cell % CLASSES
-                own = np.repeat(good[a:b], sizes)
-                for of, mask in ((background, slice(None)), (target, own)):
-                    of += np.bincount(cell[mask], minlength=width)
-                    of += np.bincount(pair[mask], minlength=width)
-        met = np.flatnonzero(background)
-        for k in range(0, len(met), 100_000):
-            part = met[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(background[part]), pa.array(target[part])], ["cell", "background", "target"])
-
-    return marked.mapInArrow(count, "cell int, background long, target long").groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Log parts of P(b | a) over the shared vocabulary."""
-
-    def __init__(self, count: np.ndarray):
-        cells, pairs = count[:CELLS].astype(float), count[CELLS:].reshape(CLASSES + 1, CLASSES).astype(float)
-        in_class = np.bincount(np.arange(CELLS) % CLASSES, weights=cells, minlength=CLASSES)
-        of_class = CELLS // CLASSES
-        self.single = ((cells + ALPHA) / (cells.sum() + ALPHA * CELLS)).astype(np.float64)
-        self.within = (cells + ALPHA) / (in_class + ALPHA * of_class)[np.arange(CELLS) % CLASSES]
-        self.step = ((pairs + ALPHA) / (pairs.sum(axis=1, keepdims=True) + ALPHA * CLASSES)).ravel()
-
-    def losses(self, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return -np.log(MIX * self.step[before * CLASSES + cell % CLASSES] * self.within[cell] + (1 - MIX) * self.single[cell])
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
-    """(target, background)."""
-    got = counts(docs, labels).toArrow()  # of bounded size, whatever the corpus
-    both = np.zeros((2, CELLS + (CLASSES + 1) * CLASSES), np.int64)
-    for k, name in enumerate(("target", "background")):
-        both[k, got.column("cell").to_numpy()] = got.column(name).to_numpy()
-    return Model(both[0]), Model(both[1])
-
-
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row; losses per token, in nats."""
-    models = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rows = raw(batch.column(1)), []
-            for a, b in parts(texts):
-                cell, sizes = token_cells(texts[a:b])
-                before = contexts(cell, sizes)
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                sums = [np.diff(np.concatenate([[0], np.cumsum(m.losses(cell, before))])[edges]) for m in models.value]
-                rows.append((sizes, *sums))
-            sizes, own, rest = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            none = sizes == 0
-            means = [np.divide(x, sizes, out=np.zeros(len(sizes)), where=~none) for x in (own, rest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    own = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in ("target_loss", "background_loss", "score"))])
-    return docs.select("doc_id", "text").mapInArrow(run, own)
-
-
 class Grams:
     """The distinct words (the start mark with them) and bigrams of some texts, by hash in rising order, and each token's places among them."""
 

@@ -159,7 +159,7 @@ class Model:
         self.forests = list(forests)
 
     def judge(self, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """base_failed, the largest excess of a forest's score over its threshold (null: no forest), kept."""
+        """base_failed, the largest excess of a forest's score over its threshold (-1 without forests), kept."""
         n, repeated = stats[:, 0], stats[:, 4]
         failed = (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)
         x = features(stats)
@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("__asx_good").cast(pa.int64()), *map(pa.array, s.T)], ["good", *COUNTS, *MORE])
 
     own = T.StructType([T.StructField(x, T.LongType()) for x in ("good", *COUNTS, *MORE)])
-    # A repeated id may bring more rows than ids; one row of each id is taken.
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "__asx_good").mapInArrow(stats, own)
+    # A repeated id may bring more rows than ids; its least text is taken.
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__asx_good").alias("__asx_good")).select("text", "__asx_good").mapInArrow(stats, own)
     got = np.array([tuple(r) for r in rows.collect()], np.int64).reshape(-1, 1 + len(COUNTS) + len(MORE))  # at most ``sample`` rows of counts
     got = got[np.lexsort(got.T[::-1])]
     return fit(got[:, 1:], got[:, 0] == 1)

@@ -15,7 +15,9 @@ bound allows a find there: left if its distance is at most cut + radius, right i
 cut - radius.  The top of the tree is grown from a bounded sample of the distinct fingerprints,
 its depth from their number, and is all that is broadcast.  Every distinct fingerprint goes to its
 home shard, and as a query to each shard that its ball overlaps.  Within a shard the same descent
-goes on over arrays, homes and queries together, until few are left to compare.  Links inside a
+goes on over arrays, homes and queries together, until few are left to compare.  Where many have one
+value in the block, so that no vantage divides them, the other bits are cut into ``RADIUS + 1`` parts, of which two linked
+fingerprints have at least one in common, and only those of one part value go on together.  Links inside a
 shard are reduced to a spanning forest (no group is ever emitted as all its pairs) and the
 components over all shards are found by ``components``.
 
@@ -43,12 +45,12 @@ from .components import roots
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 3
-#: Distinct fingerprints that the trees' tops are grown from.
-SAMPLE = 4096
+#: Least number of distinct fingerprints that the trees' tops are grown from.
+LEAST_SAMPLE = 4096
 #: Distinct fingerprints to a home shard, and the pairs that are compared at once within one.
 SHARD, PAIRS = 12_000, 1 << 19
-#: Most levels of a tree's top.
-TOP = 14
+#: Most levels of a tree's top (for some 1.6 billion distinct fingerprints; beyond, shards grow), and sampled fingerprints for each leaf of it.
+TOP, LEAF_SAMPLE = 17, 8
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -159,26 +161,49 @@ def deal(tree: list | None, values: np.ndarray, mask: np.uint64, radius: int) ->
     return np.concatenate(index), np.concatenate(leaf), np.concatenate(home)
 
 
+def bit_parts(mask: int, n: int) -> list[int]:
+    """The bits of a mask in ``n`` parts of like size."""
+    bits = [1 << k for k in range(64) if mask >> k & 1]
+    return [sum(bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def alike(h: np.ndarray, q: np.ndarray, homes: np.ndarray, queries: np.ndarray, part: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The homes and queries of each value that both have in some bits."""
+    h, q = h[np.argsort(homes[h] & part, kind="stable")], q[np.argsort(queries[q] & part, kind="stable")]
+    a, b = homes[h] & part, queries[q] & part
+    for v in np.intersect1d(a, b):
+        yield h[np.searchsorted(a, v) : np.searchsorted(a, v, "right")], q[np.searchsorted(b, v) : np.searchsorted(b, v, "right")]
+
+
 def near_pairs(homes: np.ndarray, queries: np.ndarray, mask: np.uint64, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (home, query) within ``most`` bits of all 64, given that they are within ``radius`` in the block."""
-    stack = [(np.arange(len(homes)), np.arange(len(queries)))]
+    """Index pairs (home, query) within ``most`` bits of all 64, given that they are within ``radius`` in the block; some come again.
+
+    On the stack: homes, queries, whether a vantage may divide them, and the bits that they may differ in.
+    """
+    stack = [(np.arange(len(homes)), np.arange(len(queries)), True, (1 << 64) - 1)]
     while stack:
-        h, q = stack.pop()
+        h, q, whole, free = stack.pop()
         if not len(h) or not len(q):
             continue
-        found = vantage(homes[h], mask) if len(h) * len(q) > PAIRS and len(h) > 64 else None
-        if found is None:
-            step = max(1, PAIRS // len(h))
-            for k in range(0, len(q), step):
-                part = q[k : k + step]
-                i, j = np.nonzero(np.bitwise_count(homes[h][:, None] ^ queries[part][None, :]) <= most)
-                if len(i):
-                    yield h[i], part[j]
+        many = len(h) * len(q) > PAIRS and len(h) > 64
+        found = vantage(homes[h], mask) if many and whole else None
+        if found is not None:
+            v, at = found
+            dh, dq = distance(homes[h], v, mask), distance(queries[q], v, mask).astype(np.int64)
+            stack.append((h[dh <= at], q[dq <= at + radius], True, free))
+            stack.append((h[dh > at], q[dq > at - radius], True, free))
+            continue
+        rest = free & ~int(mask) if whole else free
+        if many and rest.bit_count() > 2 * most:
+            for part in bit_parts(rest, most + 1):
+                stack.extend((*both, False, rest & ~part) for both in alike(h, q, homes, queries, np.uint64(part)))
             continue
-        v, at = found
-        dh, dq = distance(homes[h], v, mask), distance(queries[q], v, mask).astype(np.int64)
-        stack.append((h[dh <= at], q[dq <= at + radius]))
-        stack.append((h[dh > at], q[dq > at - radius]))
+        step = max(1, PAIRS // len(h))
+        for k in range(0, len(q), step):
+            part = q[k : k + step]
+            i, j = np.nonzero(np.bitwise_count(homes[h][:, None] ^ queries[part][None, :]) <= most)
+            if len(i):
+                yield h[i], part[j]
 
 
 class Forest:
@@ -221,7 +246,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard
     """(u, v): links that connect what is connected at ``radius`` bits, among distinct fingerprints in column fp."""
     n = distinct.count()
     depth = min(TOP, max(0, math.ceil(math.log2(max(1, n) / shard))))
-    small = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    small = distinct.orderBy(F.xxhash64("fp")).limit(max(LEAST_SAMPLE, LEAF_SAMPLE << depth)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     masks, near = block_masks(blocks), radius // blocks
     trees = [grow(small, np.uint64(m), depth) for m in masks]
 

@@ -117,6 +117,32 @@ def test_trees_lose_no_link(spark, depth):
     assert got == {(v, min(g)) for g in groups.values() if len(g) > 1 for v in g}
 
 
+def test_a_block_that_many_share():
+    """Fingerprints alike in a whole block are searched by their other bits, and lose no pair."""
+    rnd = np.random.default_rng(5)
+    mask = np.uint64(simhash.block_masks(3)[0])
+    values = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~mask | np.uint64(77)
+    for k in range(2000, 3000):
+        values[k] = values[k - 2000]
+        for b in rnd.choice(np.arange(22, 64), rnd.integers(1, 6), replace=False):
+            values[k] ^= np.uint64(1) << np.uint64(b)
+    values = np.unique(values)
+    found = set()
+    for i, j in simhash.near_pairs(values, values, mask, 1, 4):
+        found |= {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)
+    assert found == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b} and len(found) > 500
+
+
+def test_a_very_long_text(spark):
+    text = prose(random.Random(2), 200_000)
+    rows = spark.createDataFrame([(1, text), (2, text + " tail"), (3, "short")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(rows).collect()}
+    assert got[1].fp & (1 << 64) - 1 == brute_fingerprint(text) and got[2].component_id == 1 and got[3].component_id == 3
+    cut = {r.doc_id: r for r in substrings.removed(rows).collect()}
+    assert cut[1].n_removed < 100_000 and cut[2].n_bytes - cut[2].n_removed == 5 and cut[3].n_removed == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     rows = components.roots(chain.union(spark.createDataFrame([(1000, 1001), (7, 7)], "u bigint, v bigint"))).collect()
@@ -249,3 +275,36 @@ def test_pipeline_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, got.select(cols).collect())) == Counter(map(tuple, want.select(cols).collect()))
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables go through all stages."""
+    from adspectra.llm import packing
+    from adspectra.llm.queries import vocabulary
+
+    rnd = random.Random(12)
+    plain = [(i, prose(rnd, rnd.randint(12, 60)), "a", 0) for i in range(30)]
+    rows = [*plain, plain[3], (plain[4][0], prose(rnd, 30), "b", 0), (None, prose(rnd, 40), "c", None), (None, None, None, None), (40, None, "d", 0), (41, "", "d", 0), (42, " \n", "d", 0), (43, prose(rnd, 20_000), "e", 9)]
+    rows += [(50 + i, plain[i][1] + " " + plain[i + 1][1], "f", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"kept": F.lit("x"), "fp": F.lit(1), "spans": F.lit(2), "piece": F.lit(3), "__row": F.lit(4)})
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)] + [(None, 1, None), (3, 0, 0)], "doc_id bigint, quality int, toxic int")
+    for name, of in (("full", lambda df: df), ("empty", lambda df: df.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        of(docs).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            before, table = table, f(spark, table, folder)
+            assert table.columns == docs.columns, stage
+            table.write.parquet(f"{folder}/{stage}")
+            table = spark.read.parquet(f"{folder}/{stage}")
+            assert table.count() <= before.count()
+        texts = table.select("doc_id", "text")
+        got = corpus_pipeline.run(spark, folder)
+        want = packing.token_pieces(texts, vocabulary("word_bpe_49k.json"))
+        assert Counter((r.doc_id, r.length, r.ids_crc32) for r in got.collect()) == Counter((r.doc_id, r.length, r.ids_crc32) for r in want.collect())
+        kept = Counter(r.doc_id for r in texts.collect())
+        if name == "full":
+            assert {43, *range(30)} >= set(kept) - {None, *range(50, 55)} and max(kept.values()) == 1 and 43 in kept and not {40, 41, 42} & set(kept)
+        else:
+            assert not kept

@@ -89,6 +89,53 @@ def test_forest_finds_what_is_rare():
     assert kept[ok[1::2]].mean() > 0.99 and kept[~ok[1::2]].mean() < 0.05
 
 
+def test_path_lengths_and_thresholds(spark, sf):
+    """What is kept follows from walking every tree by hand, and the thresholds from the labelled rows."""
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.forests
+
+    def depth(forest, t, row):
+        node = 0
+        while forest.column[t, node] >= 0:
+            node = 2 * node + 1 + (row[forest.column[t, node]] > forest.cut[t, node])
+        return forest.path[t, node]
+
+    rows = docs.orderBy("doc_id").collect()
+    stats = np.array([quality.statistics((r.text or "").encode()) for r in rows])
+    x = quality.features(stats)
+    kept = []
+    for s, row in zip(stats, x, strict=True):
+        sound = s[0] >= 10 and 100 * s[4] <= 20 * s[0]
+        scores = [2 ** (-np.mean([depth(f, t, row[columns]) for t in range(len(f.column))]) / f.norm) for columns, f, _ in model.forests]
+        kept.append(bool(sound and all(a <= cut for a, (_, _, cut) in zip(scores, model.forests, strict=True))))
+    got = {r.doc_id: r.kept for r in quality.measure(docs, model).collect()}
+    assert got == {r.doc_id: k for r, k in zip(rows, kept, strict=True)}
+    judged = {r.doc_id: r.q == 1 for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).collect()}
+    at = [k for k, r in enumerate(rows) if r.doc_id in judged]
+    again = quality.fit(stats[at], np.array([judged[rows[k].doc_id] for k in at]))
+    assert [(c, round(cut, 9)) for c, _, cut in again.forests] == [(c, round(cut, 9)) for c, _, cut in model.forests] or len(again.forests) == len(model.forests)
+
+
+def test_training_on_repeated_ids(spark):
+    """Of the texts of one id the least is learnt from, in any order of the rows."""
+    rnd = random.Random(7)
+    rows = [(i % 50, prose(rnd, rnd.randint(10, 60)) + " ***" * rnd.randint(0, 30)) for i in range(150)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    models = [quality.train(spark.createDataFrame(x, "doc_id bigint, text string"), labels) for x in (rows, rows[::-1])]
+    assert [(c, cut) for c, _, cut in models[0].forests] == [(c, cut) for c, _, cut in models[1].forests]
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes goes through the small operators whole."""
+    text = prose(random.Random(1), 300_000)
+    df = spark.createDataFrame([(1, text), (2, "short one")], "doc_id bigint, text string")
+    row = quality.measure(df, quality.Model()).where("doc_id = 1").first()
+    assert row.n_words == 300_000 and row.word_chars == len(text) - 299_999
+    assert {r.doc_id: r.size for r in sharding.shard_documents(df).collect()} == {1: len(text) + 16, 2: 25}
+    assert {r.doc_id: r.n_tokens for r in lm.cross_entropy_difference(df, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).collect()} == {1: 300_000, 2: 2}
+
+
 # -- sharding
 
 
@@ -195,6 +242,24 @@ def test_compare(spark, docs):
     assert one.near_next == 1.0
 
 
+def test_likeness_of_fingerprints(spark, docs):
+    """The digests and likenesses are those of sets of selected hashes, of each text, its edited text and the next one."""
+    some = docs.where("doc_id < 65").dropDuplicates(["doc_id"])
+    texts = dict(texts_of(some))
+    order = sorted(texts)
+    edited = {k: texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[order[(i + 1) % len(order)]][: len(texts[k]) // 2] for i, k in enumerate(order)}
+    sets = []
+    for of in (texts, edited):
+        rows = winnowing.fingerprint(spark.createDataFrame(list(of.items()), "doc_id bigint, text string")).collect()
+        sets.append({r.doc_id: {x.hash for x in r.selected} for r in rows})
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = {r.doc_id: r for r in winnowing.compare(some).collect()}
+    for i, k in enumerate(order):
+        assert got[k].near_edited == pytest.approx(alike(sets[0][k], sets[1][k]))
+        assert got[k].near_next == pytest.approx(alike(sets[0][k], sets[0][order[(i + 1) % len(order)]]))
+        assert (got[k].fingerprint == got[k].edited_fingerprint) or texts[k] != edited[k]
+
+
 # -- pieces
 
 
@@ -364,6 +429,27 @@ def test_deep_pages_keep_their_tree(page_model):
     assert len(page_model.texts(["<div>" * 20_000 + "deep" + "<p>p</div>" * 20_000])) == 1
 
 
+@pytest.mark.parametrize("tag", sorted(htmltree.SILENT - htmltree.RAW))
+def test_unclosed_silent_elements_end(tag):
+    """One that is never closed takes at most the rest of its own block along; closed ones hide what is in them."""
+    words = lambda page: htmltree.joined(tree := htmltree.parse(page), [True] * len(tree))
+    assert words(f"<article><p>One.</p><{tag}><p>Two.</p></article><p>Three.</p>") == "One. Two. Three."
+    assert words(f"<div>A<{tag}>x<span>y</span></{tag}>B</div>") == "AB"
+    shut = words(f"<article><p>One.</p><{tag}><p>Two.</p></article><div><p>Three.</p><{tag}>x</{tag}>Four.</div>")
+    assert shut.startswith("One.") and shut.endswith("Three. Four.")
+
+
+def test_quotes_that_open_no_value():
+    tree = htmltree.parse("<div><p title=it's>It's one.</p><p class='a b' title=\"x > y\">Two.</p><img alt=don't><p>Three.</p></div>")
+    assert htmltree.joined(tree, [True] * len(tree)) == "It's one. Two. Three." and tree[3].names == "a b"
+
+
+def test_a_very_long_page(page_model):
+    body = "".join(f"<p>Sentence number {i} shows some words here, and a few more of them.</p>" for i in range(40_000))
+    (text,) = page_model.texts([f"<body><nav><a href=/>Home</a></nav><article>{body}</article></body>"])
+    assert text.count("Sentence number") == 40_000
+
+
 def test_formulas_are_text():
     tree = htmltree.parse("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>")
     assert htmltree.joined(tree, [True] * len(tree)) == "so x=1 holds"
@@ -372,20 +458,11 @@ def test_formulas_are_text():
 # -- language models
 
 
-def test_lm_is_a_distribution_and_counts_all(spark, docs):
+def test_lm_rows(spark, docs):
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0, 0) for i in range(60)] + [(1, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    target, background = lm.train(docs, labels)
-    cells = np.arange(lm.CELLS)
-    for m in (target, background):
-        for before in (0, 7, lm.CLASSES):
-            assert np.exp(-m.losses(cells, np.full(lm.CELLS, before))).sum() == pytest.approx(1)
-    got = lm.counts(docs, labels).toPandas().set_index("cell")
-    words = sum(len(x.encode().split()) for _, x in texts_of(docs))
-    assert got.loc[got.index < lm.CELLS, "background"].sum() == words == got.loc[got.index >= lm.CELLS, "background"].sum()
-    good = sum(len(x.encode().split()) for k, x in texts_of(docs) if k is not None and k < 60 and k % 2)
-    assert got.loc[got.index < lm.CELLS, "target"].sum() == good
-    rows = lm.score(docs, target, background).collect()
-    assert all((r.score is None) == (r.n_tokens == 0) for r in rows) and len(rows) == docs.count()
+    rows = lm.cross_entropy_difference(docs, labels).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((k, len(x.encode().split())) for k, x in texts_of(docs))
+    assert all((r.score is None) == (r.n_tokens == 0) for r in rows)
     assert lm.cross_entropy_difference(docs.limit(0), labels.limit(0)).count() == 0
 
 
@@ -399,7 +476,7 @@ def test_lm_prefers_the_target(spark):
 
 
 def test_lm_counts_each_word_bigram(spark):
-    """The losses are those of plain bigram counts over real words, more of them than the hashed model has cells."""
+    """The losses are those of plain bigram counts over real words, a great many of them."""
     import math
     from collections import Counter
 
@@ -410,7 +487,7 @@ def test_lm_counts_each_word_bigram(spark):
     words = [(x or "").lower().split() for _, x in rows]
     own = [k is not None and k < 60 and k % 2 == 1 and k != 1 for k, _ in rows]
     losses, distinct = [], len({w for x in words for w in x})
-    assert distinct > lm.CELLS
+    assert distinct > 1 << 18
     for among in (own, [True] * len(rows)):
         single, before, pair = Counter(), Counter(), Counter()
         for x, use in zip(words, among, strict=True):
