@@ -1,13 +1,26 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated substrings, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated substrings, packing.
 
-from __future__ import annotations
+Each stage works on all rows that the one before kept; all but the last return the columns of documents, whatever they are
+called, and only ``text`` and ``n_chars`` are ever changed.
+
+Defined cases, stage by stage:
 
-import uuid
+* null, empty and blank texts have fewer than ten words, so quality rules drop them; later stages, given them, keep one of
+  them as the group of texts without words, leave them as they are, and pack the closing id alone;
+* a null id is no label's; its row stays where its group of near-duplicates has no row with an id; it sorts first among repeats;
+* rows that repeat an id and a text: one stays in near-duplicates; rows of one id with different texts are near-duplicates or
+  not by their texts, and one row of each id that names a group stays;
+* of ties (equal texts, equal fingerprints) the least id stays;
+* very long texts are worked on whole;
+* columns of any other name pass through untouched; an empty table gives empty stages and no sequences.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from adspectra.llm import packing, quality, simhash, substrings
-from adspectra.llm.common import shared_folder, table
+from adspectra.llm.common import dropped, stored, table
 from adspectra.llm.queries import vocabulary
 
 
@@ -47,10 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages in turn, each written below the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    """Applies the stages in turn, each written below the shared folder and read again; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        dropped(*before)
+        before = [docs]
     return docs
