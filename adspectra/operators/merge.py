@@ -6,9 +6,11 @@ replacing whole days, so a repeated write leaves the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adspectra.functions.vectors import from_text
+
 
 def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: an aggregation with map-side combining."""
@@ -80,6 +82,24 @@ def page_documents(pages: DataFrame, keywords: DataFrame, topics: DataFrame, ent
     return rows.select("page_id", F.to_json(F.struct("keywords", "topics", "entities")).alias("document"))
 
 
+PAGE_DOCUMENT = "keywords map<string,double>, topics map<string,double>, entities array<struct<text:string,type:string>>"
+
+
+def read_documents(documents: DataFrame) -> DataFrame:
+    """The documents of ``page_documents`` as columns; all null where the text can't be read."""
+    return documents.withColumn("d", F.from_json("document", PAGE_DOCUMENT)).select("page_id", "d.*")
+
+
+def vector_documents(ads: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(ad_id, embedding) of the given ads, out of vectors stored as text; ads without a vector are left out."""
+    return vectors.join(ads.select("ad_id").distinct(), "ad_id", "left_semi").select("ad_id", from_text(F.col("embedding")).alias("embedding")).where("embedding is not null")
+
+
+def listed(table: DataFrame, column: str, value: object, *order: Column | str) -> DataFrame:
+    """The rows of one id or parent, in order."""
+    return table.where(F.col(column) == F.lit(value)).orderBy(*order)
+
+
 def cache_keys(keys: Column, prefix: str) -> Column:
     """The id in keys of the form prefix:id with exactly two parts; null for others."""
     parts = F.split(keys, ":")
@@ -89,3 +109,17 @@ def cache_keys(keys: Column, prefix: str) -> Column:
 def written_by_day(facts: DataFrame, path: str, time: str = "event_time") -> None:
     dated = facts.withColumn("event_date", F.to_date(time))
     dated.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+
+
+def written_together(tables: dict[str, DataFrame], path: str, version: int) -> None:
+    """Writes the tables as one version; it counts only once all are written, and a repeated one replaces itself."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/tables/{name}/{version}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/committed/at={version}")
+
+
+def read_together(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
+    """The tables of the last version that was written whole."""
+    version = spark.read.parquet(f"{path}/committed").agg(F.max("version")).first()[0]
+    return [spark.read.parquet(f"{path}/tables/{name}/{version}") for name in names]

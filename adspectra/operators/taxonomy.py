@@ -53,6 +53,12 @@ def with_paths(flat: DataFrame) -> DataFrame:
     return out
 
 
+def with_tiers(topics: DataFrame, flat: DataFrame) -> DataFrame:
+    """Topics (topic_id, relevance_score and other columns) with their tier in the taxonomy; others are left out."""
+    tiers = flat.select(F.col("id").alias("topic_id"), "tier")
+    return topics.join(tiers, "topic_id").select(*(c for c in topics.columns if c != "relevance_score"), "tier", "relevance_score")
+
+
 def merged_mapping(product_to_content: DataFrame, content_to_product: DataFrame) -> DataFrame:
     """(product_id, content_id) pairs of both directions, once each; ids stay text."""
     return product_to_content.select("product_id", "content_id").unionByName(content_to_product.select("product_id", "content_id")).distinct()
@@ -85,6 +91,11 @@ def walk(scored: DataFrame, key: str, threshold: float, top_k: int = 2, paths: i
     return leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths)
 
 
+def tier_scores(chunk_scores: DataFrame, key: str, mean: bool = True) -> DataFrame:
+    """The scores (key, chunk, id, parent_id, tier, score) of a text's chunks as scores of the text: their mean, or their maximum."""
+    return chunk_scores.groupBy(key, "id", "parent_id", "tier").agg((F.avg if mean else F.max)("score").alias("score"))
+
+
 def first_wins(topics: DataFrame, key: str) -> DataFrame:
     """One entry per topic id of each key: the first by position."""
     return topics.groupBy(key, "topic_id").agg(F.min_by(F.struct("tier", "relevance_score"), "pos").alias("t")).select(key, "topic_id", "t.*")

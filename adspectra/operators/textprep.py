@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,21 @@ from adspectra.functions.vectors import cosine
 
 LEAST_CHUNK_WORDS, TOKENS_PER_WORD, MOST_TOKENS = 20, 0.75, 256
 ENTITY_LEAST_CHARS = 3
+
+
+@dataclass(frozen=True)
+class Features:
+    """What is taken from a text: how many keywords, which taxonomy from which score on, and whether it is cut into chunks."""
+
+    keywords: int
+    taxonomy: str
+    threshold: float
+    chunked: bool
+
+
+#: Fixed values.
+AD_FEATURES = Features(20, "product", 0.1, False)
+PAGE_FEATURES = Features(30, "content", 0.3, True)
 #: English function words that are no keywords.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "which", "who", "will", "with", "you", "your")
 

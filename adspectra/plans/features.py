@@ -136,17 +136,19 @@ def taxonomy_flatten(t: Tables) -> DataFrame:
     return taxonomy.with_paths(tree(t)).withColumn("path", F.array_join("path", "/"))
 
 
-SCORE = "((CAST(substr(id, 2) AS BIGINT) * 37 + k * 101 + tier * 13) % 97 + 3) / 100.0::DOUBLE"
-
-
-@query(
-    f"""WITH tree AS ({TREE}), s AS (SELECT k, id, parent_id, tier, {SCORE} AS score FROM tree, range(20) r(k)),
-    a AS (SELECT k, id AS leaf, score AS cum FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS r FROM s WHERE tier = 1) WHERE r <= 2 AND score >= 0.3),
+#: The walk over scores ``s``: two roots and two children of at least 0.3, the five best leaves.
+WALK = """a AS (SELECT k, id AS leaf, score AS cum FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS r FROM s WHERE tier = 1) WHERE r <= 2 AND score >= 0.3),
     c2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, parent_id ORDER BY score DESC, id) AS r FROM s WHERE tier = 2) WHERE r <= 2 AND score >= 0.3),
     c3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, parent_id ORDER BY score DESC, id) AS r FROM s WHERE tier = 3) WHERE r <= 2 AND score >= 0.3),
     b AS (SELECT a.k, coalesce(c2.id, a.leaf) AS leaf, a.cum * coalesce(c2.score, 1) AS cum FROM a LEFT JOIN c2 ON c2.k = a.k AND c2.parent_id = a.leaf),
     d AS (SELECT b.k, coalesce(c3.id, b.leaf) AS leaf, b.cum * coalesce(c3.score, 1) AS cum FROM b LEFT JOIN c3 ON c3.k = b.k AND c3.parent_id = b.leaf)
     SELECT k, leaf AS leaf_id, round(max(cum), 6) AS score, row_number() OVER (PARTITION BY k ORDER BY max(cum) DESC, leaf) AS rank FROM d GROUP BY 1, 2 QUALIFY rank <= 5"""
+SCORE = "((CAST(substr(id, 2) AS BIGINT) * 37 + k * 101 + tier * 13) % 97 + 3) / 100.0::DOUBLE"
+
+
+@query(
+    f"""WITH tree AS ({TREE}), s AS (SELECT k, id, parent_id, tier, {SCORE} AS score FROM tree, range(20) r(k)),
+    {WALK}"""
 )
 def taxonomy_walk(t: Tables) -> DataFrame:
     texts = t.spark.range(20).withColumnRenamed("id", "k")

@@ -20,10 +20,14 @@ STATUSES = ("ACTIVE", "PAUSED", "ARCHIVED", "COMPLETED", "PENDING_ANALYSIS")
 PRICING_MODELS = ("CPM", "CPC")
 DEVICES = ("desktop", "mobile", "tablet")
 CREATIVE_TYPES = ("banner", "native", "video")
+ENTITY_TYPES = ("BRAND", "PRODUCT", "ORGANIZATION", "PERSON")
+#: What a bulk request needs, in the order of its messages. Fixed values.
+REQUIRED = ("campaign.name", "campaign.start_date", "creative.headline", "creative.landing_page_url")
+NOT_EMPTY = ("targeting.keywords", "targeting.topics", "targeting.entities", "targeting.countries", "targeting.devices")
 LEAST_BUDGET_CENTS, MOST_NAME = 1, 255
 
 
-def problems(*rules: tuple[Column, str]) -> Column:
+def problems(*rules: tuple[Column, str | Column]) -> Column:
     """The messages of the rules that a row breaks; a rule is broken where its condition isn't true."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for ok, message in rules]))
 
@@ -62,3 +66,16 @@ def normalized_campaigns(requests: DataFrame) -> DataFrame:
             **{f"{c}_cents": to_cents(F.col(c)) for c in ("budget", "bid_amount", "daily_budget")},
         }
     ).drop("budget", "bid_amount", "daily_budget")
+
+
+def request_problems(position: Column) -> Column:
+    """The messages of a bulk request (advertiser_id; campaign, creative, targeting and ad_set as structs), counted from 1."""
+    unknown = lambda what, value: F.concat(F.lit(f"invalid {what} '"), F.coalesce(value, F.lit("None")), F.lit("'"))
+    known = lambda what, path, allowed: (F.col(path).isin(*allowed), unknown(what, F.col(path)))
+    given = [(F.length(F.col(c).cast("string")) > 0, f"missing {c}") for c in REQUIRED]
+    listed = [(F.size(c) > 0, f"empty {c}") for c in NOT_EMPTY]
+    strange = F.filter("targeting.entities", lambda e: ~F.coalesce(e["type"].isin(*ENTITY_TYPES), F.lit(False)))
+    entities = F.coalesce(F.transform(strange, lambda e: unknown("entity type", e["type"])), F.array().cast("array<string>"))
+    first = problems((F.col("advertiser_id") != 0, "missing advertiser_id"), *given, *listed)
+    last = problems(known("pricing_model", "ad_set.pricing_model", PRICING_MODELS), known("creative_type", "creative.creative_type", CREATIVE_TYPES))
+    return F.transform(F.concat(first, entities, last), lambda m: F.concat(F.lit("Request "), position.cast("string"), F.lit(": "), m))

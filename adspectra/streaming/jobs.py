@@ -102,6 +102,26 @@ def pacing_job(messages: DataFrame, path: str, checkpoint: str, once: bool = Fal
     return start(messages, lambda rows, batch: by_day(path)(parse.pacing_events(rows), batch), checkpoint, once)
 
 
+def counter_job(messages: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keeps what each batch adds to the counters; a repeated batch replaces what it added."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        added = counters(parse.ad_events(rows)).withColumn("batch_id", F.lit(batch))
+        added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return start(messages, write, checkpoint, once)
+
+
+def counter_totals(added: DataFrame) -> DataFrame:
+    """The counters of each campaign and day over all batches."""
+    return added.groupBy("campaign_id", "day").agg(*(F.sum(c).alias(c) for c in ("impressions", "clicks", "spend_cents")))
+
+
+def printed(rows: DataFrame, lines: int = 20) -> StreamingQuery:
+    """Shows the changed rows of a stream on the console."""
+    return rows.writeStream.format("console").outputMode("update").option("numRows", lines).option("truncate", False).start()
+
+
 class Pacer(StatefulProcessor):
     """Keeps each campaign's multiplier and integral; every observation is one controller step."""
 

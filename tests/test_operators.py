@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from adspectra import schemas
-from adspectra.functions import timeutil, web
-from adspectra.operators import merge, pacing, parse, similarity, targeting, taxonomy, textprep
+from adspectra.functions import choice, timeutil, web
+from adspectra.operators import geo, merge, pacing, parse, similarity, targeting, taxonomy, textprep, traffic
+from adspectra.plans import rollups
 from adspectra.sources import files
 from adspectra.streaming import jobs
 
@@ -265,3 +266,58 @@ def test_sequence_matches_single_steps(spark):
         x = pacing.step(dict(zip([c.split()[0] for c in names.split(", ")], row, strict=True)) | {"multiplier": m, "integral": i})
         m, i = x["new_multiplier"], x["new_integral"]
         assert r.multiplier == pytest.approx(m) and r.integral == pytest.approx(i)
+
+
+def test_places(spark):
+    """The longest network wins; an override leaves the rest empty; what is no address, or unknown, has no place."""
+    nets = spark.createDataFrame([("10.0.0.0/8", "A", "a", 1.0, 2.0), ("10.1.0.0/16", "B", "b", 3.0, 4.0), ("10.1.2.3/32", "C", "c", 5.0, 6.0), ("0.0.0.0/0", "Z", "z", 7.0, 8.0), ("x/9", "X", "x", 0.0, 0.0)], "network string, country string, city string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "10.200.0.1", None), (2, "10.1.9.9", ""), (3, "10.1.2.3", None), (4, "255.255.255.255", None), (5, "10.1.2.3", "US"), (6, "::1", None), (7, None, None), (8, "1.2.3", "FR"), (9, "10.1.2.256", None)], "id int, address string, header string")
+    got = {r.id: (r.country, r.lat) for r in geo.located(asked, nets, "address", "header").collect()}
+    assert got == {1: ("A", 1.0), 2: ("B", 3.0), 3: ("C", 5.0), 4: ("Z", 7.0), 5: ("US", 0.0), 6: ("", 0.0), 7: ("", 0.0), 8: ("FR", 0.0), 9: ("", 0.0)}
+    assert {r.country for r in geo.located(asked, nets.limit(0), "address").collect()} == {""}
+
+
+def test_traffic(spark):
+    """Draws repeat, follow their weights, and each stage is part of the one before."""
+    mix = traffic.Traffic({"mobile": 0.7, "desktop": 0.3}, {"US": 0.6, "DE": 0.4}, 0.9, 0.1, seed=5)
+    requests = spark.range(20_000).withColumnRenamed("id", "request_id")
+    run = lambda: traffic.followed(traffic.asked(requests, mix), requests.where("request_id % 2 = 0"), mix)
+    r = run().selectExpr("avg(int(device = 'mobile')) m", "avg(int(country = 'US')) u", "sum(int(fill)) f", "sum(int(impression)) i", "sum(int(click)) c", "sum(int(click and not impression or impression and not fill)) bad").first()
+    assert abs(r.m - 0.7) < 0.02 and abs(r.u - 0.6) < 0.02 and r.f == 10_000 and abs(r.i / r.f - 0.9) < 0.02 and abs(r.c / r.i - 0.1) < 0.02 and r.bad == 0
+    assert run().exceptAll(run()).isEmpty()
+    assert traffic.asked(requests.limit(1), traffic.Traffic()).first()[1:] == ("desktop", "")
+    assert requests.limit(50).select(choice.nonce().alias("n")).distinct().count() == 50
+
+
+def test_versions(spark, tmp_path):
+    """A version counts once all its tables are written."""
+    at = str(tmp_path / "v")
+    one, two = spark.range(3), spark.range(5)
+    merge.written_together({"a": one, "b": one}, at, 1)
+    two.write.parquet(f"{at}/tables/a/2")  # the writer was lost before b and the mark
+    assert [df.count() for df in merge.read_together(spark, at, "a", "b")] == [3, 3]
+    for _ in range(2):
+        merge.written_together({"a": two, "b": one}, at, 2)
+    assert [df.count() for df in merge.read_together(spark, at, "a", "b")] == [5, 3]
+
+
+def test_counter_stream(spark, tmp_path):
+    """Counters over batches; a batch that runs again adds nothing."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    line = lambda kind, n: json.dumps({"event_type": kind, "ad_id": 1, "campaign_id": n % 2, "price_cents": n, "timestamp": 1704067200 + n})
+    for k, name in enumerate("ab"):
+        (source / f"{name}.json").write_text("\n".join([line("impression", 2 * k), line("click", 2 * k + 1), line("impression", 2 * k + 1)]))
+        for _ in range(2):
+            jobs.counter_job(files.file_stream(spark, str(source)), out, str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r.campaign_id: (r.impressions, r.clicks, r.spend_cents) for r in jobs.counter_totals(spark.read.parquet(out)).collect()}
+    assert got == {0: (2, 0, 2), 1: (2, 2, 8)}
+
+
+def test_rollup_refresh(spark, tmp_path):
+    """Only the days that a rollup has rows for are replaced."""
+    at, day = str(tmp_path / "r"), dt.timedelta(days=1)
+    rows = lambda *x: spark.createDataFrame([(NOW + k * day, v) for k, v in x], "hour timestamp_ntz, impressions int")
+    rollups.refresh(rows((0, 1), (1, 2)), at)
+    rollups.refresh(rows((1, 9)), at)
+    assert sorted(r.impressions for r in spark.read.parquet(at).collect()) == [1, 9]
