@@ -43,14 +43,21 @@ def children(flat: DataFrame, parent: str | None = None, tier: int | None = None
 
 
 def with_paths(flat: DataFrame) -> DataFrame:
-    """Adds ``path`` (names from the root) by one join per tier, until a tier has no node."""
-    level = flat.where("parent_id is null or parent_id = id").withColumn("path", F.array("name"))
-    out = level
-    while not level.isEmpty():
-        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("up"))
-        level = flat.where("parent_id <> id").join(up, "parent_id").select("id", "parent_id", "name", "tier", F.concat("up", F.array("name")).alias("path"))
-        out = out.unionByName(level)
-    return out
+    """Adds ``path`` (names from the root); nodes that no root reaches are left out.
+
+    Every node knows the names up to some ancestor; each round joins it with what that ancestor knows, so a tree of
+    any depth d takes log2(d) rounds. Each round is kept, so that it is worked out once. Nodes on a cycle never get to
+    a root: after as many rounds as the number of nodes has bits, what still looks for an ancestor is one of them.
+    """
+    root = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("id"))
+    reach = flat.withColumns({"path": F.array("name"), "up": F.when(~root, F.col("parent_id"))}).persist()
+    for _ in range(flat.count().bit_length()):
+        if reach.where("up is not null").isEmpty():
+            break
+        known = reach.select(F.col("id").alias("up"), F.col("path").alias("head"), F.col("up").alias("next"))
+        further = reach.where("up is not null").join(known, "up").withColumns({"path": F.concat("head", "path"), "up": F.col("next")})
+        reach = reach.where("up is null").unionByName(further.select(reach.columns)).persist()
+    return reach.where("up is null").drop("up")
 
 
 def with_tiers(topics: DataFrame, flat: DataFrame) -> DataFrame:

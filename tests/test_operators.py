@@ -151,6 +151,14 @@ def test_twelve_tiers(spark):
     assert [r.id for r in got] == [str(k) for k in range(1, 13)] and got[-1].path == [f"n{k}" for k in range(1, 13)]
 
 
+def test_paths_without_root(spark):
+    """Nodes on a cycle, below one, or below a missing node have no path; a node that is its own parent is a root."""
+    rows = [("1", None, "a", 1), ("2", "1", "b", 2), ("s", "s", "s", 1), ("x", "y", "x", 2), ("y", "z", "y", 2), ("z", "x", "z", 2), ("c", "x", "c", 3), ("o", "gone", "o", 3), ("p", "o", "p", 4)]
+    got = taxonomy.with_paths(spark.createDataFrame(rows, taxonomy.FLAT))
+    assert got.columns == ["id", "parent_id", "name", "tier", "path"]
+    assert sorted((r.id, r.path) for r in got.collect()) == [("1", ["a"]), ("2", ["a", "b"]), ("s", ["s"])]
+
+
 def brute_chunks(units, least, most):
     """Short units take the next one in; then sentences are filled up to ``most`` tokens."""
     words = lambda s: len(s.split())
