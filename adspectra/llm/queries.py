@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: each applies one operator to its whole table."""
+"""The queries op1_ to op13_: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lm, packing, pieces, quality, sharding, simhash, substrings, warc, winnowing
+from . import extraction, infill, lm, packing, pieces, quality, sharding, simhash, substrings, warc, winnowing
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -69,7 +69,14 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arranges every text and restores it from the arrangement."""
+    back = infill.restore(infill.arrange(table(spark, sf_dir, "documents")))
+    lengths = [F.char_length(x).cast("long").alias(f"{x}_chars") for x in ("prefix", "middle")]
+    return back.select("doc_id", "n", "form", *lengths, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference, op13_fill_in_middle)}
 #: Base 32 of a SHA-1 from its hexadecimal digits: 32 groups of five bits, each out of two digits.
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
@@ -78,4 +85,13 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((strpos('0123456789abcdef', substr(s, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(s, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
 CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g
 """
-ORACLES: dict[str, str] = {"op9_warc_round_trip": OP9_SQL}
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a+1:b], ''), '') AS mid, coalesce(array_to_string(u[b+1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+ORACLES: dict[str, str] = {"op9_warc_round_trip": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
