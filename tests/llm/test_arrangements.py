@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from adspectra.llm import infill
+from adspectra.llm import alignment, infill
+from adspectra.llm.queries import vocabulary
 
 DOCS = "doc_id bigint, text string, lang string"
 
@@ -68,3 +70,88 @@ def test_arrangements_equal_their_sql(spark, sf):
     from adspectra.llm.queries import ORACLES, op13_fill_in_middle
 
     assert_same(op13_fill_in_middle(spark, sf), ORACLES["op13_fill_in_middle"], sf)
+
+
+# -- aligned tokenizers
+
+
+def brute_tokens(texts):
+    """Tokens of both libraries, whole texts at a time, as (id, bytes)."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+    for text in texts:
+        if not text:
+            yield [], []
+            continue
+        of_a = [(i, bytes(of[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+        of_b = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+        whole = (" " + text).encode()
+        yield (of_a, of_b) if b"".join(x for _, x in of_a) == b"".join(x for _, x in of_b) == whole else ([], [])
+
+
+def brute_alignment(rows):
+    found, counts = [], Counter()
+    for (doc_id, _), (a, b) in zip(rows, brute_tokens([t for _, t in rows]), strict=True):
+        spans = []
+        for tokens in (a, b):
+            at, own = 0, []
+            for i, x in tokens:
+                own.append((i, at, at := at + len(x)))
+            spans.append(own)
+        ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        at, text, pairs, i, j = 0, [], [], 0, 0
+        for end in ends:
+            own = [[], []]
+            while i < len(spans[0]) and spans[0][i][2] <= end:
+                own[0].append(spans[0][i])
+                i += 1
+            while j < len(spans[1]) and spans[1][j][2] <= end:
+                own[1].append(spans[1][j])
+                j += 1
+            text.append("|".join(",".join(str(x[0]) for x in side) for side in own))
+            k = 0
+            for x in own[0]:
+                while own[1][k][2] <= x[1]:
+                    k += 1
+                m = k
+                while m < len(own[1]) and own[1][m][1] < x[2]:
+                    pairs.append((x[0], own[1][m][0]))
+                    m += 1
+        counts.update(pairs)
+        found.append((doc_id, len(a), len(b), len(ends), pairs, hashlib.sha256(";".join(text).encode()).hexdigest() if a else ""))
+    best = defaultdict(int)
+    for (_, b), n in counts.items():
+        best[b] = max(best[b], n)
+    return [(doc_id, a, b, g, len(pairs), sum(counts[p] == best[p[1]] for p in pairs), sum(counts[p] for p in pairs), text) for doc_id, a, b, g, pairs, text in found]
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_aligned_tokens(spark, docs):
+    rnd = random.Random(8)
+    pieces = ["the", " ", "  ", "\n", " \n ", "\r\n", "\t", "'s", "'", "don't", "Ünï", "中文字", "👨\u200d👩", "12", "3.14", "<s>", "</s>", "<unk>", "<0x0A>", "\x1c", "\u00a0", "\u3000", "\u2028", "²", "e\u0301", "\ufeff", "zzz", "_", "-", ",", "%%%"]
+    odd = [(100 + i, "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25))), None) for i in range(300)]
+    given = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, DOCS)).withColumn("links", F.lit(0)).withColumn("chunk", F.lit(0))
+    rows = [(r.doc_id, r.text) for r in given.collect()]
+    got = alignment.align(given, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    assert set(got.columns) == set(ALIGNED)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted((tuple(r) for r in got.select(*ALIGNED).collect()), key=key) == sorted(brute_alignment(rows), key=key)
+    assert alignment.align(given.limit(0), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_groups_of_made_up_tokens(spark):
+    """Ends that never meet but at the last byte make one group, whose links take no more steps than it has tokens."""
+    n = 40_000
+    tokens = spark.createDataFrame([(1, list(range(n + 1)), [*range(1, 2 * n, 2), 2 * n], list(range(n)), list(range(2, 2 * n + 1, 2))), (2, [7, 8], [1, 3], [5, 6], [1, 3]), (3, [], [], [], [])], "doc_id int, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    rows = {r.doc_id: r for r in alignment.links(alignment.group_text(alignment.groups(alignment.aligned(tokens))), 1 << 16).collect()}
+    assert [rows[i].n_groups for i in (1, 2, 3)] == [1, 2, 0] and len(rows[1].links) == 2 * n
+    assert rows[1].links[:3] == [0, 1 << 16, (1 << 16) + 1] and rows[2].links == [(7 << 16) + 5, (8 << 16) + 6]
+    assert [(g.a, g.b) for g in rows[2].groups] == [([7], [5]), ([8], [6])] and rows[2].group_text == "7|5;8|6" and rows[3].groups == []
