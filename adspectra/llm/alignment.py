@@ -29,10 +29,12 @@ arrays in proportion to the text in one task's memory; an empty table gives an e
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,7 @@ class TokenPair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -71,40 +74,53 @@ class TokenPair:
             vocabulary = json.load(f)["model"]["vocab"]
         self.bytes_a = {i: bytes(letters[c] for c in x) for x, i in vocabulary.items()}
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else self.b.id_to_piece(i).replace(SIGN, " ").encode() for i in range(self.b.get_piece_size())]
+        self.bytes_a |= {i: b"" for i in range(self.a.get_vocab_size()) if i not in self.bytes_a}
+        self.alone = self.b.piece_to_id(SIGN)
         self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int32)
         self.sizes_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int32)
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.by_a: dict[str, bytes | None] = {}
+        self.by_b: dict[str, bytes] = {}
         self.cached = 0
 
-    def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of parts by A and by B; None where tokens don't give the part's bytes."""
-        out = {}
-        by_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        by_b = self.b.encode([x[1:] for x in parts], num_threads=1)  # the library adds the space again, but to nothing
-        for part, a, b in zip(parts, by_a, by_b, strict=True):
-            whole, ids, b = part.encode(), a.ids, b if len(part) > 1 else [self.b.piece_to_id(SIGN)]
-            given = b"".join([self.bytes_a.get(i, b"") for i in ids]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-            out[part] = (np.array(ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if given else None
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    @staticmethod
+    def _packed(ids: list[list[int]]) -> list[bytes]:
+        """Each list as little-endian 32-bit integers."""
+        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        stops = (4 * np.cumsum([len(x) for x in ids])).tolist()
+        return [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """The ids of parts by A and by B; None by A where the tokens of either don't give the part's bytes."""
+        a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        b = self.b.encode([x[1:] for x in parts], num_threads=1)  # the library adds the space again, but to nothing
+        b = [x or [self.alone] for x in b]
+        self.by_a.update(zip(parts, self._packed(a), strict=True))
+        self.by_b.update(zip(parts, self._packed(b), strict=True))
+        whole = "".join(parts).encode()
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            for part, *both in zip(parts, a, b, strict=True):
+                if any(b"".join(map(table.__getitem__, ids)) != part.encode() for table, ids in zip((self.bytes_a, self.bytes_b), both, strict=True)):
+                    self.by_a[part] = None
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids by A and by B of each text after a space."""
         if self.cached > CACHE_CHARS:
-            self.cache, self.cached = {}, 0
+            self.by_a, self.by_b, self.cached = {}, {}, 0
         split = [PART.findall(" " + x) if x and SIGN not in x else [] for x in texts]
-        new = {p for parts in split for p in parts if p not in self.cache}
-        self.cache.update(self._learn(list(new)) if new else {})
-        get, out = self.cache.__getitem__, []
+        new = list(set(chain.from_iterable(split)).difference(self.by_a))
+        if new:
+            self._learn(new)
+        out = [], []
         for parts in split:
-            ids = list(map(get, parts))
-            whole = None not in ids
-            out.append(tuple(np.frombuffer(b"".join([x[k] for x in ids]) if whole else b"", "<i4") for k in (0, 1)))
+            a = list(map(self.by_a.__getitem__, parts))
+            given = None not in a
+            out[0].append(np.frombuffer(b"".join(a) if given else b"", "<i4"))
+            out[1].append(np.frombuffer(b"".join(map(self.by_b.__getitem__, parts)) if given else b"", "<i4"))
+        self.cached += sum(map(len, new))
         for p in new:
             if len(p) > LONGEST:
-                del self.cache[p]
-            else:
-                self.cached += len(p)
+                del self.by_a[p], self.by_b[p]
         return out
 
 
@@ -122,7 +138,7 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str = "text") ->
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                a, b = zip(*pair.encode(part.column(1).to_pylist()), strict=True)
+                a, b = pair.encode(part.column(1).to_pylist())
                 ends = ([np.cumsum(sizes[x], dtype=np.int32) for x in ids] for ids, sizes in ((a, pair.sizes_a), (b, pair.sizes_b)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(a), lists(next(ends)), lists(b), lists(next(ends))], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
 

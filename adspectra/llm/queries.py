@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, extraction, infill, lm, packing, pieces, quality, sharding, simhash, substrings, warc, winnowing
+from . import alignment, extraction, infill, langid, lm, packing, pieces, quality, sharding, simhash, substrings, warc, winnowing
 from .common import table
 
 #: Where the vocabulary files are; None: the installed ``public_tokenizers``.
@@ -74,6 +74,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_output_code_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs, langid.train(docs.where(F.col("doc_id").isNotNull() & ~fold)))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arranges every text and restores it from the arrangement."""
     back = infill.restore(infill.arrange(table(spark, sf_dir, "documents")))
@@ -81,7 +88,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n", "form", *lengths, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference, op11_token_alignment, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_isolation_forest_quality, op2_hash_tree_sharding, op3_simhash_near_dedup, op4_winnowing_fingerprints, op5_viterbi_pieces, op6_suffix_array_dedup, op7_best_fit_packing, op8_dom_model_extraction, op9_warc_round_trip, op10_cross_entropy_difference, op11_token_alignment, op12_output_code_language_id, op13_fill_in_middle)}
 #: Base 32 of a SHA-1 from its hexadecimal digits: 32 groups of five bits, each out of two digits.
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),

@@ -7,10 +7,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adspectra.llm import alignment, infill
+from adspectra.llm import alignment, infill, langid
 from adspectra.llm.queries import vocabulary
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -155,3 +156,72 @@ def test_groups_of_made_up_tokens(spark):
     assert [rows[i].n_groups for i in (1, 2, 3)] == [1, 2, 0] and len(rows[1].links) == 2 * n
     assert rows[1].links[:3] == [0, 1 << 16, (1 << 16) + 1] and rows[2].links == [(7 << 16) + 5, (8 << 16) + 6]
     assert [(g.a, g.b) for g in rows[2].groups] == [([7], [5]), ([8], [6])] and rows[2].group_text == "7|5;8|6" and rows[3].groups == []
+
+
+# -- language identification
+
+
+def test_codewords_keep_apart():
+    for n in (2, 3, 4, 7, 8, 30):
+        words = langid.codewords(n).astype(int)
+        apart = (words.shape[1] - words @ words.T) // 2
+        assert len(words) == n and (np.abs(words.sum(axis=0)) < n).all()
+        assert apart[~np.eye(n, dtype=bool)].min() >= (2 ** (n - 2) if n <= langid.EXHAUSTIVE else words.shape[1] // 5)
+
+
+def invented(n_languages, each, seed=0):
+    """Texts of invented languages that share letters but not their frequent syllables."""
+    rnd = random.Random(seed)
+    syllables = [[rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") + rnd.choice(("", "n", "r", "s")) for _ in range(14)] for _ in range(n_languages)]
+    draw = random.Random(seed + 1)
+    return [(k * each + i, " ".join("".join(draw.choice(syllables[k]) for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(8, 60))), f"l{k}") for k in range(n_languages) for i in range(each)]
+
+
+@pytest.mark.parametrize("n_languages", [2, 4, 12])
+def test_languages_of_held_out_texts(spark, n_languages):
+    rows = spark.createDataFrame(invented(n_languages, 60), DOCS)
+    fold = langid.held_out(F.col("doc_id"))
+    found = langid.identify(rows, langid.train(rows.where(~fold))).join(rows.where(fold).select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) > 8 and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_wrong_bits_are_corrected():
+    """With the margins of two of seven bits turned round, the nearest codeword is still the language's."""
+    words = langid.codewords(5)
+    model = langid.Model(list("abcde"), words, np.zeros((1, words.shape[1])), np.zeros(words.shape[1]), np.ones(words.shape[1]))
+    margins = 2.0 * words
+    margins[:, [1, 5]] *= -1
+    assert model.losses(margins).argmin(axis=1).tolist() == list(range(5))
+
+
+def test_language_cases(spark, docs):
+    learn = spark.createDataFrame(invented(3, 40), DOCS)
+    model = langid.train(learn)
+    rows = langid.identify(docs, model).collect()
+    assert len(rows) == docs.count()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    und = {i for i, t in texts if not t or not re.search(r"[^\W\d_]", t)}
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == und and all(r.score == 0 and r.ambiguous for r in rows if r.lang_pred == "und")
+    assert {r.lang_pred for r in rows} <= {"und", "l0", "l1", "l2"}
+    assert len({(r.lang_pred, r.score) for r in rows if r.doc_id == 82}) <= 2
+    assert {r.lang_pred for r in langid.identify(docs, langid.train(learn.limit(0))).collect()} == {"und"}
+    one = langid.identify(docs, langid.train(learn.where("lang = 'l1'"))).where("lang_pred <> 'und'").collect()
+    assert one and all(r.lang_pred == "l1" and r.score == 1 and not r.ambiguous for r in one)
+    assert langid.identify(docs.limit(0), model).count() == 0
+    assert docs.select(langid.held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0
+
+
+def test_sample_of_labelled_rows_is_bounded(spark):
+    rows = spark.createDataFrame(invented(3, 50) + [(900 + i, "again and again", "l0") for i in range(200)] + [(1200, "none", None), (1201, "123", "l1"), (1202, None, "l1")], DOCS)
+    got = langid.labelled(rows, each=20, sample=50).collect()
+    assert len(got) == 50 and max(Counter(r.lang for r in got).values()) <= 20 and {r.lang for r in got} == {"l0", "l1", "l2"}
+    assert sorted(map(tuple, langid.labelled(rows.repartition(5), each=20, sample=50).collect())) == sorted(map(tuple, got))
+
+
+def test_languages_of_the_given_documents(spark, sf):
+    from adspectra.llm.queries import op12_output_code_language_id
+
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    found = op12_output_code_language_id(spark, sf).join(given, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert found and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
