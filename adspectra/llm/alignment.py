@@ -163,6 +163,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
         """An entry of B right after one of A of the same end."""
         return (x.bitwiseAND(F.lit(SIDE)) != 0) & (F.shiftright(x, BITS + 1) == F.get("a_ends", k - x.bitwiseAND(F.lit(PLACE)).cast("int") - 1))
 
+    # Such an entry at place k, B's token j, closes its group after k - j tokens of A and j + 1 of B.
     cuts = F.filter(F.transform("ends", lambda x, k: F.when(closes(x, k), F.shiftleft(k.cast("long") - x.bitwiseAND(F.lit(PLACE)), BITS) + x.bitwiseAND(F.lit(PLACE)) + 1)), lambda c: c.isNotNull())
     return _made(both, cuts=cuts)
 
@@ -186,19 +187,22 @@ def groups(pairs: DataFrame) -> DataFrame:
         (a0, b0), (a1, b1) = _sides(_before(k)), _sides(cut)
         return F.struct(F.slice("a_ids", a0 + 1, a1 - a0).alias("a"), F.slice("b_ids", b0 + 1, b1 - b0).alias("b"))
 
-    return _made(pairs, groups=F.transform("cuts", group))
+    return pairs.withColumn("groups", F.transform("cuts", group))
 
 
 def group_text(pairs: DataFrame) -> DataFrame:
     """Adds ``group_text``: ids joined by commas, the sides by a bar, groups by semicolons."""
-    named = _made(pairs, a_names=F.col("a_ids").cast("array<string>"), b_names=F.col("b_ids").cast("array<string>"))
+
+    def joined(ids: str, start: Column, stop: Column) -> Column:
+        return F.array_join(F.slice(ids, start + 1, stop - start).cast("array<string>"), ",")
 
     def text(cut: Column, k: Column) -> Column:
         (a0, b0), (a1, b1) = _sides(_before(k)), _sides(cut)
-        several = F.concat(F.array_join(F.slice("a_names", a0 + 1, a1 - a0), ","), F.lit("|"), F.array_join(F.slice("b_names", b0 + 1, b1 - b0), ","))
-        return F.when(cut - _before(k) == ONE_EACH, F.concat(F.get("a_names", a1 - 1), F.lit("|"), F.get("b_names", b1 - 1))).otherwise(several)
+        several = F.concat(joined("a_ids", a0, a1), F.lit("|"), joined("b_ids", b0, b1))
+        one_each = F.concat(F.get("a_ids", a1 - 1).cast("string"), F.lit("|"), F.get("b_ids", b1 - 1).cast("string"))
+        return F.when(cut - _before(k) == ONE_EACH, one_each).otherwise(several)
 
-    return _made(named, group_text=F.array_join(F.transform("cuts", text), ";")).drop("a_names", "b_names")
+    return pairs.withColumn("group_text", F.array_join(F.transform("cuts", text), ";"))
 
 
 def links(pairs: DataFrame, size_b: int) -> DataFrame:
@@ -216,7 +220,7 @@ def links(pairs: DataFrame, size_b: int) -> DataFrame:
         (a0, b0), (a1, b1) = _sides(_before(k)), _sides(cut)
         return F.when(cut - _before(k) == ONE_EACH, F.array(number(a1 - 1, b1 - 1))).otherwise(F.transform(F.sequence(a0 + b0, a1 + b1 - 2), link))
 
-    return _made(pairs, links=F.flatten(F.transform("cuts", group)))
+    return pairs.withColumn("links", F.flatten(F.transform("cuts", group)))
 
 
 @contextmanager
