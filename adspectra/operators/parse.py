@@ -42,8 +42,11 @@ def _number(name: str) -> Column:
 
 
 def _read(messages: DataFrame) -> DataFrame:
-    """The messages with ``__message``: the object each holds, read once; null where it holds none."""
-    parsed = messages.withColumn("__message", F.try_parse_json("value"))
+    """The messages with ``__message``: the object each holds, read once; null where it holds none.
+
+    The parsed value goes through ``inline``, which no filter is moved below: else each condition on a field would parse the message again.
+    """
+    parsed = messages.select("*", F.inline(F.array(F.struct(F.try_parse_json("value").alias("__message")))))
     return parsed.withColumn("__message", F.when(F.schema_of_variant("__message").startswith("OBJECT"), F.col("__message")))
 
 

@@ -18,6 +18,19 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+def best_of(queries: np.ndarray, items: np.ndarray, sim: np.ndarray, k: int | None) -> pd.DataFrame:
+    """(q, i, similarity) of each row's k best columns (all, without k), in no order; of equal similarities the least item's."""
+    if k is None or k >= sim.shape[1]:
+        row, col = (x.ravel() for x in np.indices(sim.shape))
+    else:
+        row, col = np.nonzero(sim >= np.partition(sim, -k, axis=1)[:, -k][:, None])
+        order = np.lexsort((items[col], -sim[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+    return pd.DataFrame({"q": queries[row], "i": items[col], "similarity": sim[row, col]})
+
+
 def similarities(queries: DataFrame, items: DataFrame, query: str, item: str, k: int | None, least: float | None = None) -> DataFrame:
     """(query, item, similarity) of each query's ``k`` nearest items (all, without k) of at least a similarity.
 
@@ -33,10 +46,7 @@ def similarities(queries: DataFrame, items: DataFrame, query: str, item: str, k:
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "i": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        sim = _unit(left["v"]) @ _unit(right["v"]).T
-        ids = right["i"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-        out = pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), order.shape[1]), "i": ids[order].ravel(), "similarity": np.take_along_axis(sim, order, axis=1).ravel()})
+        out = best_of(left["q"].to_numpy(), right["i"].to_numpy(), _unit(left["v"]) @ _unit(right["v"]).T, k)
         return out if least is None else out[out["similarity"] >= least]
 
     found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(meet, "q bigint, i bigint, similarity double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adspectra.functions import scores
 from adspectra.functions.timeutil import moment
 from adspectra.functions.vectors import cosine
-from adspectra.operators import auction, pacing, similarity, targeting
+from adspectra.operators import auction, bitmaps, pacing, similarity, targeting, vector_index
 from adspectra.registry import query, rounded
 from adspectra.sources.driver import Tables, with_tables
 
@@ -56,6 +56,12 @@ def candidate_match(t: Tables) -> DataFrame:
     return targeting.find_candidates(t.requests, page_keys(t), index(t), active(t))
 
 
+@query(with_tables("SELECT * FROM cand", *TARGETING, *PAGES, *ADS, "requests", **INDEXED, page_keys=PAGE_KEYS_SQL, cand=CANDIDATES_SQL))
+def candidate_match_bitmaps(t: Tables) -> DataFrame:
+    """As ``candidate_match``, on bitmaps."""
+    return bitmaps.candidates(t.requests, page_keys(t), bitmaps.pack(index(t)))
+
+
 @query(with_tables("SELECT dim, key, ad_id FROM idx WHERE ad_id % 3 > 0 UNION ALL SELECT dim, 'new-' || key, ad_id FROM idx WHERE ad_id % 6 = 0", *TARGETING, *ADS, **INDEXED))
 def index_refresh(t: Tables) -> DataFrame:
     """A third of the ads changed; of these half were indexed anew and half are no longer active."""
@@ -65,6 +71,14 @@ def index_refresh(t: Tables) -> DataFrame:
     return targeting.refresh_index(whole, changed, fresh)
 
 
+@query(with_tables("SELECT dim, key, ad_id FROM idx WHERE ad_id % 3 > 0 UNION ALL SELECT dim, 'new-' || key, ad_id FROM idx WHERE ad_id % 6 = 0", *TARGETING, *ADS, **INDEXED))
+def index_refresh_bitmaps(t: Tables) -> DataFrame:
+    """As ``index_refresh``, on bitmaps."""
+    whole = index(t)
+    fresh = whole.where("ad_id % 6 = 0").select("dim", F.concat(F.lit("new-"), "key").alias("key"), "ad_id")
+    return bitmaps.unpack(bitmaps.refresh(bitmaps.pack(whole), active(t).where("ad_id % 3 = 0"), fresh))
+
+
 @query(with_tables("SELECT * FROM active", *ADS, active=ACTIVE_SQL))
 def active_ads_for_index(t: Tables) -> DataFrame:
     return active(t)
@@ -232,6 +246,21 @@ def knn_topk(t: Tables) -> DataFrame:
     return rounded(similarity.knn(t.page_vectors, t.ad_vectors, "page_id", "ad_id", 10))
 
 
+@query(with_tables("SELECT page_id, ad_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, ad_id) AS rank FROM n QUALIFY rank <= 10", "page_vectors", "ad_vectors", n=NEAR_SQL))
+def knn_indexed(t: Tables) -> DataFrame:
+    """As ``knn_topk``, by inverted lists and triangle bounds."""
+    return rounded(vector_index.search(vector_index.build(t.ad_vectors, "ad_id"), t.page_vectors, "page_id", "ad_id", 10))
+
+
+@query()
+def knn_probed_recall(t: Tables) -> DataFrame:
+    """What the quick search finds of the true neighbours of all pages."""
+    index = vector_index.build(t.ad_vectors, "ad_id")
+    probes = vector_index.calibrated_probes(index, t.page_vectors, "page_id", "ad_id", 10)
+    quick, exact = (vector_index.search(index, t.page_vectors, "page_id", "ad_id", 10, probes, x) for x in (False, True))
+    return rounded(vector_index.recall(quick, exact, "page_id", "ad_id"))
+
+
 @query(with_tables("SELECT page_id, ad_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, ad_id) AS rank FROM n WHERE similarity >= 0.3 QUALIFY rank <= 20", "page_vectors", "ad_vectors", n=NEAR_SQL))
 def similar_threshold(t: Tables) -> DataFrame:
     return rounded(similarity.similar(t.page_vectors, t.ad_vectors, "page_id", "ad_id", 0.3, 20))
