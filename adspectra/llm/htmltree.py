@@ -1,8 +1,9 @@
 """HTML to a tree of block elements with their own text; tolerant of unclosed and stray tags.
 
-An element without text of the page (``SILENT``) that is never closed ends with the block around it, at a block that can't
-stand in it, or, if no end tag of its kind follows at all, at once, so it never takes the rest of the page with it.  A quote
-opens an attribute's value only after an equals sign.  Blocks may be nested to any depth.
+An element without text of the page (``SILENT``) hides what lies between its tag and its own end tag: the one that follows in the same
+block, ends of further elements of its kind set aside.  One without such an end tag hides nothing, so it never takes text of the page with it.
+Only scripts and styles, whose content isn't markup, run to the next end tag of their kind, or to the page's end.  A quote opens an
+attribute's value only after an equals sign, and a slash at a tag's end counts only in ``svg``.  Blocks may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "select", "audio", "video"}
 #: Where one of these begins, an open one of the set below has ended: they can't stand in it.
 BREAKS = {"svg": {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl"}, "select": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section"}}
 #: Of these the content isn't even markup, so the next tag is looked for after their end.
-RAW = {"script", "style", "iframe", "title", "textarea"}
+RAW = {"script", "style"}
 RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: A slash at the end that belongs to a value without quotes.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "address", "fieldset", "details", "summary", "center", "menu", "dialog", "button", "label", "caption"}
 #: An opening tag ends these open elements, up to the nearest of the second set.
@@ -39,20 +42,57 @@ class Node:
     linked: int = 0
 
 
+def tokens(page: str) -> tuple[list[tuple[int, int, str, bool, str]], dict[int, int]]:
+    """Tags (start, stop, name, closing, attributes; no name: nothing but what is no text) and, of silent elements by number of their tag, the place after their end tag."""
+    found: list[tuple[int, int, str, bool, str]] = []
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []  # silent elements and blocks, by number of their tag
+    places: dict[str, list[int]] = defaultdict(list)  # of each name among the open ones
+
+    def drop(k: int) -> None:
+        for name, _ in open_[k:]:
+            places[name].pop()
+        del open_[k:]
+
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        tag, closing, attributes = (m[2] or "").lower(), bool(m[1]), m[3] or ""
+        if tag in RAW:
+            if not closing:
+                end = RAW_ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        found.append((m.start(), at, tag, closing, attributes))
+        if tag not in SILENT and tag not in BLOCKS:
+            continue
+        if closing:
+            # The end of a block drops the silent elements in it that weren't closed; that of a silent element, the blocks in it.
+            if places[tag]:
+                if tag in SILENT:
+                    ends[open_[places[tag][-1]][1]] = at
+                drop(places[tag][-1])
+            continue
+        if open_ and tag in BREAKS.get(open_[-1][0], ()):
+            drop(len(open_) - 1)
+        if tag == "svg" and attributes.endswith("/") and not VALUE_SLASH.search(attributes):
+            continue
+        places[tag].append(len(open_))
+        open_.append((tag, len(found) - 1))
+    return found, ends
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; node 0 is the root, and a node's parent comes before it."""
     nodes = [Node("html", -1, 0)]
     stack = [0]
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
     open_links = order = 0
-    silent: list[str] = []
-    inner: list[str] = []  # blocks opened in the silent elements
-    lower, last = page.lower(), {}  # where each silent element's end tag is met last
     at = 0
 
     def text(raw: str) -> None:
         nonlocal order
-        if raw and not silent:
+        if raw:
             own = html.unescape(raw) if "&" in raw else raw
             node = nodes[stack[-1]]
             node.pieces.append((order, own))
@@ -64,58 +104,26 @@ def parse(page: str) -> list[Node]:
         """The innermost open element of some tags, 0 if there is none."""
         return max((places[t][-1] for t in tags if places[t]), default=0)
 
-    def begins(tag: str, attributes: str) -> bool:
-        """Whether a silent element has content: it isn't closed in its own tag, and an end tag follows somewhere."""
-        if tag not in last:
-            last[tag] = lower.rfind(f"</{tag}")
-        return not attributes.endswith("/") and last[tag] >= at
-
     def close(k: int) -> None:
         for n in stack[k:]:
             places[nodes[n].tag].pop()
         del stack[k:]
 
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    found, after = tokens(page)
+    for number, (begin, stop, tag, closing, attributes) in enumerate(found):
+        if begin < at:
             continue
-        closing = bool(m[1])
-        if tag in RAW and not closing and not m[3].endswith("/"):
-            end = RAW_ENDS[tag].search(page, at)
-            at = end.end() if end else len(page)
+        text(page[at:begin])
+        at = after.get(number, stop)
+        if not tag or tag in SILENT:
             continue
-        if silent:
-            ends_here = tag in BLOCKS and closing and tag not in inner and bool(places[tag])
-            if ends_here or not closing and tag in BREAKS.get(silent[-1], ()) and not inner:
-                # The end of a block around it, or a block that can't stand in it: the silent element was never closed.
-                silent.clear()
-                inner.clear()
-            elif closing and tag in silent:
-                while silent.pop() != tag:
-                    pass
-                inner.clear()
-                continue
-            else:
-                if tag in SILENT and not closing and begins(tag, m[3]):
-                    silent.append(tag)
-                elif tag in BLOCKS and not closing:
-                    inner.append(tag)
-                elif tag in BLOCKS and tag in inner:
-                    while inner.pop() != tag:
-                        pass
-                continue
-        if tag in SILENT:
-            if not closing and begins(tag, m[3]):
-                silent.append(tag)
-        elif tag == "br" or tag == "hr":
+        if tag == "br" or tag == "hr":
             text(" ")
         elif tag == "a":
             open_links = 0 if closing else 1
         elif tag == "body" or tag == "html":
             if not closing:
-                nodes[0].names += " " + names(m[3])
+                nodes[0].names += " " + names(attributes)
         elif tag not in BLOCKS:
             continue
         elif closing:
@@ -131,7 +139,7 @@ def parse(page: str) -> list[Node]:
                 close(k)
                 if own != "p":
                     break
-            nodes.append(Node(tag, stack[-1], len(stack), names(m[3])))
+            nodes.append(Node(tag, stack[-1], len(stack), names(attributes)))
             places[tag].append(len(stack))
             stack.append(len(nodes) - 1)
             open_links = 0
