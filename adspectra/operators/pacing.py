@@ -122,16 +122,25 @@ def step(state: dict, config: Config = Config()) -> dict:
 STEPS = "campaign_id bigint, now double, status string, error double, p_term double, i_term double, multiplier double, integral double"
 
 
+#: Multiplier and integral of a campaign that has no state yet.
+START = (1.0, 0.0)
+
+
+def folded(campaign: int, rows: pd.DataFrame, state: tuple[float, float], config: Config = Config()) -> tuple[pd.DataFrame, tuple[float, float]]:
+    """One campaign's steps over its observations in order of ``now``, and the state after them."""
+    out = []
+    for r in rows.sort_values("now", kind="stable").to_dict("records"):
+        x = step({**r, "spent_today": None if pd.isna(r["spent_today"]) else r["spent_today"], "multiplier": state[0], "integral": state[1]}, config)
+        state = (x["new_multiplier"], x["new_integral"])
+        out.append((campaign, r["now"], x["status"], x["error"], x["p_term"], x["i_term"], *state))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")]), state
+
+
 def run_steps(observations: DataFrame, config: Config = Config()) -> DataFrame:
-    """Each campaign's controller over its observations in order of ``now``, from multiplier 1 and integral 0."""
+    """Each campaign's controller over its observations in order of ``now``."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        multiplier, integral, out = 1.0, 0.0, []
-        for r in rows.sort_values("now").to_dict("records"):
-            x = step({**r, "spent_today": None if pd.isna(r["spent_today"]) else r["spent_today"], "multiplier": multiplier, "integral": integral}, config)
-            multiplier, integral = x["new_multiplier"], x["new_integral"]
-            out.append((key[0], r["now"], x["status"], x["error"], x["p_term"], x["i_term"], multiplier, integral))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+        return folded(key[0], rows, START, config)[0]
 
     return observations.groupBy("campaign_id").applyInPandas(fold, STEPS)
 

@@ -6,7 +6,11 @@ come as text; a missing field takes its default; one that can't be read makes th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspectra.functions.ratios import to_cents
@@ -117,15 +121,27 @@ def split_ad_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedupe(events: DataFrame, keys: tuple[str, ...] = ("event_type", "nonce"), time: str = "event_time", hours: int = NONCE_HOURS) -> DataFrame:
     """The events whose nonce isn't held: an accepted event holds its nonce for some hours, and later ones are dropped.
 
-    Events count in order of time, then of their other columns. A nonce's events are gathered to be read in turn; nonces
-    are made for one event each, so a group is as large as the replays of one nonce. In a stream the watermark's time holds the nonce.
+    Events count in order of time, then of their other columns.  One that comes so many hours after the one before it, or is its nonce's first, is
+    accepted whatever came before; the others are read in order, with the time that holds their nonce as all that is kept.  So a task's
+    memory doesn't grow with the replays of a nonce.
     """
-    if events.isStreaming:
-        return events.dropDuplicatesWithinWatermark(list(keys))
     rest = [c for c in events.columns if c not in (*keys, time)]
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(time).alias("__at"), *rest)))
-    none = F.array().cast(f"array<struct<__at:{events.schema[time].dataType.simpleString()},{','.join(f'`{c}`:{events.schema[c].dataType.simpleString()}' for c in rest)}>>")
-    free = lambda held, e: (F.size(held) == 0) | (e["__at"] >= F.try_element_at(held, F.lit(-1))["__at"] + F.expr(f"interval {int(hours)} hours"))
-    accepted = F.aggregate(ordered, none, lambda held, e: F.when(free(held, e), F.concat(held, F.array(e))).otherwise(held))
-    rows = events.groupBy(*keys).agg(accepted.alias("__accepted")).select(*keys, F.explode("__accepted").alias("e"))
-    return rows.select(*(c if c in keys else F.col("e.__at").alias(c) if c == time else F.col(f"e.{c}").alias(c) for c in events.columns))
+    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time, *rest))
+    fresh = before.isNull() | (F.col(time) >= before + F.expr(f"interval {int(hours)} hours"))
+    ordered = events.withColumns({"__fresh": fresh, "__at": F.unix_micros(F.col(time).cast("timestamp"))})
+    span, columns = int(hours) * 3_600_000_000, events.columns
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for batch in batches:
+            fresh, at = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("__fresh", "__at"))
+            keep = fresh.astype(bool)
+            for k in np.flatnonzero(~keep).tolist():  # the row before is the same nonce's
+                if k and keep[k - 1]:
+                    held = at[k - 1]
+                keep[k] = at[k] >= held + span
+            if len(keep) and keep[-1]:
+                held = at[-1]
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    return ordered.mapInArrow(accepted, events.schema)

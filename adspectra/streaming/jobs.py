@@ -11,15 +11,17 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from adspectra.operators import parse
-from adspectra.operators.pacing import Config, step
+from adspectra.operators.pacing import START, Config, folded
 from adspectra.operators.parse import NONCE_HOURS
 
 SINK_SECONDS, WINDOW_SECONDS, LATENESS, CHECKPOINT_SECONDS = 5, 10, "1 minute", 60
+#: How late an event of a nonce may come.
+NONCE_LATENESS = "1 hour"
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
@@ -53,9 +55,54 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("campaign_id", F.to_date("event_time").alias("day")).agg(*_measures())
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """One event per type and nonce within a day; a repeated one is dropped silently."""
-    return parse.dedupe(_watermarked(events, f"{NONCE_HOURS} hours"))
+def timed_state(spark: SparkSession) -> None:
+    """State by key and timers are kept by RocksDB; streams started before keep the store that their checkpoint names."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class NonceHolder(StatefulProcessor):
+    """Keeps for each nonce when its last accepted event was, until a timer of event time lets it go."""
+
+    def __init__(self, columns: list[str], time: str = "event_time", hours: int = NONCE_HOURS):
+        self.columns, self.time, self.hours = columns, time, hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "until_ms bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        until = self.held.get()[0] if self.held.exists() else None
+        before, kept = until, []
+        batch = pd.concat(list(rows)).sort_values([self.time, *(c for c in self.columns if c != self.time)], kind="stable")
+        for at in (batch[self.time].astype("datetime64[us]").astype("int64") // 1000).tolist():
+            kept.append(until is None or at >= until)
+            if kept[-1]:
+                until = at + self.hours * 3_600_000
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.held.update((until,))
+            self.handle.registerTimer(until)
+        yield batch.loc[kept, self.columns]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def deduplicated(events: DataFrame, late: str = NONCE_LATENESS, hours: int = NONCE_HOURS) -> DataFrame:
+    """The events whose type and nonce no accepted event holds, as ``parse.dedupe`` gives them.
+
+    In a stream events of a nonce count in order of time within a batch, and over batches as they come; those later than ``late`` are dropped.
+    """
+    if not events.isStreaming:
+        return parse.dedupe(events, hours=hours)
+    timed_state(events.sparkSession)
+    marked = _watermarked(events, late)
+    return marked.groupBy("event_type", "nonce").transformWithStateInPandas(NonceHolder(marked.columns, "event_time", hours), marked.schema, "append", "eventTime", eventTimeColumnName="event_time")
 
 
 def by_day(path: str, batches: str = "batch_id") -> Callable[[DataFrame, int], None]:
@@ -123,9 +170,9 @@ def printed(rows: DataFrame, lines: int = 20) -> StreamingQuery:
 
 
 class Pacer(StatefulProcessor):
-    """Keeps each campaign's multiplier and integral; every observation is one controller step."""
+    """Keeps each campaign's multiplier and integral; every observation is one controller step. A campaign without state starts from the given one, else at 1 and 0."""
 
-    OUTPUT = "campaign_id bigint, now double, status string, error double, multiplier double, integral double"
+    OUTPUT = "campaign_id bigint, now double, status string, error double, p_term double, i_term double, multiplier double, integral double"
 
     def __init__(self, config: Config = Config()):
         self.config = config
@@ -133,20 +180,21 @@ class Pacer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("pacing", "multiplier double, integral double")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.state.update((float(initialState["multiplier"].iloc[0]), float(initialState["integral"].iloc[0])))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        multiplier, integral = self.state.get() if self.state.exists() else (1.0, 0.0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("now").to_dict("records"):
-            x = step({**r, "spent_today": None if pd.isna(r["spent_today"]) else r["spent_today"], "multiplier": multiplier, "integral": integral}, self.config)
-            multiplier, integral = x["new_multiplier"], x["new_integral"]
-            out.append((key[0], r["now"], x["status"], x["error"], multiplier, integral))
-        self.state.update((multiplier, integral))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUTPUT.split(", ")])
+        began = tuple(self.state.get()) if self.state.exists() else START
+        steps, last = folded(key[0], pd.concat(list(rows)), began, self.config)
+        self.state.update(last)
+        yield steps
 
     def close(self) -> None:
         pass
 
 
-def paced(observations: DataFrame, config: Config = Config()) -> DataFrame:
-    """A stream of observations (campaign_id, now and a step's inputs) to a stream of controller steps."""
-    return observations.groupBy("campaign_id").transformWithStateInPandas(Pacer(config), Pacer.OUTPUT, "append", "none")
+def paced(observations: DataFrame, config: Config = Config(), initial: DataFrame | None = None) -> DataFrame:
+    """A stream of observations (campaign_id, now and a step's inputs) to a stream of controller steps; initial: campaign_id, multiplier, integral."""
+    timed_state(observations.sparkSession)
+    given = initial.groupBy("campaign_id") if initial is not None else None
+    return observations.groupBy("campaign_id").transformWithStateInPandas(Pacer(config), Pacer.OUTPUT, "append", "none", initialState=given)
