@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from adspectra.registry import query, rounded
 from adspectra.sources.driver import Tables, with_tables
 
 from . import dashboards as d
-from . import rollups
+from . import incremental, rollups
 
 START, END = "2024-01-05 06:30:00", "2024-01-20 18:45:00"
 P_START, P_END = "1996-01-01", "1999-07-01"
@@ -39,6 +40,12 @@ def ad_hours(t: Tables) -> DataFrame:
     return rollups.ad_metrics_hourly(t.impressions, t.clicks)
 
 
+def _of_batches(t: Tables, rollup: incremental.Rollup) -> DataFrame:
+    batch = lambda k: {x: getattr(t, x).where(F.pmod(F.xxhash64("*"), F.lit(3)) == k) for x in rollup.facts}
+    states = [rollup.state(batch(k)) for k in range(3)]
+    return rollup.measures(incremental.added(rollup, states[0].unionByName(states[1]).unionByName(states[2])))
+
+
 def campaign_hours(t: Tables) -> DataFrame:
     return rollups.campaign_metrics_hourly(t.impressions, t.clicks)
 
@@ -48,6 +55,12 @@ def ad_metrics_hourly(t: Tables) -> DataFrame:
     return rounded(ad_hours(t))
 
 
+@query(with_tables(f"SELECT *, {ECPM} AS avg_ecpm, {CTR} AS avg_ctr FROM h", "impressions", "clicks", h=AD_HOURS))
+def ad_metrics_added(t: Tables) -> DataFrame:
+    """As ``ad_metrics_hourly``, of states of three batches that are added up."""
+    return rounded(_of_batches(t, incremental.AD_METRICS))
+
+
 @query(with_tables(f"SELECT *, {ECPM} AS avg_ecpm, {CTR} AS avg_ctr FROM h", "impressions", "clicks", h=CAMPAIGN_HOURS))
 def campaign_metrics_hourly(t: Tables) -> DataFrame:
     return rounded(campaign_hours(t))
@@ -66,6 +79,20 @@ def auction_metrics_hourly(t: Tables) -> DataFrame:
     return rounded(rollups.auction_metrics_hourly(t.auctions))
 
 
+@query(
+    with_tables(
+        """SELECT date_trunc('hour', event_time) AS hour, count(*) AS total_auctions, count(winner_ad_id) AS auctions_with_winner,
+        round(avg(num_candidates), 6) AS avg_candidates, round(avg(num_filtered_budget), 6) AS avg_filtered_budget, round(avg(num_filtered_targeting), 6) AS avg_filtered_targeting, round(avg(num_eligible), 6) AS avg_eligible,
+        round(avg(winning_bid_cents), 6) AS avg_winning_bid_cents, round(quantile_cont(winning_bid_cents::DOUBLE, 0.5), 6) AS median_winning_bid_cents, round(count(winner_ad_id)::DOUBLE / count(*) * 100, 6) AS fill_rate_pct
+        FROM auctions GROUP BY 1""",
+        "auctions",
+    )
+)
+def auction_metrics_added(t: Tables) -> DataFrame:
+    """As ``auction_metrics_hourly``, of states of three batches that are added up."""
+    return rounded(_of_batches(t, incremental.AUCTION_METRICS))
+
+
 @query(
     with_tables(
         f"""SELECT i.n AS total_impressions, coalesce(i.s, 0) AS total_spend_cents, k.n AS total_clicks, a.n AS total_auctions, a.w AS auctions_filled,
