@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspectra import schemas
@@ -157,10 +157,15 @@ def taxonomy_walk(t: Tables) -> DataFrame:
     return rounded(taxonomy.walk(scored, "k", 0.3, tiers=3).drop("path"))
 
 
-@query(with_tables("SELECT DISTINCT product_id, content_id FROM topic_mapping", "topic_mapping"))
+#: Sizes stand for product topics (one of them for 0, which is no topic) and brand numbers for content topics.
+MAPPED = "SELECT CAST(p_size - 1 AS VARCHAR) AS product_id, regexp_extract(p_brand, '([0-9]+)', 1) AS content_id, p_partkey FROM part"
+
+
+@query(f"SELECT DISTINCT product_id, content_id FROM ({MAPPED}) WHERE (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND TRY_CAST(product_id AS INTEGER) > 0 AND TRY_CAST(content_id AS INTEGER) > 0")
 def taxonomy_mapping(t: Tables) -> DataFrame:
-    back = t.topic_mapping.where("cast(product_id as int) > 10")
-    return taxonomy.numeric_ids(taxonomy.merged_mapping(t.topic_mapping, back))
+    """Even parts map products to content; every third maps content to products."""
+    pairs = t.raw("part").select("p_partkey", (F.col("p_size") - 1).cast("string").alias("product_id"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("content_id"))
+    return taxonomy.numeric_ids(taxonomy.merged_mapping(pairs.where("p_partkey % 2 = 0"), pairs.where("p_partkey % 3 = 0")))
 
 
 COSINE = "list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))"
@@ -285,7 +290,28 @@ def document_chunks(t: Tables) -> DataFrame:
     return textprep.chunks(t.raw("documents"), "doc_id", "text")
 
 
-@query()
+#: A campaign's days as observations at noon, with what the step makes of them apart from its state.
+OBSERVED = """SELECT campaign_id, event_time::DATE AS day, max(total_budget_cents) / 100.0::DOUBLE AS total_budget, max(daily_budget_cents) / 100.0::DOUBLE AS daily_budget,
+min(remaining_budget_cents) / 100.0::DOUBLE AS left_over, max(spent_today_cents) / 40000.0::DOUBLE AS spent_today FROM pacing GROUP BY 1, 2"""
+STEPS_SQL = f"""o1 AS (SELECT *, epoch(day::TIMESTAMP) + 43200.0 AS now, min(epoch(day::TIMESTAMP)) OVER w::DOUBLE AS st, max(epoch(day::TIMESTAMP)) OVER w + 86400.0::DOUBLE AS en, row_number() OVER (PARTITION BY campaign_id ORDER BY day) AS n
+  FROM ({OBSERVED}) WINDOW w AS (PARTITION BY campaign_id)),
+o2 AS (SELECT *, least(left_over / greatest(1.0, (en - now) / 3600.0) * 24, CASE WHEN daily_budget > 0 THEN daily_budget ELSE 1e300 END) * 0.5 AS target FROM o1),
+o AS (SELECT *, CASE WHEN left_over <= 0 OR (daily_budget > 0 AND spent_today >= daily_budget) THEN 'budget_exhausted' WHEN target < 0.01 THEN 'target_too_low' ELSE 'ok' END AS status,
+  greatest(-1.5, least(1.5, (target - spent_today) / target)) AS e, 0.3 * (1 + ((now - st) / (en - st)) * ((now - st) / (en - st))) + 0.7 * 1.25 AS u FROM o2),
+s AS (SELECT campaign_id, 0::BIGINT AS n, 0.0::DOUBLE AS now, '' AS status, 0.0::DOUBLE AS error, 0.0::DOUBLE AS p_term, 0.0::DOUBLE AS i_term, 1.0::DOUBLE AS multiplier, 0.0::DOUBLE AS integral FROM o GROUP BY 1
+  UNION ALL SELECT campaign_id, n, now, status, CASE status WHEN 'ok' THEN e WHEN 'budget_exhausted' THEN -1.0 ELSE 0.0 END, p, i,
+  CASE status WHEN 'ok' THEN greatest(0.1, least(2.0, m + greatest(-0.04 * 1.9, least(0.08 * 1.9, greatest(-0.5, least(1.0, p + i)))))) WHEN 'budget_exhausted' THEN 0.0 ELSE m END, ni
+  FROM (SELECT *, CASE WHEN status = 'ok' THEN 0.15 * e * u ELSE 0.0 END AS p, CASE WHEN status = 'ok' THEN 0.04 * ni * u ELSE 0.0 END AS i
+    FROM (SELECT o.*, s.multiplier AS m, CASE WHEN o.status = 'ok' AND NOT (s.multiplier >= 2.0 AND o.e > 0 OR s.multiplier <= 0.1 AND o.e < 0) THEN greatest(-5.0, least(5.0, s.integral + o.e)) ELSE s.integral END AS ni
+      FROM s JOIN o ON o.campaign_id = s.campaign_id AND o.n = s.n + 1)))"""
+PI_SEQUENCE_SQL = with_tables("SELECT campaign_id, now, status, round(error, 6) AS error, round(p_term, 6) AS p_term, round(i_term, 6) AS i_term, round(multiplier, 6) AS multiplier, round(integral, 6) AS integral FROM s WHERE n > 0", "pacing").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT campaign_id, now, status, round", f", {STEPS_SQL} SELECT campaign_id, now, status, round", 1)
+
+
+@query(PI_SEQUENCE_SQL)
 def pi_sequence(t: Tables) -> DataFrame:
-    steps = t.spark.range(20 * 48).select((F.col("id") % 20).alias("campaign_id"), (F.lit(1.7e9) + F.floor(F.col("id") / 20) * 1800).alias("now"), F.lit(1000.0).alias("total_budget"), F.lit(100.0).alias("daily_budget"), (F.floor(F.col("id") / 20) * (F.col("id") % 20) / 4.0).alias("spent"), (F.floor(F.col("id") / 20) * (F.col("id") % 20) / 8.0).alias("spent_today"), F.lit(1.7e9).alias("start"), F.lit(1.7e9 + 7 * 86400).alias("end"))
-    return rounded(pacing.run_steps(steps))
+    """Each campaign's controller over its days, an observation at noon each."""
+    cents = lambda f, x, by=100.0: (f(x) / by).alias(x.replace("_cents", ""))
+    days = t.pacing_history.groupBy("campaign_id", F.to_date("event_time").alias("day")).agg(cents(F.max, "total_budget_cents"), cents(F.max, "daily_budget_cents"), cents(F.min, "remaining_budget_cents"), cents(F.max, "spent_today_cents", 40000.0))
+    whole, second = Window.partitionBy("campaign_id"), F.unix_timestamp(F.col("day").cast("timestamp")).cast("double")
+    seen = days.select("*", (second + 43200).alias("now"), F.min(second).over(whole).alias("start"), (F.max(second).over(whole) + 86400).alias("end"))
+    return rounded(pacing.run_steps(seen.withColumn("spent", F.col("total_budget") - F.col("remaining_budget"))))
