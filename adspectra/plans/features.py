@@ -292,8 +292,8 @@ def document_chunks(t: Tables) -> DataFrame:
 
 #: A campaign's days as observations at noon, with what the step makes of them apart from its state.
 OBSERVED = """SELECT campaign_id, event_time::DATE AS day, max(total_budget_cents) / 100.0::DOUBLE AS total_budget, max(daily_budget_cents) / 100.0::DOUBLE AS daily_budget,
-min(remaining_budget_cents) / 100.0::DOUBLE AS left_over, max(spent_today_cents) / 40000.0::DOUBLE AS spent_today FROM pacing GROUP BY 1, 2"""
-STEPS_SQL = f"""o1 AS (SELECT *, epoch(day::TIMESTAMP) + 43200.0 AS now, min(epoch(day::TIMESTAMP)) OVER w::DOUBLE AS st, max(epoch(day::TIMESTAMP)) OVER w + 86400.0::DOUBLE AS en, row_number() OVER (PARTITION BY campaign_id ORDER BY day) AS n
+min(remaining_budget_cents) / 100.0::DOUBLE AS left_over, max(spent_today_cents) / 30000.0::DOUBLE AS spent_today FROM pacing GROUP BY 1, 2"""
+STEPS_SQL = f"""o1 AS (SELECT * REPLACE (total_budget - (total_budget - left_over) AS left_over), epoch(day::TIMESTAMP) + 43200.0 AS now, min(epoch(day::TIMESTAMP)) OVER w::DOUBLE AS st, max(epoch(day::TIMESTAMP)) OVER w + 86400.0::DOUBLE AS en, row_number() OVER (PARTITION BY campaign_id ORDER BY day) AS n
   FROM ({OBSERVED}) WINDOW w AS (PARTITION BY campaign_id)),
 o2 AS (SELECT *, least(left_over / greatest(1.0, (en - now) / 3600.0) * 24, CASE WHEN daily_budget > 0 THEN daily_budget ELSE 1e300 END) * 0.5 AS target FROM o1),
 o AS (SELECT *, CASE WHEN left_over <= 0 OR (daily_budget > 0 AND spent_today >= daily_budget) THEN 'budget_exhausted' WHEN target < 0.01 THEN 'target_too_low' ELSE 'ok' END AS status,
@@ -311,7 +311,7 @@ PI_SEQUENCE_SQL = with_tables("SELECT campaign_id, now, status, round(error, 6)
 def pi_sequence(t: Tables) -> DataFrame:
     """Each campaign's controller over its days, an observation at noon each."""
     cents = lambda f, x, by=100.0: (f(x) / by).alias(x.replace("_cents", ""))
-    days = t.pacing_history.groupBy("campaign_id", F.to_date("event_time").alias("day")).agg(cents(F.max, "total_budget_cents"), cents(F.max, "daily_budget_cents"), cents(F.min, "remaining_budget_cents"), cents(F.max, "spent_today_cents", 40000.0))
+    days = t.pacing_history.groupBy("campaign_id", F.to_date("event_time").alias("day")).agg(cents(F.max, "total_budget_cents"), cents(F.max, "daily_budget_cents"), cents(F.min, "remaining_budget_cents"), cents(F.max, "spent_today_cents", 30000.0))
     whole, second = Window.partitionBy("campaign_id"), F.unix_timestamp(F.col("day").cast("timestamp")).cast("double")
     seen = days.select("*", (second + 43200).alias("now"), F.min(second).over(whole).alias("start"), (F.max(second).over(whole) + 86400).alias("end"))
     return rounded(pacing.run_steps(seen.withColumn("spent", F.col("total_budget") - F.col("remaining_budget"))))
