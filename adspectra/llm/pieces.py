@@ -11,8 +11,8 @@ exactly one is admitted: its score counts, all others count as minus infinity.
 No piece has a space sign after another character, so texts fall apart before each run of space
 signs that follows a character, and each part is searched by itself.  The different parts of a batch are
 grouped by length and advance together: hashes of all substrings that end at a place are looked up
-among the sorted hashes of the pieces, the maxima over the candidates are taken at once and kept as
-backpointers, and the paths are read back together.  Characters without a piece become byte pieces.
+among the sorted hashes of the pieces, and the one candidate that is admitted at each place is kept as
+its backpointer; the paths are read back together.  Characters without a piece become byte pieces.
 A part of over ``LONGEST`` characters is searched as chunks of that length, side by side, that overlap by
 ``OVERLAP``; the chunks' paths are joined where both end a piece at one place and the pieces around it leave each
 other alone, which makes the joined path the whole part's.  Where there is no such place (a run, a pattern), the chunks

@@ -24,7 +24,7 @@ most ``2 * LENGTH - ANCHOR`` bytes.  A document of n bytes has about ``2 n / 65`
    groups go to suffix arrays in their turn, and groups by all grams have one content each.
 4. Spans are gathered by document and cut out.
 
-Contents are compared as 128-bit hashes in step 2, as bytes in the suffix arrays.
+Contents of one anchor are told apart by one 64-bit hash in step 2, as bytes in the suffix arrays.
 
 A document is known by its id and the hash of its text.  Defined cases: null text is empty; a null
 id sorts first; rows that repeat both id and text are one document and get equal results; rows of
