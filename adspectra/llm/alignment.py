@@ -11,19 +11,22 @@ by a byte-level BPE file (A) and by a SentencePiece file (B).  All else is Spark
   overlapping tokens shares one such piece.  So the links of a group are the entries of its ``sequence`` of places, but for the last
   (which repeats the end of the entry before it): a group of m and n tokens has m + n - 1 links, and work is in proportion to tokens.
 
-Counts of linked ids over all documents (``weigh``): the aligned rows are written once, in buckets by chunk (a chunk: what one task
-read).  Links are counted by chunk and pair where they lie, and only these counts are shuffled: by pair for the sums, and back to the chunks,
-where each link finds its pair's sum in a hash table.  So no link and no text is shuffled, a pair that fills the corpus is one
-row a chunk, and nothing is broadcast or collected.
-
-Texts are tokenised chunk by chunk of text: before a space after a character that isn't white space no token of either file
-goes on (A's words begin there, and B has no piece with a space sign after another character), so each different such part is tokenised
-once by the libraries and remembered.
+Work is in proportion to different parts of texts, not to tokens.  Before a space after a character that isn't white space no token of
+either file goes on (A's words begin there, and B has no piece with a space sign after another character).  So both have a token that ends there,
+a group ends there, and the groups and links of a text are those of its parts, one after the other.  ``parts_of`` reads texts in blocks of
+``BLOCK_CHARS`` characters: each different part of a block is a row with its tokens, and each text is the numbers of its parts.  A worker
+remembers the ids of parts it has seen.  Groups and links are built once for each of a block's parts.
+
+Counts of linked ids over all documents (``align``): the rows of parts are written once, in buckets by chunk (a chunk: what one task
+read), each with how often the texts of its block hold it.  Links are counted by chunk and pair where they lie, weighted by that, and only these counts
+are shuffled: by pair for the sums, and back to the chunks, where each part's links find their pairs' sums in a hash table.  A block's parts are then one
+row of arrays beside its texts, and each text adds up and joins what its parts have.  So no link and no text is shuffled, a pair that fills the
+corpus is one row a chunk, and nothing is broadcast or collected.
 
 Defined cases: null and empty texts, and texts whose bytes the tokens of either side don't give back (such as those with U+2581), have
 no tokens, no groups and no links, and their sums are 0; special tokens' strings are plain text; rows that repeat an id stay rows of their
 own and count each; a null id is kept; of ties for an id's best partner all are best; texts of any length are aligned whole, with
-arrays in proportion to the text in one task's memory; an empty table gives an empty result; other columns are ignored.
+arrays in proportion to the text (a longer one than a block is a block by itself) in one task's memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +53,8 @@ SIGN = "▁"
 PART = re.compile(r" \s*+(?:\S++(?:[^\S ]\s*+)?+)*+")
 #: Characters of the parts that a worker remembers, and the longest part that it remembers.
 CACHE_CHARS, LONGEST = 1 << 22, 256
-#: Rows tokenised at once.
-ROWS = 500
+#: Rows tokenised at once, and the characters of a block.
+ROWS, BLOCK_CHARS = 500, 1 << 22
 #: Bits of a place in the sorted ends and in ``cuts``; B's entries have one bit more set, so that of equal ends A's come first.
 BITS = 31
 SIDE, PLACE = 1 << BITS, (1 << BITS) - 1
@@ -103,46 +106,115 @@ class TokenPair:
                 if any(b"".join(map(table.__getitem__, ids)) != part.encode() for table, ids in zip((self.bytes_a, self.bytes_b), both, strict=True)):
                     self.by_a[part] = None
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids by A and by B of each text after a space."""
+    @contextmanager
+    def _split(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
+        """The parts of each text after a space, whose ids are known inside; none for a text that the tokens don't give back."""
         if self.cached > CACHE_CHARS:
             self.by_a, self.by_b, self.cached = {}, {}, 0
         split = [PART.findall(" " + x) if x and SIGN not in x else [] for x in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.by_a))
+        different = set(chain.from_iterable(split))
+        new = list(different.difference(self.by_a))
         if new:
             self._learn(new)
-        out = [], []
-        for parts in split:
-            a = list(map(self.by_a.__getitem__, parts))
-            given = None not in a
-            out[0].append(np.frombuffer(b"".join(a) if given else b"", "<i4"))
-            out[1].append(np.frombuffer(b"".join(map(self.by_b.__getitem__, parts)) if given else b"", "<i4"))
+        lost = {p for p in different if self.by_a[p] is None}
+        yield [[] if lost and not lost.isdisjoint(parts) else parts for parts in split]
         self.cached += sum(map(len, new))
         for p in new:
             if len(p) > LONGEST:
                 del self.by_a[p], self.by_b[p]
-        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids by A and by B of each text after a space."""
+        with self._split(texts) as split:
+            return tuple([np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4") for parts in split] for known in (self.by_a, self.by_b))
+
+    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, list[list[bytes]]]:
+        """The numbers of each text's parts, how often each part is in the texts, and the different parts' ids by A and by B."""
+        with self._split(texts) as split:
+            number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+            uses = [np.fromiter(map(number.__getitem__, parts), np.int32, len(parts)) for parts in split]
+            times = np.bincount(np.concatenate([np.zeros(0, np.int32), *uses]), minlength=len(number))
+            return uses, times, [list(map(known.__getitem__, number)) for known in (self.by_a, self.by_b)]
+
+
+def _pair(path_a: str, path_b: str) -> TokenPair:
+    if (path_a, path_b) not in _PAIRS:
+        _PAIRS[path_a, path_b] = TokenPair(path_a, path_b)
+    return _PAIRS[path_a, path_b]
+
+
+def _lists(sizes: list[int], values: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32, copy=False)))
+
+
+def _tokens(packed: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lists of ids and of the ends of their tokens."""
+    n = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+    ids = np.frombuffer(b"".join(packed), "<i4")
+    ends = np.concatenate([[0], np.cumsum(sizes[ids], dtype=np.int64)])
+    before = np.repeat(ends[np.cumsum(n) - n], n)
+    return _lists(n, ids), _lists(n, ends[1:] - before)
+
+
+TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends")
+_TOKEN_FIELDS = [T.StructField(x, T.ArrayType(T.IntegerType(), False)) for x in TOKENS]
 
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
     """doc_id, and a_ids, a_ends, b_ids, b_ends (byte offsets after the space put before the text) of every row."""
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32, copy=False)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path_a, path_b) not in _PAIRS:
-            _PAIRS[path_a, path_b] = TokenPair(path_a, path_b)
-        pair = _PAIRS[path_a, path_b]
+        pair = _pair(path_a, path_b)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 a, b = pair.encode(part.column(1).to_pylist())
-                ends = ([np.cumsum(sizes[x], dtype=np.int32) for x in ids] for ids, sizes in ((a, pair.sizes_a), (b, pair.sizes_b)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(a), lists(next(ends)), lists(b), lists(next(ends))], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                columns = (*_tokens([x.tobytes() for x in a], pair.sizes_a), *_tokens([x.tobytes() for x in b], pair.sizes_b))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *TOKENS])
+
+    return docs.select("doc_id", text).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_TOKEN_FIELDS]))
+
+
+def parts_of(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
+    """Blocks of texts, each as the rows of its different parts and one row of its texts.
+
+    Of a part: block (a number within its task), part (from 0), times (how often the block's texts hold it) and its tokens, as ``tokenized`` has them.
+    Of the texts: block and ``docs``, an array of (doc_id, uses: the numbers of its parts in order).
+    """
+    doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("uses", T.ArrayType(T.IntegerType(), False))])
+    own = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("times", T.LongType()), *_TOKEN_FIELDS, T.StructField("docs", T.ArrayType(doc, False))])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
+        ids, texts, chars = [], [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(k, ROWS)
+                for i, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    if texts and chars + len(x or "") > BLOCK_CHARS:
+                        yield ids, texts
+                        ids, texts, chars = [], [], 0
+                    ids.append(i)
+                    texts.append(x)
+                    chars += len(x or "")
+        if texts:
+            yield ids, texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        pair, schema = _pair(path_a, path_b), to_arrow_schema(own)
+        for block, (ids, texts) in enumerate(blocks(batches)):
+            uses, times, (a, b) = pair.block(texts)
+            for k in range(0, len(a), 10 * ROWS):
+                n = len(a[k : k + 10 * ROWS])
+                columns = [pa.array(np.full(n, block, np.int32)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(times[k : k + n].astype(np.int64))]
+                columns += [*_tokens(a[k : k + n], pair.sizes_a), *_tokens(b[k : k + n], pair.sizes_b), pa.nulls(n, schema.field("docs").type)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            each = pa.StructArray.from_arrays([pa.array(ids, schema.field("docs").type.value_type.field("doc_id").type), _lists([len(x) for x in uses], np.concatenate([np.zeros(0, np.int32), *uses]))], ["doc_id", "uses"])
+            texts = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), each).cast(schema.field("docs").type)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.nulls(1, f.type) for f in list(schema)[1:-1]), texts], schema=schema)
 
-    own = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.ArrayType(T.IntegerType(), False)) for x in ("a_ids", "a_ends", "b_ids", "b_ends"))])
     return docs.select("doc_id", text).mapInArrow(run, own)
 
 
@@ -236,41 +308,58 @@ def _meeting_by_chunk(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def weigh(linked: DataFrame, size_b: int) -> DataFrame:
-    """Every row, without ``links``, with n_links, n_best (links whose count is the greatest of their B id, ties included) and count_sum.
+def weighed(rows: DataFrame, size_b: int) -> DataFrame:
+    """chunk, block, part, best and total of every part of ``rows``: its links whose count is the greatest of their B id (ties included), and the sum of its links' counts.
 
-    A link's count is how many links of all rows hold its pair.
+    A link's count is how often all texts hold its pair.
     """
-    spark = spark_of(linked)
+    each = rows.where("part is not null").select("chunk", "block", "part", "times", F.explode("links").alias("pair"))
+    by_chunk = stored(each.groupBy("chunk", "pair").agg(F.sum("times").alias("n")))
+    total = by_chunk.groupBy("pair").agg(F.sum("n").alias("total"))
+    best = F.max("total").over(Window.partitionBy(F.col("pair") % size_b))
+    known = by_chunk.select("chunk", "pair").join(total.select("pair", "total", (F.col("total") == best).cast("long").alias("best")), "pair")
+    with _meeting_by_chunk(spark_of(rows)):
+        out = stored(each.join(known.hint("shuffle_hash"), ["chunk", "pair"]).groupBy("chunk", "block", "part").agg(F.sum("best").alias("best"), F.sum("total").alias("total")))
+    dropped(by_chunk)
+    return out
+
+
+#: What a text takes from its parts, as arrays in order of the parts' numbers.
+SUMS = {"n_a": "n_a", "n_b": "n_b", "n_groups": "n_groups", "n_links": "n_links", "best": "n_best", "total": "count_sum"}
+
+
+def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, group_text's SHA-256 ('' without tokens), n_links, n_best and count_sum of every row."""
+    import sentencepiece
+
+    spark = spark_of(docs)
+    size_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
     name = f"adspectra_links_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    kept = [c for c in linked.columns if c != "links"]
-    placed = linked.withColumn("chunk", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).withColumn("n_links", F.size("links").cast("long"))
+    found = links(group_text(aligned(parts_of(docs, path_a, path_b))), size_b)
+    sizes = [F.size(x).cast("long").alias(n) for n, x in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_links", "links"))]
     try:
-        placed.write.bucketBy(partitions(spark), "chunk").option("path", path).format("parquet").saveAsTable(name)
+        found.select(F.spark_partition_id().alias("chunk"), "block", "part", "times", "docs", "group_text", "links", "n_groups", *sizes).write.bucketBy(partitions(spark), "chunk").option("path", path).format("parquet").saveAsTable(name)
         rows = spark.table(name)
-        each = rows.select("chunk", "row", F.explode("links").alias("pair"))
-        by_chunk = stored(each.groupBy("chunk", "pair").agg(F.count(F.lit(1)).alias("n")))
-        total = by_chunk.groupBy("pair").agg(F.sum("n").alias("total"))
-        best = F.max("total").over(Window.partitionBy(F.col("pair") % size_b))
-        known = by_chunk.select("chunk", "pair").join(total.select("pair", "total", (F.col("total") == best).cast("long").alias("best")), "pair")
+        counted = weighed(rows, size_b)
         with _meeting_by_chunk(spark):
-            sums = each.join(known.hint("shuffle_hash"), ["chunk", "pair"]).groupBy("chunk", "row").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
-            zero = F.lit(0).cast("long")
-            out = stored(rows.select(*kept, "n_links", "chunk", "row").join(sums, ["chunk", "row"], "left").select(*kept, "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum")))
-        dropped(by_chunk)
+            parts = rows.where("part is not null").join(counted, ["chunk", "block", "part"])
+            columns = ["group_text", *SUMS]
+            ordered = F.array_sort(F.collect_list(F.struct("part", *columns)))
+            gathered = _made(parts.groupBy("chunk", "block").agg(ordered.alias("p")), **{f"of_{c}": F.col("p")[c] for c in columns}).drop("p")
+            both = rows.where("docs is not null").select("chunk", "block", "docs").join(gathered, ["chunk", "block"], "left")
+
+            def added(uses: Column, c: str) -> Column:
+                return F.aggregate(uses, F.lit(0).cast("long"), lambda s, i: s + F.get(f"of_{c}", i))
+
+            def one(d: Column) -> Column:
+                text = F.array_join(F.transform(d["uses"], lambda i: F.get("of_group_text", i)), ";")
+                sums = [added(d["uses"], c).alias(n) for c, n in SUMS.items()]
+                return F.struct(d["doc_id"].alias("doc_id"), *sums, F.when(F.size(d["uses"]) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"))
+
+            out = stored(both.select(F.inline(F.transform("docs", one))))
+        dropped(counted)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         _remove(spark, path)
     return out
-
-
-def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, group_text's SHA-256 ('' without tokens), n_links, n_best and count_sum of every row."""
-    import sentencepiece
-
-    size_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
-    pairs = links(group_text(aligned(tokenized(docs, path_a, path_b))), size_b)
-    sizes = [F.size(f"{x}_ids").cast("long").alias(f"n_{x}") for x in "ab"]
-    digest = F.when(F.size("a_ids") > 0, F.sha2("group_text", 256)).otherwise("").alias("groups_sha256")
-    return weigh(pairs.select("doc_id", *sizes, "n_groups", digest, "links"), size_b)
