@@ -4,6 +4,8 @@ Only tokenising runs in Python (``tokenized``): each text, after a space, become
 by a byte-level BPE file (A) and by a SentencePiece file (B).  All else is Spark's higher-order functions:
 
 * ``array_intersect`` of the two arrays of ends gives the bytes at which tokens of both end: the ends of the groups.
+* Where tokens are few, the places of these ends in both arrays tell how many tokens of A and B stand up to each (``cuts``), and a group with one
+  token on either side links it with all of the other.  The rest needs the order of all ends:
 * The ends of both, each with its side and place, are sorted together.  Where an end stands in that order, less its own
   place, is the number of the other side's ends before it.  So each entry knows the token of either side that it lies in,
   and an end of B that closes a group knows how many tokens of A and B stand up to it (``cuts``).
@@ -55,6 +57,10 @@ PART = re.compile(r" \s*+(?:\S++(?:[^\S ]\s*+)?+)*+")
 CACHE_CHARS, LONGEST = 1 << 22, 256
 #: Rows tokenised at once, and the characters of a block.
 ROWS, BLOCK_CHARS = 500, 1 << 22
+#: Parts given to the libraries at once.
+LEARNED = 1000
+#: Up to so many tokens of A and B together an end's places are looked up in both lists; beyond, all ends are sorted.
+FEW = 64
 #: Bits of a place in the sorted ends and in ``cuts``; B's entries have one bit more set, so that of equal ends A's come first.
 BITS = 31
 SIDE, PLACE = 1 << BITS, (1 << BITS) - 1
@@ -95,16 +101,18 @@ class TokenPair:
 
     def _learn(self, parts: list[str]) -> None:
         """The ids of parts by A and by B; None by A where the tokens of either don't give the part's bytes."""
-        a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([x[1:] for x in parts], num_threads=1)  # the library adds the space again, but to nothing
-        b = [x or [self.alone] for x in b]
-        self.by_a.update(zip(parts, self._packed(a), strict=True))
-        self.by_b.update(zip(parts, self._packed(b), strict=True))
-        whole = "".join(parts).encode()
-        if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-            for part, *both in zip(parts, a, b, strict=True):
-                if any(b"".join(map(table.__getitem__, ids)) != part.encode() for table, ids in zip((self.bytes_a, self.bytes_b), both, strict=True)):
-                    self.by_a[part] = None
+        for k in range(0, len(parts), LEARNED):
+            some = parts[k : k + LEARNED]  # few at a time: the libraries' own objects are far larger than the ids
+            a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.b.encode([x[1:] for x in some], num_threads=1)  # the library adds the space again, but to nothing
+            b = [x or [self.alone] for x in b]
+            self.by_a.update(zip(some, self._packed(a), strict=True))
+            self.by_b.update(zip(some, self._packed(b), strict=True))
+            whole = "".join(some).encode()
+            if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+                for part, *both in zip(some, a, b, strict=True):
+                    if any(b"".join(map(table.__getitem__, ids)) != part.encode() for table, ids in zip((self.bytes_a, self.bytes_b), both, strict=True)):
+                        self.by_a[part] = None
 
     @contextmanager
     def _split(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
@@ -224,20 +232,32 @@ def _made(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """Adds ``ends`` (all ends with side and place, in order), ``n_groups`` and ``cuts`` (tokens of A, shifted, and of B up to the end of each group)."""
+    """Adds ``n_groups``, ``cuts`` (tokens of A, shifted, and of B up to the end of each group) and ``ends`` (all ends with side and place, in order).
+
+    ``ends`` is null where nothing needs it: where tokens are ``FEW`` and no group has several on both sides.
+    """
 
     def entries(ends: str, side: int) -> Column:
         return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), BITS + 1).bitwiseOR(i.cast("long") + F.lit(side)))
 
-    both = _made(tokens, ends=F.sort_array(F.concat(entries("a_ends", 0), entries("b_ends", SIDE))), n_groups=F.size(F.array_intersect("a_ends", "b_ends")).cast("long"))
-
     def closes(x: Column, k: Column) -> Column:
         """An entry of B right after one of A of the same end."""
         return (x.bitwiseAND(F.lit(SIDE)) != 0) & (F.shiftright(x, BITS + 1) == F.get("a_ends", k - x.bitwiseAND(F.lit(PLACE)).cast("int") - 1))
 
+    def several(cut: Column, k: Column) -> Column:
+        (a0, b0), (a1, b1) = _sides(_before(k)), _sides(cut)
+        return (a1 - a0 > 1) & (b1 - b0 > 1)
+
+    given = tokens.columns
+    few = F.size("a_ends") + F.size("b_ends") <= FEW
+    common = _made(tokens, common=F.array_intersect("a_ends", "b_ends"))
+    found = F.transform("common", lambda e: F.shiftleft(F.array_position("a_ends", e), BITS) + F.array_position("b_ends", e))
+    short = _made(common, cuts=F.when(few, found))
+    needed = ~few | F.exists(F.transform("cuts", several), lambda x: x)
+    both = _made(short, ends=F.when(needed, F.sort_array(F.concat(entries("a_ends", 0), entries("b_ends", SIDE)))))
     # Such an entry at place k, B's token j, closes its group after k - j tokens of A and j + 1 of B.
-    cuts = F.filter(F.transform("ends", lambda x, k: F.when(closes(x, k), F.shiftleft(k.cast("long") - x.bitwiseAND(F.lit(PLACE)), BITS) + x.bitwiseAND(F.lit(PLACE)) + 1)), lambda c: c.isNotNull())
-    return _made(both, cuts=cuts)
+    long = F.filter(F.transform("ends", lambda x, k: F.when(closes(x, k), F.shiftleft(k.cast("long") - x.bitwiseAND(F.lit(PLACE)), BITS) + x.bitwiseAND(F.lit(PLACE)) + 1)), lambda c: c.isNotNull())
+    return both.select(F.inline(F.array(F.struct(*given, F.size("common").cast("long").alias("n_groups"), "ends", F.coalesce("cuts", long).alias("cuts")))))
 
 
 def _sides(cut: Column) -> tuple[Column, Column]:
@@ -290,7 +310,9 @@ def links(pairs: DataFrame, size_b: int) -> DataFrame:
 
     def group(cut: Column, k: Column) -> Column:
         (a0, b0), (a1, b1) = _sides(_before(k)), _sides(cut)
-        return F.when(cut - _before(k) == ONE_EACH, F.array(number(a1 - 1, b1 - 1))).otherwise(F.transform(F.sequence(a0 + b0, a1 + b1 - 2), link))
+        one_a = F.transform(F.sequence(b0, b1 - 1), lambda j: number(a0, j))
+        one_b = F.transform(F.sequence(a0, a1 - 1), lambda i: number(i, b0))
+        return F.when(a1 - a0 == 1, one_a).when(b1 - b0 == 1, one_b).otherwise(F.transform(F.sequence(a0 + b0, a1 + b1 - 2), link))
 
     return pairs.withColumn("links", F.flatten(F.transform("cuts", group)))
 
