@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adspectra.operators import classes
+from adspectra.operators import classes, targeting
 from adspectra.plans import matching
 from adspectra.sources.driver import Tables
 
@@ -30,3 +30,15 @@ def test_scores_are_worked_out_by_lists(spark, sf):
     assert lists.count() < pages.count() and matching.Sides(t).scores("names").count() <= lists.count() ** 2
     plan = matching.entity_score(t)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(rs") < plan.index("array_contains"), plan  # the score lies below the making of pairs
+
+
+def test_given_pairs_are_checked_without_others(spark):
+    """Pairs that match, and requests that they fit, as the search over all ads finds them."""
+    index = spark.createDataFrame([("keyword", "a", 1), ("keyword", "a", 2), ("keyword", "b", 1), ("entity", "x", 3), ("country", "US", 1), ("device", "tv", 2)], "dim string, key string, ad_id bigint")
+    keys = spark.createDataFrame([(7, "keyword", "a"), (7, "keyword", "b"), (8, "entity", "x"), (9, "keyword", "none")], "page_id bigint, dim string, key string")
+    every = spark.range(7, 10).withColumnRenamed("id", "page_id").crossJoin(spark.range(5).withColumnRenamed("id", "ad_id"))
+    close = targeting.matching_pairs(every, keys, index)
+    assert sorted(map(tuple, close.collect())) == sorted(map(tuple, targeting.page_matches(keys, index).collect())) == [(7, 1), (7, 2), (8, 3)]
+    requests = spark.createDataFrame([(i, p, c, d) for i, (p, c, d) in enumerate((p, c, d) for p in (7, 8, 9) for c in ("US", "FR", None) for d in ("tv", "phone", None))], "request_id bigint, page_id bigint, country string, device string")
+    found = targeting.fitting(requests, close, index).select("request_id", "ad_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, targeting.find_candidates(requests, keys, index).collect()))
