@@ -42,3 +42,10 @@ def test_given_pairs_are_checked_without_others(spark):
     requests = spark.createDataFrame([(i, p, c, d) for i, (p, c, d) in enumerate((p, c, d) for p in (7, 8, 9) for c in ("US", "FR", None) for d in ("tv", "phone", None))], "request_id bigint, page_id bigint, country string, device string")
     found = targeting.fitting(requests, close, index).select("request_id", "ad_id")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, targeting.find_candidates(requests, keys, index).collect()))
+
+
+def test_candidates_meet_by_classes(spark, sf):
+    """What is met is classes: the plan joins requests and ads only where blocks of both become rows."""
+    for found in (matching.candidate_match, matching.candidate_match_bitmaps):
+        plan = found(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("explode(rs") < plan.index("Join"), plan
