@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adspectra.operators import classes, targeting
+from adspectra.operators import classes, evaluation, targeting
 from adspectra.plans import matching
 from adspectra.sources.driver import Tables
 
@@ -49,3 +49,20 @@ def test_candidates_meet_by_classes(spark, sf):
     for found in (matching.candidate_match, matching.candidate_match_bitmaps):
         plan = found(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("explode(rs") < plan.index("Join"), plan
+
+
+def test_truth_by_classes_is_that_of_all_pairs(spark):
+    rows = [(i, [["a", "B"], ["b"], ["c", "a", "A"], [], None, ["b", None]][i % 6], [[1], [2, 3], None][i % 3], ["x", "y", None][i % 5 % 3]) for i in range(60)]
+    x = spark.createDataFrame(rows, "id bigint, keywords array<string>, topics array<int>, category string")
+    pages, ads = x.where("id % 2 = 0").withColumnRenamed("id", "page_id"), x.where("id % 2 = 1").withColumnRenamed("id", "ad_id")
+    near = [(0, 5), (0, 5), (2, 3), (900, 901), (4, 1)]
+    sets = lambda v: {y.lower() if isinstance(y, str) else y for y in v or () if y is not None}
+    alike = lambda a, b, k, n: a[3] is not None and a[3] == b[3] and len(sets(a[k]) & sets(b[k])) >= n
+    pairs = [(a, b) for a in rows[::2] for b in rows[1::2]]
+    want = sorted((a[0], b[0]) for a, b in pairs if alike(a, b, 1, 1))
+    assert want and sorted(map(tuple, evaluation.ground_truth(pages, ads, 1).collect())) == want
+    want = sorted({(a[0], b[0]) for a, b in pairs if alike(a, b, 1, 2) or alike(a, b, 2, 1)} | set(near))
+    found = evaluation.hybrid_truth(pages, ads, spark.createDataFrame(near, "page_id bigint, ad_id bigint"), 2)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = evaluation.ground_truth(pages, ads, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(rs") < plan.index("Aggregate"), plan
