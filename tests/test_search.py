@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,14 @@ def test_messages_are_parsed_once(spark):
     for read in (parse.ad_events, parse.auction_events, parse.pacing_events, parse.dead_letters):
         plan = read(messages)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1, plan
+
+
+def test_batches_are_compared_in_slices(spark):
+    """A task sees as many rows at a time as a slice holds, and sends on each query once, with the lists it wants."""
+    sizes = [len(x) for x in vector_index._sliced(iter([pd.DataFrame({"q": range(n)}) for n in (1100, 3, 0)]))]
+    assert max(sizes) == vector_index.SLICE and sum(sizes) == 1103
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(900))], VECTORS).withColumnRenamed("id", "i")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(700, seed=2))], VECTORS).select(F.col("id").alias("q"), "embedding")
+    index = vector_index.build(items, "i", part=64)
+    assert "cells" in vector_index._wanted(queries.select("q", F.col("embedding").alias("v"), F.lit(None).cast("double").alias("reach")), index, False, 5, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(vector_index.search(index, queries, "q", "i", 5)) == rows_of(similarity.knn(queries, items, "q", "i", 5))
