@@ -88,8 +88,7 @@ def annotation_override(t: Tables) -> DataFrame:
 @query(with_tables("SELECT label, count(*) AS queries, round(avg(h / 5.0::DOUBLE), 6) AS precision, round(avg(least(n, 5) / 5.0::DOUBLE), 6) AS ceiling FROM (SELECT page_id, sum(CASE WHEN rel THEN 1 ELSE 0 END) AS n, sum(CASE WHEN rel AND rank <= 5 THEN 1 ELSE 0 END) AS h FROM r GROUP BY 1) JOIN page_vectors USING (page_id) WHERE n > 0 GROUP BY 1", "page_vectors", "ad_vectors", r=RANKING))
 def ranking_macro_average(t: Tables) -> DataFrame:
     ranked = similarity.knn(t.page_vectors, t.ad_vectors, "page_id", "ad_id", 5)
-    truth = t.page_vectors.select("page_id", "label").join(t.ad_vectors.select("ad_id", "label"), "label").select("page_id", "ad_id")
-    each = evaluation.ranking_metrics(ranked, truth, "page_id", "ad_id", 5).drop("ndcg").join(evaluation.ceiling_precision(truth, "page_id", 5), "page_id")
+    each = evaluation.labelled_metrics(ranked, t.page_vectors.select("page_id", "label"), t.ad_vectors.select("ad_id", "label"), "page_id", "ad_id", 5).drop("ndcg").where("ceiling is not null")
     return rounded(evaluation.macro_average(each.join(t.page_vectors.select("page_id", "label"), "page_id").drop("page_id"), "label"))
 
 
@@ -163,8 +162,7 @@ def vector_codec(t: Tables) -> DataFrame:
 @query(with_tables("SELECT page_id, label, rank FROM (SELECT page_id, label, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, label) AS rank FROM (SELECT p.page_id, a.label, max(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) AS s FROM page_vectors p, ad_vectors a GROUP BY 1, 2)) WHERE rank <= 3", "page_vectors", "ad_vectors"))
 def label_shortlist(t: Tables) -> DataFrame:
     """Each page's three labels of the most similar ads."""
-    near = similarity.similarities(t.page_vectors, t.ad_vectors, "page_id", "ad_id", None)
-    best = near.join(t.ad_vectors.select("ad_id", "label"), "ad_id").groupBy("page_id", "label").agg(F.max("similarity").alias("s"))
+    best = similarity.best_by_label(t.page_vectors, t.ad_vectors, "page_id", "ad_id").withColumnRenamed("similarity", "s")
     order = Window.partitionBy("page_id").orderBy(F.desc("s"), "label")
     return best.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("page_id", "label", "rank")
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from adspectra.operators import bitmaps, parse, similarity, targeting, vector_index
+from adspectra.operators import bitmaps, evaluation, parse, similarity, targeting, vector_index
 
 VECTORS = "id bigint, embedding array<double>"
 
@@ -139,3 +139,25 @@ def test_batches_are_compared_in_slices(spark):
     index = vector_index.build(items, "i", part=64)
     assert "cells" in vector_index._wanted(queries.select("q", F.col("embedding").alias("v"), F.lit(None).cast("double").alias("reach")), index, False, 5, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert rows_of(vector_index.search(index, queries, "q", "i", 5)) == rows_of(similarity.knn(queries, items, "q", "i", 5))
+
+
+def test_best_of_each_label(spark, monkeypatch):
+    """Labels over several blocks, null ones among them, by the similarities of all pairs."""
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    v = "id bigint, embedding array<double>, label int"
+    items = spark.createDataFrame([(i, x.tolist(), None if i % 11 == 0 else i % 4) for i, x in enumerate(clustered(150))], v).withColumnRenamed("id", "i")
+    queries = spark.createDataFrame([(i, x.tolist(), i % 5) for i, x in enumerate(clustered(60, seed=3))], v).withColumnRenamed("id", "q")
+    found = similarity.best_by_label(queries, items, "q", "i")
+    want = similarity.similarities(queries, items, "q", "i", None).join(items.select("i", "label"), "i").groupBy("q", "label").agg(F.max("similarity").alias("s"))
+    key = lambda rows: sorted((r[0], -1 if r[1] is None else r[1], round(r[2], 9)) for r in rows.collect())
+    assert found.count() == 300 and key(found) == key(want)
+
+
+def test_metrics_by_labels_are_those_of_pairs(spark):
+    queries = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 9)], "q bigint, label int")
+    items = spark.createDataFrame([(i, None if i == 7 else i % 3) for i in range(8)], "i bigint, label int")
+    ranked = spark.createDataFrame([(q, (q * 3 + r) % 8, r) for q in range(1, 5) for r in range(1, 7)], "q bigint, i bigint, rank int")
+    truth = queries.join(items, "label").select("q", "i")
+    got = evaluation.labelled_metrics(ranked, queries, items, "q", "i", 5)
+    want = evaluation.ranking_metrics(ranked, truth, "q", "i", 5).join(evaluation.ceiling_precision(truth, "q", 5), "q", "left")
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
