@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,16 @@ def numeric_ids(mapping: DataFrame) -> DataFrame:
     return mapping.where((F.col("product_id").try_cast("int") > 0) & (F.col("content_id").try_cast("int") > 0))
 
 
+def leading(scored: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Rows among which are each group's best ``n``: those of each batch, so that what has to be sorted and shuffled is a small part."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values(["score", "id"], ascending=[False, True], na_position="first").groupby(by, dropna=False, sort=False).head(n)
+
+    return scored.mapInPandas(cut, scored.schema)
+
+
 def walk(scored: DataFrame, key: str, threshold: float, top_k: int = 2, paths: int = 5, tiers: int = 4) -> DataFrame:
     """(key, leaf_id, score, path): the best paths down the tree.
 
@@ -85,7 +97,8 @@ def walk(scored: DataFrame, key: str, threshold: float, top_k: int = 2, paths: i
     """
 
     def best(df: DataFrame, *by: str) -> DataFrame:
-        return df.withColumn("r", F.row_number().over(Window.partitionBy(key, *by).orderBy(F.desc("score"), "id"))).where((F.col("r") <= top_k) & (F.col("score") >= threshold)).drop("r")
+        able = leading(df.where(F.col("score") >= threshold), [key, *by], top_k)
+        return able.withColumn("r", F.row_number().over(Window.partitionBy(key, *by).orderBy(F.desc("score"), "id"))).where(F.col("r") <= top_k).drop("r")
 
     branch = best(scored.where("tier = 1")).select(key, F.col("id").alias("leaf_id"), F.col("score").alias("cum"), F.array("id").alias("path"))
     for tier in range(2, tiers + 1):
@@ -103,6 +116,13 @@ def tier_scores(chunk_scores: DataFrame, key: str, mean: bool = True) -> DataFra
     return chunk_scores.groupBy(key, "id", "parent_id", "tier").agg((F.avg if mean else F.max)("score").alias("score"))
 
 
+def column_scores(chunk_scores: DataFrame, scores: list[str], mean: bool = True) -> DataFrame:
+    """As ``tier_scores``, of rows that hold a node's scores of a text's chunks in columns: nothing is grouped. Nulls don't count; ``score`` is null without any."""
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in scores), F.lit(0.0))
+    known = sum((F.col(c).isNotNull().cast("int") for c in scores), F.lit(0))
+    return chunk_scores.withColumn("score", total / F.nullif(known, F.lit(0)) if mean else F.greatest(*scores)).drop(*scores)
+
+
 def first_wins(topics: DataFrame, key: str) -> DataFrame:
     """One entry per topic id of each key: the first by position."""
     return topics.groupBy(key, "topic_id").agg(F.min_by(F.struct("tier", "relevance_score"), "pos").alias("t")).select(key, "topic_id", "t.*")

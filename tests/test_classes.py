@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adspectra.operators import classes, evaluation, targeting
+from adspectra.operators import classes, evaluation, targeting, taxonomy
 from adspectra.plans import matching
 from adspectra.sources.driver import Tables
 
@@ -66,3 +66,21 @@ def test_truth_by_classes_is_that_of_all_pairs(spark):
     assert sorted(map(tuple, found.collect())) == want
     plan = evaluation.ground_truth(pages, ads, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(rs") < plan.index("Aggregate"), plan
+
+
+def test_leading_rows_and_scores_in_columns(spark):
+    """Each batch sends on its best rows of a group, by score and id; scores in columns are those of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        rows = spark.range(0, 6000, 1, 2).select((F.col("id") % 3).alias("k"), F.concat(F.lit("n"), F.col("id")).alias("id"), (F.col("id") * 7 % 40 / 40).alias("score"))
+        led = taxonomy.leading(rows, ["k"], 2)
+        assert led.count() <= 12 * 3 * 2
+        best = lambda df: sorted((k, [(-s, i) for s, i in sorted((-r.score, r.id) for r in df.collect() if r.k == k)[:2]]) for k in range(3))
+        assert best(led) == best(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wide = spark.createDataFrame([("t", "a", 0.5, 0.25, None), ("t", "b", None, None, None)], "k string, id string, s0 double, s1 double, s2 double").select("*", F.lit("p").alias("parent_id"), F.lit(1).alias("tier"))
+    long = wide.select("k", "id", "parent_id", "tier", F.explode(F.array("s0", "s1", "s2")).alias("score"))
+    for mean in (True, False):
+        got, want = taxonomy.column_scores(wide, ["s0", "s1", "s2"], mean), taxonomy.tier_scores(long, "k", mean)
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
