@@ -40,20 +40,50 @@ def clean_entity(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, "\\s+", " "))
 
 
-def keywords(docs: DataFrame, key: str, text: str, n: int, least: float = 0.0) -> DataFrame:
-    """(key, keyword, relevance_score): the n words and pairs of most weight; a stand-in for an embedding model.
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns once and for all: the optimizer can't copy their expressions into the functions that use them."""
+    return df.select(F.inline(F.array(F.struct(*df.columns, *(c.alias(x) for x, c in columns.items())))))
+
 
-    Weight is frequency times length in words, scaled to the best of the text.
+def _best_of_row(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, keyword, weight, best, r) of rows (key, w) that are texts by themselves, without a shuffle or a row for each word.
+
+    Equal words and pairs stand side by side in the sorted array.  It is in the order that breaks ties of weight, so only the n that are kept are sorted by weight.
     """
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    rows = docs.select(key, text).repartition(key).select(key, words.alias("w"))  # texts take less room in a shuffle than their words
+    pairs = F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
+    grams = _made(_made(rows.where(F.size("w") > 0), g=F.sort_array(F.concat("w", pairs))).drop("w"), s=F.filter(F.transform("g", lambda x, i: F.when((i == 0) | (x != F.get("g", i - 1)), i)), lambda i: i.isNotNull()))
+    keyword = lambda s: F.get("g", s)
+    size = F.transform("s", lambda s, k: ((F.coalesce(F.get("s", k + 1), F.size("g")) - s) * F.when(F.contains(keyword(s), F.lit(" ")), 3).otherwise(2)).cast("bigint"))
+    weighed = _made(grams, weights=size)
+    least = _made(weighed, nth=F.coalesce(F.get(F.sort_array("weights", False), F.lit(n - 1)), F.lit(0)))
+    over = _made(least, over=F.filter(F.transform("weights", lambda x, k: F.when(x > F.col("nth"), k)), lambda k: k.isNotNull()), ties=F.filter(F.transform("weights", lambda x, k: F.when(x == F.col("nth"), k)), lambda k: k.isNotNull()))
+    kept = F.concat("over", F.slice("ties", 1, n - F.size("over")))
+    top = F.sort_array(F.transform(kept, lambda k: F.struct((-F.get("weights", k)).alias("less"), keyword(F.get("s", k)).alias("keyword"))))
+    each = _made(over, top=top).select(key, (-F.get("top", F.lit(0))["less"]).alias("best"), F.posexplode("top").alias("pos", "x"))
+    return each.select(key, F.col("x.keyword").alias("keyword"), (-F.col("x.less")).alias("weight"), "best", (F.col("pos") + 1).alias("r"))
+
+
+def _best_of_key(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, keyword, weight, best, r) of rows (key, w), of which all with one key are one text; words and pairs are grouped, so that no key has to fit into memory."""
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     grams = rows.select(key, F.explode(F.concat("w", pairs)).alias("keyword")).groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("c"))
     weighed = grams.withColumn("weight", F.col("c") * (F.size(F.split("keyword", " ")) + 1))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "keyword")
     ranked = weighed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    best = F.max("weight").over(Window.partitionBy(key))
-    return ranked.withColumn("relevance_score", F.col("weight") / best).where(F.col("relevance_score") >= least).select(key, "keyword", "relevance_score", F.col("r").alias("rank"))
+    return ranked.select(key, "keyword", "weight", F.max("weight").over(Window.partitionBy(key)).alias("best"), "r")
+
+
+def keywords(docs: DataFrame, key: str, text: str, n: int, least: float = 0.0) -> DataFrame:
+    """(key, keyword, relevance_score): the n words and pairs of most weight; a stand-in for an embedding model.
+
+    Weight is frequency times length in words, scaled to the best of the text.  Rows of one key are one text, but for pairs, which stand
+    in one row.  Texts are shuffled once, their words only where a key has several rows.
+    """
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    rows = docs.select(key, text).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    alone, several = (_made(rows.where(c).select(key, text), w=words).select(key, "w") for c in (F.col("__rows") == 1, F.col("__rows") > 1))
+    best = _best_of_row(alone, key, n).unionByName(_best_of_key(several, key, n))
+    return best.withColumn("relevance_score", F.col("weight") / F.col("best")).where(F.col("relevance_score") >= least).select(key, "keyword", "relevance_score", F.col("r").alias("rank"))
 
 
 def entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
