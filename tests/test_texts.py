@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
-from adspectra.operators import textprep
+from adspectra.operators import embedding, textprep
+from adspectra.plans import reading  # noqa: F401  it registers its queries
+from adspectra.registry import QUERIES
 
 
 def brute_keywords(rows, n, least):
@@ -33,3 +35,12 @@ def test_words_are_grouped_only_for_keys_of_several_rows(spark):
     df = spark.createDataFrame([(1, "red shoes")], "id int, text string")
     plan = textprep.keywords(df, "id", "text", 20)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and re.search(r"__rows#\d+L > 1", plan[plan.index("Aggregate [") :]), plan
+
+
+def test_words_are_hashed_once(spark):
+    """Frequencies and vectors read one shuffle of features."""
+    df = spark.createDataFrame([(1, "red shoes"), (2, "red"), (None, None)], "id int, text string")
+    found = embedding.embeddings(df, "id", "text")
+    assert len(found.collect()) == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReusedExchange.*hashpartitioning\(id#", plan[: plan.index("Initial Plan")]), plan
