@@ -27,7 +27,7 @@ def features(text: Column) -> Column:
 
 def _weights(held: DataFrame) -> DataFrame:
     """(feature, idf) of rows (features)."""
-    counts = held.select(F.explode(F.array_distinct("features")).alias("feature")).groupBy(F.col("feature").cast("bigint").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    counts = held.select(F.explode(F.array_distinct("features")).alias("feature")).withColumn("feature", F.col("feature").cast("bigint")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     all_texts = held.agg(F.count(F.lit(1)).alias("all"))
     return counts.crossJoin(all_texts).select("feature", (F.ln((F.col("all") + 1) / (F.col("n") + 1)) + 1).alias("idf"))
 

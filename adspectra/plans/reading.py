@@ -30,8 +30,8 @@ def document_embeddings(t: Tables) -> DataFrame:
 @query()
 def document_semantic_chunks(t: Tables) -> DataFrame:
     """Every document's sentences, each with the number of its chunk: texts made vectors, chunks cut where neighbours are unlike."""
-    units = t.raw("documents").select("doc_id", F.posexplode(textprep.sentences(F.col("text"))).alias("pos", "content")).select(F.struct("doc_id", "pos").alias("unit"), "content")
-    vectors = embedding.embeddings(units, "unit", "content").select("unit.*", "embedding")
+    units = t.raw("documents").select("doc_id", F.posexplode(textprep.sentences(F.col("text"))).alias("pos", "content"))
+    vectors = embedding.embeddings(units, ["doc_id", "pos"], "content")
     return textprep.semantic_breaks(textprep.adjacent_similarity(vectors, "doc_id"), "doc_id").select("doc_id", "pos", "chunk")
 
 

@@ -44,3 +44,10 @@ def test_words_are_hashed_once(spark):
     assert len(found.collect()) == 3
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReusedExchange.*hashpartitioning\(id#", plan[: plan.index("Initial Plan")]), plan
+
+
+def test_chunks_are_shuffled_by_document_alone(spark, sf):
+    """Sentences, their sums and their vectors stay where their document was dealt to."""
+    plan = QUERIES["document_semantic_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+    assert dealt and all(re.fullmatch(r"(doc_id|feature)#\d+L?", x) for x in dealt), dealt
