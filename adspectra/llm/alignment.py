@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Only tokenising runs in Python (``tokenized``): each text, after a space, becomes the ids and the byte ends of its tokens
-by a byte-level BPE file (A) and by a SentencePiece file (B).  All else is Spark's higher-order functions:
+``align`` tokenises texts and finds groups and links in one pass over Arrow batches (``linked``, by numpy; the texts of a batch are marked
+side by side in one array of bytes).  For tables of tokens, groups and links there is the same in Spark's functions: ``tokenized`` makes each text,
+after a space, the ids and the byte ends of its tokens by a byte-level BPE file (A) and by a SentencePiece file (B); then, by higher-order functions:
 
 * ``array_intersect`` of the two arrays of ends gives the bytes at which tokens of both end: the ends of the groups.
 * The ends of both, each with its side and place, are sorted together.  Where an end stands in that order, less its own
@@ -18,7 +19,7 @@ row a chunk, and nothing is broadcast or collected.
 
 Texts are tokenised chunk by chunk of text: before a space after a character that isn't white space no token of either file
 goes on (A's words begin there, and B has no piece with a space sign after another character), so each different such part is tokenised
-once by the libraries and remembered.
+once by the libraries, many parts as one text, and remembered.
 
 Defined cases: null and empty texts, and texts whose bytes the tokens of either side don't give back (such as those with U+2581), have
 no tokens, no groups and no links, and their sums are 0; special tokens' strings are plain text; rows that repeat an id stay rows of their
@@ -28,6 +29,7 @@ arrays in proportion to the text in one task's memory; an empty table gives an e
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -52,6 +54,10 @@ PART = re.compile(r" \s*+(?:\S++(?:[^\S ]\s*+)?+)*+")
 CACHE_CHARS, LONGEST = 1 << 22, 256
 #: Rows tokenised at once.
 ROWS = 500
+#: Texts aligned at once, by arrays in proportion to them.
+ALIGNED = 64
+#: Parts tokenised as one text, and so few that they are tokenised each by itself where that fails.
+JOINED, LEAST_JOINED = 2000, 16
 #: Bits of a place in the sorted ends and in ``cuts``; B's entries have one bit more set, so that of equal ends A's come first.
 BITS = 31
 SIDE, PLACE = 1 << BITS, (1 << BITS) - 1
@@ -92,6 +98,36 @@ class TokenPair:
 
     def _learn(self, parts: list[str]) -> None:
         """The ids of parts by A and by B; None by A where the tokens of either don't give the part's bytes."""
+        joined = [p for p in parts if len(p) <= LONGEST and not p[-1].isspace()]
+        for k in range(0, len(joined), JOINED):
+            self._learn_joined(joined[k : k + JOINED])
+        self._learn_each([p for p in parts if p not in self.by_a])
+
+    def _learn_joined(self, parts: list[str]) -> None:
+        """Parts that end in no white space, as one text: neither file's tokens go on from one to the next.
+
+        Left out, or tried by halves, where the tokens don't give the text's bytes or don't end where the parts do.
+        """
+        whole = "".join(parts)
+        raw, bounds = whole.encode(), np.cumsum([len(p.encode()) for p in parts])
+        found = []
+        for ids, table, sizes in ((self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.bytes_a, self.sizes_a), (self.b.encode(whole[1:]), self.bytes_b, self.sizes_b)):
+            array = np.array(ids, "<i4")
+            ends = np.cumsum(sizes[array])
+            at = np.searchsorted(ends, bounds)
+            if b"".join(map(table.__getitem__, ids)) != raw or not np.array_equal(ends[at], bounds):
+                if len(parts) > LEAST_JOINED:
+                    self._learn_joined(parts[: len(parts) // 2])
+                    self._learn_joined(parts[len(parts) // 2 :])
+                return
+            flat, stops = array.tobytes(), (4 * (at + 1)).tolist()
+            found.append([flat[i:j] for i, j in zip([0, *stops], stops, strict=False)])
+        self.by_a.update(zip(parts, found[0], strict=True))
+        self.by_b.update(zip(parts, found[1], strict=True))
+
+    def _learn_each(self, parts: list[str]) -> None:
+        if not parts:
+            return
         a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         b = self.b.encode([x[1:] for x in parts], num_threads=1)  # the library adds the space again, but to nothing
         b = [x or [self.alone] for x in b]
@@ -124,6 +160,12 @@ class TokenPair:
         return out
 
 
+def _pair(path_a: str, path_b: str) -> TokenPair:
+    if (path_a, path_b) not in _PAIRS:
+        _PAIRS[path_a, path_b] = TokenPair(path_a, path_b)
+    return _PAIRS[path_a, path_b]
+
+
 def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
     """doc_id, and a_ids, a_ends, b_ids, b_ends (byte offsets after the space put before the text) of every row."""
 
@@ -132,9 +174,7 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str = "text") ->
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32, copy=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path_a, path_b) not in _PAIRS:
-            _PAIRS[path_a, path_b] = TokenPair(path_a, path_b)
-        pair = _PAIRS[path_a, path_b]
+        pair = _pair(path_a, path_b)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
@@ -146,6 +186,66 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str = "text") ->
     return docs.select("doc_id", text).mapInArrow(run, own)
 
 
+class Texts:
+    """Groups, their text and links of many texts at once, by numpy: texts side by side are one text whose tokens all end where each text does."""
+
+    def __init__(self, pair: TokenPair, size_b: int):
+        self.sizes, self.size_b = (pair.sizes_a, pair.sizes_b), size_b
+        n = max(map(len, self.sizes))
+        cells = np.array([f"{i}{mark}" for mark in ",|;" for i in range(n)], "S8")  # an id and what stands after it
+        self.lengths, self.cells, self.n = np.char.str_len(cells), cells.view("<u8"), n
+
+    def align(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """By text its tokens of A and B, its groups, its links and its groups' SHA-256; then the links of all texts, A's and B's ids."""
+        counts = [np.array([len(x) for x in ids], np.int64) for ids in (a, b)]
+        ids = [np.concatenate([np.zeros(0, np.int32), *x]) for x in (a, b)]
+        last = [np.cumsum(sizes[x], dtype=np.int64) - 1 for sizes, x in zip(self.sizes, ids, strict=True)]  # each token's last byte
+        at = np.zeros(last[0][-1] + 1 if len(ids[0]) else 0, np.uint8)
+        at[last[0]] |= 1
+        at[last[1]] |= 2
+        kind = at[at > 0]  # at each byte where a token of either side ends: which side's
+        ends_a, ends_b = np.cumsum(kind & 1, dtype=np.int64), np.cumsum(kind >> 1, dtype=np.int64)
+        link_a, link_b = ids[0][ends_a - (kind & 1)], ids[1][ends_b - (kind >> 1)]
+        both = np.flatnonzero(kind == 3)
+        cut_a, cut_b = ends_a[both], ends_b[both]  # tokens of A and of B up to the end of each group
+
+        def by_text(places: np.ndarray) -> np.ndarray:
+            """How many of the groups, or of the ends, lie in each text."""
+            up_to = np.concatenate([[0], places])[np.searchsorted(cut_a, np.cumsum(counts[0]), "right")]
+            return np.diff(up_to, prepend=0)
+
+        closes = [at[x] == 3 for x in last]
+        group = [np.cumsum(x) - x for x in closes]
+        cells = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        cells[np.arange(len(ids[0])) + np.concatenate([[0], cut_b])[group[0]]] = ids[0] + self.n * closes[0]
+        cells[np.arange(len(ids[1])) + cut_a[group[1]]] = ids[1] + 2 * self.n * closes[1]
+        text = self.cells[cells].view(np.uint8)
+        text = text[text > 0].tobytes()
+        stops = np.concatenate([[0], np.cumsum(self.lengths[cells])])[np.concatenate([[0], np.cumsum(counts[0] + counts[1])])].tolist()
+        digests = [hashlib.sha256(text[i : j - 1]).hexdigest() if i < j else "" for i, j in zip(stops, stops[1:], strict=False)]
+        return counts[0], counts[1], by_text(np.arange(1, len(both) + 1)), by_text(both + 1), digests, link_a, link_b
+
+
+def linked(docs: DataFrame, path_a: str, path_b: str, size_b: int, text: str = "text") -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and ``links`` (A's id times ``size_b`` plus B's) of every row: what ``links`` and ``group_text`` give, by numpy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(path_a, path_b)
+        texts = Texts(pair, size_b)
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                a, b = pair.encode(part.column(1).to_pylist())
+                for i in range(0, part.num_rows, ALIGNED):
+                    n_a, n_b, n_groups, n_links, digests, link_a, link_b = texts.align(a[i : i + ALIGNED], b[i : i + ALIGNED])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32))
+                    links = pa.ListArray.from_arrays(offsets, pa.array(link_a.astype(np.int64) * size_b + link_b))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, ALIGNED), pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(digests, pa.string()), links], own.names)
+
+    own = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("n_a", "n_b", "n_groups")), T.StructField("groups_sha256", T.StringType()), T.StructField("links", T.ArrayType(T.LongType(), False))])
+    return docs.select("doc_id", text).mapInArrow(run, own)
+
+
 def _made(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns once and for all: the optimizer can't copy their expressions into the functions that use them."""
     return df.select(F.inline(F.array(F.struct(*df.columns, *(c.alias(x) for x, c in columns.items())))))
@@ -270,7 +370,4 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     import sentencepiece
 
     size_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
-    pairs = links(group_text(aligned(tokenized(docs, path_a, path_b))), size_b)
-    sizes = [F.size(f"{x}_ids").cast("long").alias(f"n_{x}") for x in "ab"]
-    digest = F.when(F.size("a_ids") > 0, F.sha2("group_text", 256)).otherwise("").alias("groups_sha256")
-    return weigh(pairs.select("doc_id", *sizes, "n_groups", digest, "links"), size_b)
+    return weigh(linked(docs, path_a, path_b, size_b), size_b)
