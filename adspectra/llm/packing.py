@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ranked_within
+from .common import cut, parts, ranked_within
 
 SEQUENCE, CLOSING_ID = 2048, 0
-#: Texts are encoded together up to so many characters.
+#: Rows whose texts are encoded together.
+ROWS = 512
 _ENCODERS: dict[str, object] = {}
 
 PLAN = "length long, first long, stop long, holds long, at long, sequence long"
@@ -55,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> D
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         closing = np.array([CLOSING_ID], "<u4")
-        for batch in batches:
+        for batch in parts(batches, ROWS):
             rows, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode([x or "" for x in batch.column(1).to_pylist()])):
                 ids = np.concatenate([ids, closing])

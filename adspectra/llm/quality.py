@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw
+from .common import parts, raw
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             s = measured(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column("__asx_good").cast(pa.int64()), *map(pa.array, s.T)], ["good", *COUNTS, *MORE])
 
@@ -218,7 +218,7 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, the statistics, base_failed, score and kept of every row."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             s = measured(batch, "text")
             failed, score, kept = model.judge(s)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, s[:, : len(COUNTS)].T), pa.array(failed), pa.array(score), pa.array(kept)], ["doc_id", *COUNTS, "base_failed", "score", "kept"])
@@ -231,7 +231,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that the rules and the forest keep, with all their columns."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(model.judge(measured(batch, "text"))[2]))
 
     return docs.mapInArrow(passing, docs.schema)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw
+from .common import cut, parts, raw
 from .components import roots
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fp = np.array([simhash(x, shingle) for x in raw(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -92,7 +92,7 @@ def tagged(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     own = T.StructType([*docs.schema.fields, T.StructField("__asx_fp", T.LongType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fp = np.array([simhash(x, shingle) for x in raw(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], own.names)
 

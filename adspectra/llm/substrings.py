@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, freed_shuffles, mix64, partitions, raw, stored
+from .common import ROWS, dropped, freed_shuffles, mix64, partitions, parts, raw, stored
 from .suffixes import permuted_common_prefixes, suffix_arrays
 from .wordbpe import powers
 
@@ -56,10 +56,8 @@ CONTEXTS = (4, 16, LENGTH - ANCHOR + 1)
 FILTER_BITS = 27
 #: Bytes hashed at once, and symbols of suffix arrays built at once.
 BLOCK, SYMBOLS = 1 << 19, 1 << 20
-#: Rows whose texts are taken out of an Arrow batch at once.
-ROWS = 256
 #: Bytes of segments that a task takes and holds: suffix arrays are the cheaper, the more shards of one size are built together.
-TASK_BYTES = 1 << 24
+TASK_BYTES = 1 << 23
 POSITION = np.uint64((1 << 21) - 1)
 FIRST_ID = -(1 << 63)
 
@@ -541,7 +539,7 @@ def removed(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, spans = raw(batch.column(1)), [merged(x) for x in batch.column(2).to_pylist()]
             columns = [batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
                        pa.array([hashlib.sha256(remaining(x, s)).hexdigest() for x, s in zip(texts, spans, strict=True)], pa.string()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind)]
@@ -555,7 +553,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, out = batch.column(names.index("text")).to_pylist(), []
             for x, s in zip(texts, batch.column(len(names)).to_pylist(), strict=True):
                 if x is not None and s:

@@ -20,7 +20,7 @@ INF = np.uint16(65535)
 #: Longest symbol count of the batched merge; longer words go to the library.
 LONGEST = 48
 #: Characters whose words are merged together.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 #: The letters and numbers of Latin-1, as the pre-tokenizer's pattern tells them; it takes a run of letters, one number, or a run of neither as a word.
