@@ -1,7 +1,7 @@
-"""Suffix arrays by induced sorting, for many short texts at once.
+"""Suffix arrays by prefix doubling, for many short texts at once.
 
-All arrays hold one text per column, so one step of a scan handles the same rank of every text.
-Symbols are whole numbers from 0; the last symbol of a text is 0 and occurs nowhere else in it.
+All arrays hold one text per column.  Symbols are whole numbers from 0 to 255; the last symbol of a text
+is 0 and occurs nowhere else in it.
 """
 
 from __future__ import annotations
@@ -9,131 +9,55 @@ from __future__ import annotations
 import numpy as np
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next one."""
-    smaller = np.zeros(t.shape, bool)
-    smaller[-1] = True
-    less, same = t[:-1] < t[1:], t[:-1] == t[1:]
-    for i in range(len(t) - 2, -1, -1):
-        np.logical_and(same[i], smaller[i + 1], out=smaller[i])
-        np.logical_or(smaller[i], less[i], out=smaller[i])
-    return smaller
+def _ordered(text: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of one text in the order of their first ``depth`` symbols, at least.
 
-
-def _induce(t: np.ndarray, smaller: np.ndarray, ends: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Sorts all suffixes from leftmost-smaller ones (``seeds``, in order, -1 where a text has no more).
-
-    Positions, ranks and buckets are kept as indices of the flattened arrays: a step to the next
-    rank or position is one of ``width``, and a bucket holds the place that it fills next.
+    Suffixes are sorted by as many symbols as fit a word beside the place; those still alike are sorted by
+    their ranks and the ranks of what follows, which doubles the symbols told apart at each step.
     """
+    n = len(text)
+    bits = np.uint64(n.bit_length())
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    told = (64 - int(bits)) // 8
+    padded = np.zeros(n + told, np.uint64)
+    padded[:n] = text
+    words = padded[:n].copy()
+    for k in range(1, told):
+        words <<= np.uint64(8)
+        words |= padded[k : n + k]
+    words = np.sort(words << bits | np.arange(n, dtype=np.uint64))
+    sa = (words & place).astype(np.int64)
+    words >>= bits
+    slots = np.arange(n)
+    rank = np.zeros(n + 1, np.uint64)  # the slot of the first of those alike, from 1; past the end 0
+    while True:
+        new = np.ones(len(slots) + 1, bool)
+        new[1:-1] = words[1:] != words[:-1]
+        rank[sa[slots]] = np.maximum.accumulate(np.where(new[:-1], slots, 0)) + 1
+        slots = slots[~(new[:-1] & new[1:])]
+        if told >= depth or not len(slots):
+            return sa
+        at = sa[slots]
+        own, following = rank[at], rank[np.minimum(at + told, n)]
+        if 3 * bits <= 64:
+            words = np.sort(own << bits + bits | following << bits | at.astype(np.uint64))
+            sa[slots] = words & place
+            words >>= bits
+        else:
+            order = np.lexsort((following, own))
+            sa[slots] = at[order]
+            words = (own << bits | following)[order]
+        told *= 2
+
+
+def suffix_arrays(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix arrays of the texts in the columns of ``t``; depth: the order is open among suffixes that share so many symbols."""
     n, width = t.shape
-    cols = np.arange(width)
-    bucket_of = (t.astype(np.int64) * width + cols).ravel()
-    kinds = smaller.ravel()
-    sa = np.full(n * width, -1, np.int64)
-    last = (ends.astype(np.int64) - 1) * width + cols
-
-    tails = last.ravel().copy()
-    for row in seeds[::-1]:
-        at = np.flatnonzero(row >= 0)
-        values = row[at].astype(np.int64) * width + at
-        b = bucket_of[values]
-        place = tails[b]
-        sa[place] = values
-        tails[b] = place - width
-
-    heads = (last - (counts.astype(np.int64) - 1) * width).ravel()
-    larger = np.where(kinds, -1, bucket_of)
-    for i in range(0, n * width, width):
-        values = sa[i : i + width]
-        values = values[values >= width] - width
-        b = larger[values]
-        hit = b >= 0
-        values, b = values[hit], b[hit]
-        place = heads[b]
-        sa[place] = values
-        heads[b] = place + width
-    del larger
-    tails, lesser = last.ravel().copy(), np.where(kinds, bucket_of, -1)
-    for i in range((n - 1) * width, -1, -width):
-        values = sa[i : i + width]
-        values = values[values >= width] - width
-        b = lesser[values]
-        hit = b >= 0
-        values, b = values[hit], b[hit]
-        place = tails[b]
-        sa[place] = values
-        tails[b] = place - width
-    return (sa // width).astype(np.int32).reshape(n, width)
-
-
-def _left_aligned(values: np.ndarray, column: np.ndarray, width: int, rows: int) -> np.ndarray:
-    """Values sorted by column as a table: each column's values from the top, -1 below."""
-    out = np.full((rows, width), -1, np.int32)
-    counts = np.bincount(column, minlength=width)
-    out[np.arange(len(column)) - np.repeat(np.cumsum(counts) - counts, counts), column] = values
-    return out
-
-
-def suffix_arrays(t: np.ndarray, symbols: int | None = None) -> np.ndarray:
-    """Suffix arrays of the texts in the columns of ``t``."""
-    n, width = t.shape
-    if n == 1:
-        return np.zeros((1, width), np.int32)
-    symbols = symbols or int(t.max()) + 1
-    counts = np.bincount((t.astype(np.int64) * width + np.arange(width)).ravel(), minlength=symbols * width).reshape(symbols, width).astype(np.int32)
-    ends = np.cumsum(counts, axis=0, dtype=np.int32)
-    smaller = _types(t)
-    lms = np.zeros(t.shape, bool)
-    lms[1:] = smaller[1:] & ~smaller[:-1]
-
-    column, place = np.nonzero(lms.T)  # by column, then by position
-    m = np.bincount(column, minlength=width)
-    most = int(m.max())
-    guess = _induce(t, smaller, ends, counts, _left_aligned(place, column, width, most))
-
-    # Leftmost-smaller substrings in their sorted order, and their names.
-    g_col, g_rank = np.nonzero(np.take_along_axis(lms, np.maximum(guess, 0), axis=0).T)
-    g_place = guess[g_rank, g_col]
-    following = np.full(len(place), n - 1, np.int64)
-    same_text = column[1:] == column[:-1]
-    following[:-1][same_text] = place[1:][same_text]
-    length = np.zeros(t.shape, np.int32)
-    length[place, column] = following - place + 1
-    size = length[g_place, g_col]
-    differs = np.ones(len(g_place), bool)
-    pair = np.flatnonzero((g_col[1:] == g_col[:-1]) & (size[1:] == size[:-1])) + 1
-    differs[pair] = False
-    k = 0
-    while len(pair):
-        a, b = t[g_place[pair] + k, g_col[pair]], t[g_place[pair - 1] + k, g_col[pair]]
-        unlike = a != b
-        differs[pair[unlike]] = True
-        k += 1
-        pair = pair[~unlike & (size[pair] > k)]
-    starts = np.cumsum(m) - m
-    total = np.cumsum(differs)
-    name = total - np.repeat(total[starts], m)
-    names = np.zeros(t.shape, np.int32)
-    names[g_place, g_col] = name
-    distinct = np.maximum.reduceat(name, starts) + 1
-    order = _left_aligned(g_place, g_col, width, most)
-    again = np.flatnonzero(distinct < m)
-    if len(again):
-        # The reduced texts end in the same row; what is above them is the largest symbol, sorts last and is dropped.
-        pad = int(distinct[again].max())
-        deep = int(m[again].max())
-        of = np.isin(column, again)
-        c = np.searchsorted(again, column[of])
-        row = np.arange(len(c)) - np.repeat(np.cumsum(m[again]) - m[again], m[again]) + (deep - m[again])[c]
-        reduced = np.full((deep, len(again)), pad, np.int32)
-        reduced[row, c] = names[place[of], column[of]]
-        where = np.full((deep, len(again)), -1, np.int32)
-        where[row, c] = place[of]
-        found = np.take_along_axis(where, suffix_arrays(reduced, pad + 1), axis=0)
-        order[:, again] = -1
-        order[: deep, again] = found
-    return _induce(t, smaller, ends, counts, order)
+    # Suffixes of one text differ in it by their last symbol, so the texts can be sorted as one.
+    sa = _ordered(np.ascontiguousarray(t.T).ravel(), min(n, depth or n))
+    if width > 1:
+        sa = sa[np.argsort(sa // n, kind="stable")]
+    return (sa % n).astype(np.int32).reshape(width, n).T
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:

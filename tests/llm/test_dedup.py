@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -308,3 +310,60 @@ def test_pipeline_cases(spark, tmp_path):
             assert {43, *range(30)} >= set(kept) - {None, *range(50, 55)} and max(kept.values()) == 1 and 43 in kept and not {40, 41, 42} & set(kept)
         else:
             assert not kept
+
+
+def test_suffix_arrays_take_a_few_sorts():
+    """The suffixes of many texts are sorted in the time of some sorts of as many words, not in hundreds of scattered steps a symbol."""
+    rnd = np.random.default_rng(0)
+    t = rnd.choice(np.array([1, *range(99, 124)], np.uint8), (4096, 32))
+    t[500:1500] = t[2000:3000]
+    t[-1] = 0
+    numbers = rnd.integers(0, 1 << 60, t.size).astype(np.uint64)
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: suffixes.suffix_arrays(t)) < 60 * seconds(lambda: np.sort(numbers))
+
+
+def test_spans_that_touch():
+    rnd = random.Random(5)
+    spans = [[(a, a + rnd.randrange(1, 30)) for a in (rnd.randrange(300) for _ in range(rnd.randrange(12)))] for _ in range(60)]
+    got = substrings.merged(pa.array([None if not s else [{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))[3:])
+    for s, merged in zip(spans[3:], got, strict=True):
+        covered = sorted({i for a, b in s for i in range(a, b)} | {-2})
+        touch = {b for _, b in s} & {a for a, _ in s}
+        runs = [(a, b) for a, b in merged]
+        assert sorted({i for a, b in runs for i in range(a, b)} | {-2}) == covered
+        assert all(b < a2 for (_, b), (a2, _) in zip(runs, runs[1:], strict=False)) and not touch & {b for _, b in runs} & {a for a, _ in runs}
+
+
+def test_repeats_in_shards():
+    """Segments of several anchors, one row twice, against a search of each anchor's windows in their order."""
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for h in range(-3, 12):
+        anchor = "".join(rnd.choices("abcé", k=18)).encode()[:36].ljust(36, b"x")
+        left, right = (["".join(rnd.choices("ab", k=64)) for _ in range(2)] for _ in range(2))
+        own = []
+        for k in range(9):
+            a, b = rnd.randrange(32, 65), rnd.randrange(32, 65)
+            own.append((h, k // 2, k % 2, 1000 * k, a, rnd.choice(left)[64 - a :].encode() + anchor + rnd.choice(right)[:b].encode()))
+        own.append(own[4])
+        seen = {}
+        for _, k, th, s0, _, data in sorted(own):
+            for i in range(len(data) - 99):
+                first = seen.setdefault(data[i : i + 100], (k, th, s0 + i))
+                if first != (k, th, s0 + i):
+                    want |= {(k, th, s0 + i + j) for j in range(100)}
+        rnd.shuffle(own)
+        rows += own
+    names = ("h", "k", "th", "s0", "place", "bytes")
+    table = pa.table({n: pa.array(x, pa.binary() if n == "bytes" else pa.int64()) for n, x in zip(names, zip(*rows, strict=True), strict=True)})
+    found = substrings.repeats_in_shards(table).to_pylist()
+    assert {(r["k"], r["th"], i) for r in found for i in range(r["start"], r["stop"])} == want and want
