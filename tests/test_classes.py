@@ -23,6 +23,39 @@ def test_pairs_of_classes_are_all_pairs_of_rows(spark):
     assert found.count() == want.count() and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
 
 
+def test_groups_meet_in_parts(spark):
+    """Every row meets every item of its group's partners once, in groups of several parts and blocks."""
+    left = spark.range(3000).select(F.col("id").alias("l"), (F.col("id") % 2 * F.col("id") % 3).alias("p"))
+    right = spark.range(2500).select(F.col("id").alias("r"), (F.col("id") % 2).alias("a"), (F.col("id") % 5).alias("x"))
+    held = classes.blocked(right, "a", F.lit(1), "r", "x")
+    assert held.count() == 4 and held.agg(F.max(F.size("held"))).first()[0] < 1000
+    pairs = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.25), (1, 1, 0.75), (9, 1, 1.0)], "p bigint, a bigint, s double")
+    columns = ["l", "p", "r", "a", "x", "s"]
+    found, want = classes.met_in_place(pairs, left, held, "p", "a").select(columns), left.join(pairs, "p").join(right, "a").select(columns)
+    assert found.count() == want.count() > 2000 * 1250
+    total = lambda df: df.agg(F.sum(F.xxhash64(*columns).cast("decimal(38, 0)"))).first()[0]
+    assert total(found) == total(want)
+
+
+def test_pairs_of_rows_come_one_by_one(spark, sf):
+    """Compiled code holds back all rows that it makes of one row, so of two arrays the outer isn't read by it."""
+    blocks = spark.range(4).select(F.sequence(F.lit(0).cast("bigint"), "id").alias("ls"), F.sequence("id", F.lit(9).cast("bigint")).alias("rs"), "id")
+    plan = classes.rows_of(blocks, "p", "a")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(transform(ls" in plan and ") Generate explode(transform(ls" not in plan and ") Generate explode(rs" in plan, plan
+    for name in ("entity_score", "candidate_match", "candidate_match_bitmaps"):
+        assert "explode(transform(" in getattr(matching, name)(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_pairs_of_classes_are_not_shuffled(spark, sf):
+    """Classes of pages and ads meet, are scored and become rows, or are ranked, in one task."""
+    for name in ("quality_score", "topic_score", "auction_top_n"):
+        plan = getattr(matching, name)(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+        here = plan[plan.index("_score"):plan.index("explode(transform(held")]
+        assert name == "auction_top_n" or ("Join" not in here and "Repartition" not in here), here
+        below = plan[plan.index("explode(transform(held"):]
+        assert below.count("RepartitionByExpression") == 2, name
+
+
 def test_scores_are_worked_out_by_lists(spark, sf):
     """As many scores as there are pairs of different lists, whatever the pages that have them."""
     t = Tables(spark, sf)
